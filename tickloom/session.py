@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a broadcast side may have. The sides broadcast here hold a few longs and short strings per row, so this stays
-# near 50 MB per executor.
+# Size a broadcast side may have: rows, and bytes of the rows written as JSON.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -48,11 +48,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def is_small(kept: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a table is small enough to be broadcast. Looks at ``limit + 1`` rows at most."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in kept.columns]))))
+    rows, size = kept.limit(limit + 1).agg(F.count("*"), size).first()
+    return rows <= limit and (size or 0) <= BROADCAST_BYTES
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Materialize a reduced table and tell whether it is small; marked for broadcast only if it is.
 
     Past the limit the table comes back unmarked and the caller's join (or another way of its own) shuffles.
     """
     kept = materialize(df)
-    small = kept.limit(limit + 1).count() <= limit
+    small = is_small(kept, limit)
     return (F.broadcast(kept) if small else kept), small
