@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom import schema as S
+from tickloom.operators import prefix
 
 _NUMPY = {"u32": "<u4", "u64": "<u8", "f64": "<f8"}
 _HEAD = [
@@ -88,3 +89,22 @@ def wire_fields(feed: DataFrame) -> DataFrame:
         "trade_condition": F.lit("R"),
         "num_orders": F.call_function("div", q, F.lit(2)),
     })
+
+
+def pack_segments(frames: DataFrame, segment_bytes: int, chunk: int = prefix.CHUNK) -> DataFrame:
+    """Capture segments ``(connection_id, segment_no, content)`` of a fixed size, cut without regard to frame borders.
+
+    The byte position of a frame is the running length of its connection; a frame across a border gives a piece to each
+    segment. One segment's pieces meet in one group, which is as large as the segment.
+    """
+    sized = frames.withColumn("_len", F.length("frame").cast("bigint"))
+    placed = prefix.running(sized, ["connection_id"], "recv_order", {"_end": ("sum", "_len")}, chunk=chunk)
+    placed = placed.withColumn("_at", F.col("_end") - F.col("_len"))
+    number = lambda position: F.call_function("div", position, F.lit(segment_bytes))
+    cut = placed.withColumn("segment_no", F.explode(F.sequence(number(F.col("_at")), number(F.col("_end") - 1))))
+    start = F.greatest(F.col("segment_no") * segment_bytes, F.col("_at"))
+    stop = F.least((F.col("segment_no") + 1) * segment_bytes, F.col("_end"))
+    piece = F.substr("frame", (start - F.col("_at") + 1).cast("int"), (stop - start).cast("int"))
+    pieces = cut.select("connection_id", "segment_no", F.struct(start.alias("at"), F.hex(piece).alias("hex")).alias("piece"))
+    content = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["hex"]), ""))
+    return pieces.groupBy("connection_id", "segment_no").agg(content.alias("content"))
