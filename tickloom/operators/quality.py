@@ -90,7 +90,7 @@ def counter_delta(samples: DataFrame, keys: Sequence[str], order: str, counter:
     """Increase of an unsigned 64-bit counter since the previous sample; right across the wrap from 2**64 - 1 to 0."""
     before = prefix.following(samples, keys, order, {"previous": counter}, backwards=True)
     wide = "decimal(38,0)"
-    delta = F.pmod(F.col(counter).cast(wide) - F.col("previous").cast(wide), F.lit(TWO_64).cast(wide))
+    delta = F.pmod(F.col(counter).cast(wide) - F.col("previous").cast(wide), F.lit(str(TWO_64)).cast(wide))
     return before.withColumn("delta", delta.cast("decimal(20,0)"))
 
 
