@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tickloom.functions.buckets import bucket
@@ -71,13 +73,9 @@ def trade_value(spark, sf_dir):
 def merged_partials(spark, sf_dir):
     """Trades aggregated per connection first, the partials then merged."""
     spec = trade_spec()
-    rows = feed(spark, sf_dir).filter("msg_type = 4")
-    keyed = spec.rows(rows).withColumn("bucket_ts", bucket(F.col("ts_ns"), HOUR_NS))
-    by_part = keyed.withColumn("part", F.col("recv_order") % 5)
-    partials = None
-    for i in range(5):
-        one = spec.partial(by_part.filter(F.col("part") == i))
-        partials = one if partials is None else partials.unionByName(one)
+    per_connection = replace(spec, tags={**spec.tags, "Connection": "connection_id"})
+    rows = per_connection.rows(feed(spark, sf_dir).filter("msg_type = 4"))
+    partials = per_connection.partial(rows.withColumn("bucket_ts", bucket(F.col("ts_ns"), HOUR_NS)))
     return spec.finish(spec.merge(partials)).select("Market", "Instrument", "bucket_ts", "numTrades", "totalVolume", "lastPrice")
 
 
