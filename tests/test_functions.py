@@ -51,7 +51,7 @@ def test_general6_rounds_like_c(spark):
 
 
 def test_printable(spark):
-    vals = ['Hello\nWorld\t!"Quote"', "a\\b\r", "", "héllo wörld", "日本 x", "\x01\x7f~", None, "plain", "🙂"]
+    vals = ['Hello\nWorld\t!"Quote"', "a\\b\r", "", "héllo wörld", "日本 x", "\x01\x7f~", None, "plain", "🙂", "tail\n", "\n", "a\u2028", "[]^~ !#"]
 
     def want(s):
         if s is None:

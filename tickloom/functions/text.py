@@ -58,8 +58,26 @@ def _join_fraction(whole: Column, digits: Column) -> Column:
     return F.when(fraction == "", whole).otherwise(F.concat(whole, F.lit("."), fraction))
 
 
+def _far_from_tie(scaled_value: Column, margin: float) -> Column:
+    """Whether rounding to a whole number cannot depend on the last bits."""
+    return F.abs(scaled_value - F.floor(scaled_value).cast("double") - 0.5) > margin
+
+
+def _trimmed(text: Column) -> Column:
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+
+
 def fixed6(x: Column) -> Column:
-    """``%.6f`` without trailing zeros and without a trailing dot. From 2**63 on, Java's digits are used."""
+    """``%.6f`` without trailing zeros and without a trailing dot. From 2**63 on, Java's digits are used.
+
+    Values that are not near a tie, nearly all, are formatted directly.
+    """
+    x = x.cast("double")
+    plain = (F.abs(x) < 1e8) & _far_from_tie(F.abs(x) * 1e6, 0.1)
+    return F.when(plain, _trimmed(F.format_string("%.6f", x))).otherwise(_exact_fixed6(x))
+
+
+def _exact_fixed6(x: Column) -> Column:
 
     def split(x: Column) -> Column:
         size = F.abs(x)
@@ -76,11 +94,25 @@ def fixed6(x: Column) -> Column:
         big = F.regexp_replace(F.format_string("%.6f", x), r"\.0*$", "")
         return F.coalesce(_special(x), F.when(F.abs(x) >= TWO_63, big).otherwise(let(split(x), write)))
 
-    return F.when(x.isNotNull(), let(x.cast("double"), number))
+    return F.when(x.isNotNull(), let(x, number))
 
 
 def general6(x: Column) -> Column:
-    """Six significant digits, ``%g`` style. Below 1e-4 and from 2**63 on, Java's digits are used."""
+    """Six significant digits, ``%g`` style. Below 1e-4 and from 2**63 on, Java's digits are used.
+
+    Values between 1 and 999999 that are not near a tie are formatted directly.
+    """
+    x = x.cast("double")
+    size = F.abs(x)
+    plain = F.when(size < 1, None)
+    for digits in range(5, 0, -1):
+        shown = F.when(_far_from_tie(size * 10.0**digits, 1e-3), _trimmed(F.format_string(f"%.{digits}f", x)))
+        plain = plain.when(size < 10.0 ** (6 - digits), shown)
+    plain = plain.when(size < 999999, F.when(_far_from_tie(size, 1e-3), F.format_string("%.0f", x)))
+    return F.coalesce(plain, _exact_general6(x))
+
+
+def _exact_general6(x: Column) -> Column:
 
     def rounded(x: Column) -> Column:
         return let(
@@ -134,7 +166,7 @@ def general6(x: Column) -> Column:
         outside = (F.abs(x) < 1e-4) | (F.abs(x) >= TWO_63)
         return F.coalesce(_special(x), F.when(x == 0, zero).when(outside, java).otherwise(rounded(x)))
 
-    return F.when(x.isNotNull(), let(x.cast("double"), number))
+    return F.when(x.isNotNull(), let(x, number))
 
 
 def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -167,11 +199,11 @@ def csv_text(text: Column) -> Column:
 def printable(text: Column) -> Column:
     r"""Escape ``\ " \n \r \t`` by name and every other byte outside printable ASCII as ``\xHH`` (UTF-8 bytes).
 
-    ``text`` may be STRING or BINARY. Texts without such bytes never take the byte-wise path; the others are cut at the
-    borders between printable and other bytes, so the work grows with the number of runs, not of characters.
+    Texts that need no escape are passed through. Otherwise the text is cut at the borders between printable and other
+    bytes, so the work grows with the number of runs, not of characters.
     """
-    latin = F.decode(F.encode(text.cast("string"), "UTF-8"), "ISO-8859-1")
-    return _escape(latin)
+    latin = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.when(text.rlike(r"^[ !#-\[\]-~]*\z"), text).otherwise(_escape(latin))
 
 
 def printable_bytes(data: Column) -> Column:

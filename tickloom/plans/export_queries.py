@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom import session
 from tickloom.functions import text
 from tickloom.functions.tags import tag_set
 from tickloom.operators import dump, market
@@ -58,7 +59,7 @@ def tagged_texts(spark, sf_dir):
 
 
 def text_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.printable(F.col("text")).alias("escaped"))
+    return session.spread(table(spark, sf_dir, "documents")).select("doc_id", text.printable(F.col("text")).alias("escaped"))
 
 
 STATUS = {70: "Status::Filled", 79: "Status::Open"}
@@ -66,7 +67,7 @@ STATUS = {70: "Status::Filled", 79: "Status::Open"}
 
 def nested_orders(spark, sf_dir):
     """Orders as nested rows: struct, array, map, pair, enum, character, fixed field and missing values."""
-    o = table(spark, sf_dir, "orders")
+    o = session.spread(table(spark, sf_dir, "orders"))
     price = F.col("o_totalprice")
     return o.select(
         "o_orderkey",
@@ -90,7 +91,7 @@ def dump_text(spark, sf_dir):
 
 
 def dump_events(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    events = session.spread(table(spark, sf_dir, "events")).select("event_id", "user_id", "event_type", "value", "props")
     return dump.dump_text(events, keep=["event_id"], type_name="Event")
 
 

@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch of a timestamp without time zone, whatever the session's zone."""
-    since = (ts.cast("timestamp_ntz") - F.expr("timestamp_ntz'1970-01-01 00:00:00'")).cast("interval second")
-    return (since.cast("decimal(20,6)") * 1_000_000).cast("bigint")
+    minutes = (F.unix_date(ts.cast("date")) * 1440 + F.hour(ts) * 60 + F.minute(ts)).cast("bigint")
+    return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
 
 
 def _pick(index: Column, *names: str) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom import session
 from tickloom.functions.buckets import bucket
 from tickloom.operators import decode, quality
 from tickloom.operators.market import trade_metrics
 from tickloom.plans import sql
-from tickloom.plans.feed import HOUR_NS, feed, resent, table
+from tickloom.plans.feed import HOUR_NS, feed, from_events, resent, table
 from tickloom.sources import capture, wire
 from tickloom.sources.connections import with_attributes
 
@@ -16,7 +17,7 @@ MINUTE = 60
 
 
 def frames(spark, sf_dir):
-    return wire.encode(wire.wire_fields(feed(spark, sf_dir)))
+    return wire.encode(wire.wire_fields(from_events(session.spread(table(spark, sf_dir, "events")))))
 
 
 def damaged(spark, sf_dir):

@@ -21,6 +21,8 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.files.maxPartitionBytes", "256m")
+        # Expressions here are built from many small columns; recording the Python call site of each costs milliseconds.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
 
 
@@ -48,6 +50,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row when the input has fewer splits than there are cores.
+
+    Input of any size worth a cluster has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(kept: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether a table is small enough to be broadcast. Looks at ``limit + 1`` rows at most."""
     size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in kept.columns]))))
