@@ -83,7 +83,7 @@ def test_binary_fields(spark):
     rows.append((0, 0, 0, 2**63 - 1, 1.0, b"LSE"))
     data = [bytearray(struct.pack("<BHIQd16s", *r)) for r in rows]
     df = column(spark, data, "binary")
-    v = F.col("v")
+    v = "v"
     got = df.orderBy("i").select(
         binary.u8(v, 0), binary.u16(v, 1), binary.u32(v, 3), binary.u64(v, 7), binary.u63(v, 7), binary.f64(v, 15),
         binary.chars(v, 23, 16),

@@ -22,49 +22,46 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def scaled(x: Column, power: Column) -> Column:
-    """``x * 10**power`` rounded exactly to a whole number (half to even), as BIGINT.
+def _let(value: str, name: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` standing for ``value``, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    For ``x >= 0``, ``0 <= power <= 9`` and results below 2**52.
-    """
 
-    def product(s: Column) -> Column:
-        x, ten = s["x"], s["ten"]
-        high = x * SPLITTER - (x * SPLITTER - x)
-        error = (high * ten - x * ten) + (x - high) * ten
-        return F.struct((x * ten).alias("p"), error.alias("e"))
+def _apply(x: Column, name: str, body: str) -> Column:
+    """The SQL text ``body`` over ``name`` applied to a column. One text is much faster to build than many small columns."""
+    return F.get(F.call_function("transform", F.array(x.cast("double")), F.expr(f"{name} -> {body}")), F.lit(0))
 
-    def nearest(s: Column) -> Column:
-        whole = F.floor(s["p"])
-        above = (s["p"] - whole.cast("double") - 0.5) + s["e"]
-        return whole + F.when((above > 0) | ((above == 0) & (whole % 2 == 1)), 1).otherwise(0)
 
-    ten = F.pow(F.lit(10.0), power.cast("double"))
-    return let(let(F.struct(x.alias("x"), ten.alias("ten")), product), nearest)
+def _scaled(x: str, ten: str) -> str:
+    """``x * ten`` rounded exactly to a whole number, half to even.
 
+    ``ten`` is a power of ten up to 10**9, ``x >= 0`` and the result is below 2**52.
+    """
+    high = f"(s.x * {SPLITTER}D - (s.x * {SPLITTER}D - s.x))"
+    error = f"({high} * s.ten - s.x * s.ten) + (s.x - {high}) * s.ten"
+    product = _let(f"named_struct('x', {x}, 'ten', {ten})", "s", f"named_struct('p', s.x * s.ten, 'e', {error})")
+    above = "((q.p - floor(q.p) - 0.5D) + q.e)"
+    up = f"case when {above} > 0 or ({above} = 0 and floor(q.p) % 2 = 1) then 1 else 0 end"
+    return _let(product, "q", f"floor(q.p) + {up}")
 
-def _sign(x: Column) -> Column:
-    negative = (x < 0) | ((x == 0) & x.cast("string").startswith("-"))
-    return F.when(negative, "-").otherwise("")
 
+def _far_from_tie(value: str, margin: float) -> str:
+    """Whether rounding to a whole number cannot depend on the last bits."""
+    return f"abs({value} - floor({value}) - 0.5D) > {margin}D"
 
-def _special(x: Column) -> Column:
-    inf = float("inf")
-    return F.when(F.isnan(x), "nan").when(x == inf, "inf").when(x == -inf, "-inf")
 
+def _sign(x: str) -> str:
+    return f"case when {x} < 0 or ({x} = 0 and startswith(string({x}), '-')) then '-' else '' end"
 
-def _join_fraction(whole: Column, digits: Column) -> Column:
-    fraction = F.rtrim(digits, F.lit("0"))
-    return F.when(fraction == "", whole).otherwise(F.concat(whole, F.lit("."), fraction))
 
+def _special(x: str) -> str:
+    return (
+        f"case when isnan({x}) then 'nan' when {x} = double('infinity') then 'inf' when {x} = double('-infinity') then '-inf' end"
+    )
 
-def _far_from_tie(scaled_value: Column, margin: float) -> Column:
-    """Whether rounding to a whole number cannot depend on the last bits."""
-    return F.abs(scaled_value - F.floor(scaled_value).cast("double") - 0.5) > margin
 
-
-def _trimmed(text: Column) -> Column:
-    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+def _trimmed(text: str) -> str:
+    return f"trim(trailing '.' from trim(trailing '0' from {text}))"
 
 
 def fixed6(x: Column) -> Column:
@@ -72,29 +69,20 @@ def fixed6(x: Column) -> Column:
 
     Values that are not near a tie, nearly all, are formatted directly.
     """
-    x = x.cast("double")
-    plain = (F.abs(x) < 1e8) & _far_from_tie(F.abs(x) * 1e6, 0.1)
-    return F.when(plain, _trimmed(F.format_string("%.6f", x))).otherwise(_exact_fixed6(x))
-
-
-def _exact_fixed6(x: Column) -> Column:
-
-    def split(x: Column) -> Column:
-        size = F.abs(x)
-        whole = F.floor(size)
-        part = scaled(size - whole.cast("double"), F.lit(6))
-        return F.struct(x.alias("x"), whole.alias("i"), part.alias("m"))
-
-    def write(s: Column) -> Column:
-        carry = F.when(s["m"] == 1_000_000, 1).otherwise(0)
-        digits = F.lpad((s["m"] % 1_000_000).cast("string"), 6, "0")
-        return F.concat(_sign(s["x"]), _join_fraction((s["i"] + carry).cast("string"), digits))
-
-    def number(x: Column) -> Column:
-        big = F.regexp_replace(F.format_string("%.6f", x), r"\.0*$", "")
-        return F.coalesce(_special(x), F.when(F.abs(x) >= TWO_63, big).otherwise(let(split(x), write)))
-
-    return F.when(x.isNotNull(), let(x, number))
+    plain = f"abs(x) < 1e8D and {_far_from_tie('abs(x) * 1e6D', 0.1)}"
+    direct = _trimmed("format_string('%.6f', x)")
+    digits = "lpad(string(t.m % 1000000), 6, '0')"
+    whole = "string(t.i + case when t.m = 1000000 then 1 else 0 end)"
+    text = f"concat({_sign('t.x')}, {_trimmed(f'concat({whole}, {chr(39)}.{chr(39)}, {digits})')})"
+    parts = f"named_struct('x', x, 'i', floor(abs(x)), 'm', {_scaled('abs(x) - floor(abs(x))', '1e6D')})"
+    body = f"""
+      case when {plain} then {direct}
+        when x is null then null
+        when isnan(x) or abs(x) = double('infinity') then {_special('x')}
+        when abs(x) >= {TWO_63}D then {_trimmed("format_string('%.6f', x)")}
+        else {_let(parts, 't', text)} end
+    """
+    return _apply(x, "x", body)
 
 
 def general6(x: Column) -> Column:
@@ -102,71 +90,38 @@ def general6(x: Column) -> Column:
 
     Values between 1 and 999999 that are not near a tie are formatted directly.
     """
-    x = x.cast("double")
-    size = F.abs(x)
-    plain = F.when(size < 1, None)
+    cases = []
     for digits in range(5, 0, -1):
-        shown = F.when(_far_from_tie(size * 10.0**digits, 1e-3), _trimmed(F.format_string(f"%.{digits}f", x)))
-        plain = plain.when(size < 10.0 ** (6 - digits), shown)
-    plain = plain.when(size < 999999, F.when(_far_from_tie(size, 1e-3), F.format_string("%.0f", x)))
-    return F.coalesce(plain, _exact_general6(x))
-
-
-def _exact_general6(x: Column) -> Column:
-
-    def rounded(x: Column) -> Column:
-        return let(
-            F.struct(x.alias("x"), F.abs(x).alias("a"), F.floor(F.log10(F.abs(x))).cast("int").alias("e")), digits
-        )
-
-    def digits(s: Column) -> Column:
-        small = scaled(s["a"], F.lit(5) - s["e"])
-        unit = F.pow(F.lit(10.0), (s["e"] - 5).cast("double")).cast("bigint")
-        return let(
-            F.struct(
-                s["x"].alias("x"), s["e"].alias("e"),
-                F.when(s["e"] < 6, small).otherwise(let(F.struct(s["a"].alias("a"), unit.alias("u")), large)).alias("r"),
-            ),
-            carried,
-        )
-
-    def large(s: Column) -> Column:
-        whole = F.floor(s["a"])
-        rest = whole % s["u"]
-        kept = F.call_function("div", whole - rest, s["u"])
-        half = F.call_function("div", s["u"], F.lit(2))
-        beyond = s["a"] > whole.cast("double")
-        up = (rest > half) | ((rest == half) & (beyond | (kept % 2 == 1)))
-        return kept + F.when(up, 1).otherwise(0)
-
-    def carried(s: Column) -> Column:
-        full = s["r"] == 1_000_000
-        return let(
-            F.struct(
-                s["x"].alias("x"),
-                F.when(full, 100_000).otherwise(s["r"]).cast("string").alias("d"),
-                (s["e"] + F.when(full, 1).otherwise(0)).alias("e"),
-            ),
-            write,
-        )
-
-    def write(s: Column) -> Column:
-        d, e = s["d"], s["e"]
-        science = F.concat(
-            _join_fraction(F.substring(d, 1, 1), F.substring(d, 2, 5)),
-            F.lit("e+"), F.lpad(e.cast("string"), 2, "0"),
-        )
-        small = F.concat(F.lit("0."), F.rtrim(F.concat(F.repeat(F.lit("0"), -e - 1), d), F.lit("0")))
-        plain = _join_fraction(d.substr(F.lit(1), e + 1), d.substr(e + 2, F.lit(6)))
-        return F.concat(_sign(s["x"]), F.when(e >= 6, science).when(e < 0, small).otherwise(plain))
-
-    def number(x: Column) -> Column:
-        java = F.regexp_replace(F.format_string("%.5e", x), r"\.?0*e", "e")
-        zero = F.concat(_sign(x), F.lit("0"))
-        outside = (F.abs(x) < 1e-4) | (F.abs(x) >= TWO_63)
-        return F.coalesce(_special(x), F.when(x == 0, zero).when(outside, java).otherwise(rounded(x)))
-
-    return F.when(x.isNotNull(), let(x, number))
+        size = f"abs(x) * 1e{digits}D"
+        direct = _trimmed(f"format_string('%.{digits}f', x)")
+        cases.append(f"when abs(x) < 1e{6 - digits}D and abs(x) >= 1e{5 - digits}D and {_far_from_tie(size, 1e-3)} then {direct}")
+    cases.append(
+        f"when abs(x) < 999999D and abs(x) >= 1e5D and {_far_from_tie('abs(x)', 1e-3)} then format_string('%.0f', x)"
+    )
+    kept = "((floor(b.a) - floor(b.a) % b.u) div b.u)"
+    rest, half = "(floor(b.a) % b.u)", "(b.u div 2)"
+    up = f"({rest} > {half} or ({rest} = {half} and (b.a > floor(b.a) or {kept} % 2 = 1)))"
+    large = _let("named_struct('a', g.a, 'u', bigint(pow(10D, double(g.e - 5))))", "b", f"{kept} + case when {up} then 1 else 0 end")
+    small = _scaled("g.a", "pow(10D, double(5 - g.e))")
+    rounded = f"named_struct('x', g.x, 'e', g.e, 'r', case when g.e < 6 then {small} else {large} end)"
+    carried = """named_struct('x', r.x, 'e', r.e + case when r.r = 1000000 then 1 else 0 end,
+      'd', string(case when r.r = 1000000 then 100000 else r.r end))"""
+    science = f"concat({_trimmed("concat(left(w.d, 1), '.', substring(w.d, 2))")}, 'e+', lpad(string(w.e), 2, '0'))"
+    below = "concat('0.', trim(trailing '0' from concat(repeat('0', -w.e - 1), w.d)))"
+    plain = _trimmed("concat(left(w.d, w.e + 1), '.', substring(w.d, w.e + 2))")
+    text = f"concat({_sign('w.x')}, case when w.e >= 6 then {science} when w.e < 0 then {below} else {plain} end)"
+    exact = _let("named_struct('x', x, 'a', abs(x), 'e', int(floor(log10(abs(x)))))", "g",
+                 _let(rounded, "r", _let(carried, "w", text)))
+    java = "regexp_replace(format_string('%.5e', x), '[.]?0*e', 'e')"
+    body = f"""
+      case {' '.join(cases)}
+        when x is null then null
+        when isnan(x) or abs(x) = double('infinity') then {_special('x')}
+        when x = 0 then concat({_sign('x')}, '0')
+        when abs(x) < 1e-4D or abs(x) >= {TWO_63}D then {java}
+        else {exact} end
+    """
+    return _apply(x, "x", body)
 
 
 def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:

@@ -22,10 +22,10 @@ def frame_length_ok(frame: Column) -> Column:
     return F.length(frame).between(S.MIN_FRAME, S.MAX_FRAME)
 
 
-def message_type(frame: Column) -> Column:
+def message_type() -> Column:
     """First body byte; 0 (unknown) for a body shorter than its head or a code past the last known one."""
-    code = binary.u8(frame, _in_body(S.BODY_TYPE_AT))
-    short = F.length(frame) < _in_body(S.BODY_HEAD_BYTES)
+    code = binary.u8("frame", _in_body(S.BODY_TYPE_AT))
+    short = F.length("frame") < _in_body(S.BODY_HEAD_BYTES)
     return F.when(short | (code > S.INSTRUMENT_REF), S.UNKNOWN).otherwise(code)
 
 
@@ -42,32 +42,32 @@ def decode_heads(frames: DataFrame) -> DataFrame:
     f = F.col("frame")
     return frames.filter(frame_length_ok(f)).select(
         "*",
-        binary.u16(f, S.RESP_LEN_AT).alias("resp_len"),
-        binary.u64(f, S.RESP_SEQ_AT).alias("resp_seq"),
-        binary.u64(f, S.MSG_SEQ_AT).alias("msg_seq_num"),
-        binary.u32(f, S.HDR_TS_AT).alias("hdr_ts"),
-        binary.u16(f, S.FLAGS_AT).alias("flags"),
+        binary.u16("frame", S.RESP_LEN_AT).alias("resp_len"),
+        binary.u64("frame", S.RESP_SEQ_AT).alias("resp_seq"),
+        binary.u64("frame", S.MSG_SEQ_AT).alias("msg_seq_num"),
+        binary.u32("frame", S.HDR_TS_AT).alias("hdr_ts"),
+        binary.u16("frame", S.FLAGS_AT).alias("flags"),
         F.substring(f, S.HEAD_BYTES + 1, S.MAX_FRAME).alias("body"),
         (F.length(f) - S.HEAD_BYTES).alias("body_len"),
-        message_type(f).alias("msg_type"),
+        message_type().alias("msg_type"),
     )
 
 
 def typed(frames: DataFrame, layout_name: str) -> DataFrame:
     """All fields of one layout; other types and short bodies are left out."""
     layout = S.LAYOUTS[layout_name]
-    f, kind = F.col("frame"), message_type(F.col("frame"))
+    f, kind = F.col("frame"), message_type()
     wanted = frames.filter(
         (F.length(f) >= S.HEAD_BYTES + layout.size) & frame_length_ok(f) & kind.isin(*layout.codes)
     )
     return wanted.select(
         *[c for c in frames.columns if c != "frame"],
-        binary.u64(f, S.RESP_SEQ_AT).alias("resp_seq"),
-        binary.u64(f, S.MSG_SEQ_AT).alias("msg_seq_num"),
+        binary.u64("frame", S.RESP_SEQ_AT).alias("resp_seq"),
+        binary.u64("frame", S.MSG_SEQ_AT).alias("msg_seq_num"),
         kind.alias("msg_type"),
-        binary.u32(f, _in_body(S.BODY_SEQ_AT)).alias("body_seq"),
-        binary.u63(f, _in_body(S.BODY_TS_AT)).alias("ts_ns"),
-        *[binary.read(f, x.kind, _in_body(x.offset), x.width).alias(x.name) for x in layout.fields],
+        binary.u32("frame", _in_body(S.BODY_SEQ_AT)).alias("body_seq"),
+        binary.u63("frame", _in_body(S.BODY_TS_AT)).alias("ts_ns"),
+        *[binary.read("frame", x.kind, _in_body(x.offset), x.width).alias(x.name) for x in layout.fields],
     )
 
 
@@ -82,7 +82,7 @@ _MARKET = {name: "market" for name in S.LAYOUTS}
 _INSTRUMENT = {name: "instrument" for name in S.LAYOUTS}
 
 
-def _by_type(kind: Column, frame: Column, names: dict[str, str]) -> Column:
+def _by_type(kind: Column, names: dict[str, str]) -> Column:
     """One column out of the layouts' fields; layouts that keep the field at the same place share one expression."""
     places: dict[tuple, list[int]] = {}
     for layout_name, field_name in names.items():
@@ -91,7 +91,7 @@ def _by_type(kind: Column, frame: Column, names: dict[str, str]) -> Column:
         places.setdefault((x.kind, x.offset, x.width), []).extend(layout.codes)
     value = None
     for (kind_name, offset, width), codes in places.items():
-        read = binary.read(frame, kind_name, _in_body(offset), width)
+        read = binary.read("frame", kind_name, _in_body(offset), width)
         value = F.when(kind.isin(*codes), read) if value is None else value.when(kind.isin(*codes), read)
     return value
 
@@ -99,19 +99,19 @@ def _by_type(kind: Column, frame: Column, names: dict[str, str]) -> Column:
 def decode_feed(frames: DataFrame) -> DataFrame:
     """All typed messages in the one shape the metrics work on (``price`` and ``quantity`` as each type defines them)."""
     f = F.col("frame")
-    known = frames.filter(frame_length_ok(f)).withColumn("msg_type", message_type(f))
+    known = frames.filter(frame_length_ok(f)).withColumn("msg_type", message_type())
     known = known.filter(F.col("msg_type").between(S.ORDER_NEW, S.QUOTE_ASK) & body_size_ok(F.col("msg_type"), f))
     kind = F.col("msg_type")
     return known.select(
         "recv_order", "connection_id",
-        binary.u64(f, S.MSG_SEQ_AT).alias("msg_seq_num"),
-        binary.u63(f, _in_body(S.BODY_TS_AT)).alias("ts_ns"),
+        binary.u64("frame", S.MSG_SEQ_AT).alias("msg_seq_num"),
+        binary.u63("frame", _in_body(S.BODY_TS_AT)).alias("ts_ns"),
         "msg_type",
-        _by_type(kind, f, _MARKET).alias("market"),
-        _by_type(kind, f, _INSTRUMENT).alias("instrument"),
-        _by_type(kind, f, _BROKER).alias("broker"),
-        _by_type(kind, f, _PRICE).alias("price"),
-        _by_type(kind, f, _QUANTITY).alias("quantity"),
+        _by_type(kind, _MARKET).alias("market"),
+        _by_type(kind, _INSTRUMENT).alias("instrument"),
+        _by_type(kind, _BROKER).alias("broker"),
+        _by_type(kind, _PRICE).alias("price"),
+        _by_type(kind, _QUANTITY).alias("quantity"),
     )
 
 
@@ -121,12 +121,12 @@ def frame_rejects(frames: DataFrame) -> DataFrame:
     ``length`` counts as a parse error; ``short body`` (smaller than its type's layout) is skipped by the metrics, and so is
     ``timestamp`` (not below 2**63).
     """
-    f, kind = F.col("frame"), message_type(F.col("frame"))
+    f, kind = F.col("frame"), message_type()
     typed_kind = kind.between(S.ORDER_NEW, S.QUOTE_ASK)
     reason = (
         F.when(~frame_length_ok(f), "length")
         .when(typed_kind & ~body_size_ok(kind, f), "short body")
-        .when(typed_kind & binary.u63(f, _in_body(S.BODY_TS_AT)).isNull(), "timestamp")
+        .when(typed_kind & binary.u63("frame", _in_body(S.BODY_TS_AT)).isNull(), "timestamp")
     )
     return frames.select("connection_id", "recv_order", F.length(f).alias("frame_len"), reason.alias("reason")).filter(
         "reason is not null"

@@ -41,7 +41,7 @@ def stats_global(frames: DataFrame) -> DataFrame:
 
 def stats_connection(frames: DataFrame, connections: DataFrame | None = None) -> DataFrame:
     """The counters per connection with its last sequence number and, if given, its endpoint and item."""
-    last = F.max_by(F.when(frame_length_ok(F.col("frame")), binary.u64(F.col("frame"), S.RESP_SEQ_AT)), F.col("recv_order"))
+    last = F.max_by(F.when(frame_length_ok(F.col("frame")), binary.u64("frame", S.RESP_SEQ_AT)), F.col("recv_order"))
     stats = frames.groupBy("connection_id").agg(*_counters(), last.alias("last_seq_num"))
     return with_attributes(stats, connections) if connections is not None else stats
 

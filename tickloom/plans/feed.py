@@ -7,7 +7,7 @@ mapping is given as SQL for DuckDB, so that every query has an independent secon
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOUR_NS = 3_600_000_000_000
@@ -17,37 +17,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds since the epoch of a timestamp without time zone, whatever the session's zone."""
-    minutes = (F.unix_date(ts.cast("date")) * 1440 + F.hour(ts) * 60 + F.minute(ts)).cast("bigint")
-    return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
-
-
-def _pick(index: Column, *names: str) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))
+def micros(ts: str) -> str:
+    """SQL text: microseconds since the epoch of a timestamp without time zone, whatever the session's zone."""
+    minutes = f"bigint(unix_date(date({ts})) * 1440 + hour({ts}) * 60 + minute({ts}))"
+    return f"({minutes} * 60000000 + bigint(extract(second from {ts}) * 1000000))"
 
 
 def from_events(events: DataFrame) -> DataFrame:
     """Feed rows of the given ``events`` rows (batch or stream)."""
-    i = F.col("event_id")
-    n = F.call_function("div", i, F.lit(5))
-    late = F.when(i % 49 == 7, 2 * HOUR_NS).otherwise(0)
-    kind = F.col("event_type")
-    msg_type = (
-        F.when(i % 101 == 0, 65).when(i % 97 == 0, 7).when(kind == "signup", 1).when(kind == "view", 2)
-        .when(kind == "error", 3).when(kind == "purchase", 4).when(i % 2 == 0, 5).otherwise(6)
-    )
-    return events.select(
-        i.alias("recv_order"),
-        (i % 5).alias("connection_id"),
-        (n + 1 + F.call_function("div", n, F.lit(97))).alias("msg_seq_num"),
-        (micros(F.col("ts")) * 1000 - late).alias("ts_ns"),
-        msg_type.alias("msg_type"),
-        _pick(F.col("user_id") % 3, "NYSE", "NASDAQ", "LSE").alias("market"),
-        _pick(F.col("user_id") % 5, "AAPL", "MSFT", "GOOGL", "AMZN", "TSLA").alias("instrument"),
-        _pick(i % 3, "IB", "GS", "MS").alias("broker"),
-        F.col("value").alias("price"),
-        (F.get_json_object("props", "$.k").cast("bigint") + 1).alias("quantity"),
+    return events.selectExpr(
+        "event_id as recv_order",
+        "event_id % 5 as connection_id",
+        "event_id div 5 + 1 + event_id div 5 div 97 as msg_seq_num",
+        f"{micros('ts')} * 1000 - case when event_id % 49 = 7 then {2 * HOUR_NS} else 0 end as ts_ns",
+        """case when event_id % 101 = 0 then 65 when event_id % 97 = 0 then 7 when event_type = 'signup' then 1
+          when event_type = 'view' then 2 when event_type = 'error' then 3 when event_type = 'purchase' then 4
+          when event_id % 2 = 0 then 5 else 6 end as msg_type""",
+        "case user_id % 3 when 0 then 'NYSE' when 1 then 'NASDAQ' else 'LSE' end as market",
+        """case user_id % 5 when 0 then 'AAPL' when 1 then 'MSFT' when 2 then 'GOOGL' when 3 then 'AMZN' else 'TSLA' end
+          as instrument""",
+        "case event_id % 3 when 0 then 'IB' when 1 then 'GS' else 'MS' end as broker",
+        "value as price",
+        "bigint(get_json_object(props, '$.k')) + 1 as quantity",
     )
 
 

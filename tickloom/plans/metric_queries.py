@@ -98,7 +98,7 @@ def shipment_spec():
 
 def user_metrics(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumns({
-        "ship_ns": micros(F.col("l_shipdate")) * 1000,
+        "ship_ns": F.expr(micros("l_shipdate")) * 1000,
         "line_key": F.col("l_orderkey") * 1000 + F.col("l_linenumber"),
     })
     return shipment_spec().aggregate(lines, HOUR_MS, roll=False)
