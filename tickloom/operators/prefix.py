@@ -81,8 +81,13 @@ def following(
     backwards: bool = False,
     chunk: int = CHUNK,
     levels: int = LEVELS,
+    edges_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``name: column`` values of the next row in ``order`` within ``keys`` (the previous row if ``backwards``)."""
+    """Add ``name: column`` values of the next row in ``order`` within ``keys`` (the previous row if ``backwards``).
+
+    ``edges_from`` may give rows with the same first and last row per chunk that are cheaper to get than ``df``, such as the
+    rows before duplicates were removed.
+    """
     step = F.lag if backwards else F.lead
     if levels <= 1:
         w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(order)
@@ -95,7 +100,8 @@ def following(
     at_edge = step(F.lit(True)).over(w).isNull()
     inside = chunked.select("*", at_edge.alias("_edge"), *[step(c).over(w).alias(f"_in_{n}") for n, c in columns.items()])
 
-    edges = chunked.groupBy(*keys, slot).agg(*[edge_of(c, order).alias(f"_of_{n}") for n, c in columns.items()])
+    source = chunked if edges_from is None else edges_from.withColumn(slot, chunk_of(F.col(order), chunk))
+    edges = source.groupBy(*keys, slot).agg(*[edge_of(c, order).alias(f"_of_{n}") for n, c in columns.items()])
     carry = following(
         edges, keys, slot, {f"_next_{n}": f"_of_{n}" for n in columns}, backwards, chunk, levels - 1
     )

@@ -120,8 +120,10 @@ def seq_gaps(messages: DataFrame, seq: str = SEQ, chunk: int = prefix.CHUNK) ->
 
     Copies are reduced to one row before the numbers are ordered, and the order runs in chunks of the number axis.
     """
-    present = messages.select("connection_id", F.col(seq).cast("bigint").alias("after_seq")).distinct()
-    pairs = prefix.following(present, ["connection_id"], "after_seq", {"before_seq": "after_seq"}, chunk=chunk)
+    received = messages.select("connection_id", F.col(seq).cast("bigint").alias("after_seq"))
+    pairs = prefix.following(
+        received.distinct(), ["connection_id"], "after_seq", {"before_seq": "after_seq"}, chunk=chunk, edges_from=received
+    )
     return pairs.filter(F.col("before_seq") > F.col("after_seq") + 1).withColumn(
         "missing", F.col("before_seq") - F.col("after_seq") - 1
     )

@@ -64,7 +64,7 @@ def frame_rejects(spark, sf_dir):
 
 
 def capture_split(spark, sf_dir):
-    segments = wire.pack_segments(frames(spark, sf_dir), 70_000)
+    segments = session.materialize(wire.pack_segments(frames(spark, sf_dir), 70_000))  # stands for stored files
     heads = decode.decode_heads(capture.frames_of(capture.split_segments(segments)))
     return _whole(heads.select("connection_id", "resp_seq", "resp_len", "msg_type"), "resp_seq")
 

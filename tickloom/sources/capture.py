@@ -34,7 +34,8 @@ from tickloom import session
 HALF = 1 << 16
 STATES = HALF + 256
 RUN = 4096  # segments chained in one task
-FEW_WALKS = 8
+FEW_WALKS = 8  # from here on the walks are followed one by one
+BLOCK = 4096  # bytes the walks advance between two joins
 
 _KEY = "connection_id bigint, segment_no bigint"
 _CHAIN = f"{_KEY}, last_no bigint, size bigint, reach int, entries binary, exits binary, opened binary"
@@ -114,16 +115,17 @@ def exits_of(data: np.ndarray) -> np.ndarray:
     known = np.arange(256, dtype=np.int64) | (int(data[0]) << 8)
     starts = np.concatenate([starts, np.where(known < S.MIN_FRAME, -1, known - 1)])
     positions, walk = np.unique(starts, return_inverse=True)
-    block = 0
-    while len(positions) > FEW_WALKS and ((positions >= 0) & (positions < size - 1)).any():
-        block += HALF
-        while True:
-            open_ = np.flatnonzero((positions >= 0) & (positions < min(block, size - 1)))
-            if not len(open_):
-                break
-            at = positions[open_]
+    stop = 0
+    while len(positions) > FEW_WALKS and stop < size - 1:
+        # Positions are sorted: take the walks that are furthest back up to the next stop, then join those that met.
+        stop = min(stop + BLOCK, size - 1)
+        first, last = np.searchsorted(positions, [0, stop])
+        part = positions[first:last].copy()
+        while len(open_ := np.flatnonzero((part >= 0) & (part < stop))):
+            at = part[open_]
             length = data[at].astype(np.int64) | (data[at + 1].astype(np.int64) << 8)
-            positions[open_] = np.where(length < S.MIN_FRAME, -1, at + length)
+            part[open_] = np.where(length < S.MIN_FRAME, -1, at + length)
+        positions[first:last] = part
         positions, merged = np.unique(positions, return_inverse=True)
         walk = merged[walk]
     ends = _walk_few(memoryview(data), positions.tolist(), size)
