@@ -14,7 +14,7 @@ import time
 from pyspark.sql import SparkSession
 
 from tickloom.plans import registry
-from tickloom.session import tuned
+from tickloom.session import ship_package, tuned
 
 HEADLINE = (
     "trade_metrics order_metrics quote_metrics late_rolled_trades late_rolled_orders late_rolled_quotes late_rolled_two_level "
@@ -37,6 +37,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     messages = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     times = {}
     for name in os.environ.get("BENCH_QUERIES", " ".join(HEADLINE)).split():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +28,19 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; not needed where it is installed on the cluster."""
+    context = spark.sparkContext
+    if getattr(context, "_tickloom_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="package-"), "tickloom"), "zip", os.path.dirname(home), os.path.basename(home)
+    )
+    context.addPyFile(archive)
+    context._tickloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only for a local master without it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
