@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import pieces
+from tickloom.llm import mixing, pieces
 
 PIECES = "piece_bpe_32k.model"
 
@@ -25,5 +25,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_pieces": op7_pieces}
-SQL: dict[str, str] = {}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+QUERIES = {"op7_pieces": op7_pieces, "op9_mixing": op9_mixing}
+SQL = {"op9_mixing": mixing.SQL}
