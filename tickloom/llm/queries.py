@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, pieces
+from tickloom.llm import mixing, pieces, topk
 
 PIECES = "piece_bpe_32k.model"
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
     return rows.select(
@@ -30,5 +34,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op7_pieces": op7_pieces, "op9_mixing": op9_mixing}
-SQL = {"op9_mixing": mixing.SQL}
+QUERIES = {"op4_topk": op4_topk, "op7_pieces": op7_pieces, "op9_mixing": op9_mixing}
+SQL = {"op4_topk": topk.SQL, "op9_mixing": mixing.SQL}
