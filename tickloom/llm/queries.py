@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, pieces, topk
+from tickloom.llm import langid, mixing, pieces, topk
 
 PIECES = "piece_bpe_32k.model"
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.filter(~held_out), public_tokenizers.path(PIECES))
+    rows = langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return rows.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
@@ -34,5 +42,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op4_topk": op4_topk, "op7_pieces": op7_pieces, "op9_mixing": op9_mixing}
+QUERIES = {"op1_langid": op1_langid, "op4_topk": op4_topk, "op7_pieces": op7_pieces, "op9_mixing": op9_mixing}
 SQL = {"op4_topk": topk.SQL, "op9_mixing": mixing.SQL}
