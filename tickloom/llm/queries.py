@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import langid, mixing, pieces, topk
+from tickloom.llm import langid, licenses, mixing, pieces, topk
 
 PIECES = "piece_bpe_32k.model"
 
@@ -23,6 +23,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark, licenses.LICENSES))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
@@ -42,5 +46,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op1_langid": op1_langid, "op4_topk": op4_topk, "op7_pieces": op7_pieces, "op9_mixing": op9_mixing}
-SQL = {"op4_topk": topk.SQL, "op9_mixing": mixing.SQL}
+QUERIES = {
+    "op1_langid": op1_langid,
+    "op2_licenses": op2_licenses,
+    "op4_topk": op4_topk,
+    "op7_pieces": op7_pieces,
+    "op9_mixing": op9_mixing,
+}
+SQL = {
+    "op2_licenses": licenses.sql(licenses.LICENSES),
+    "op4_topk": topk.SQL,
+    "op9_mixing": mixing.SQL,
+}
