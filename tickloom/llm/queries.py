@@ -6,9 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import langid, licenses, mixing, pieces, topk
+from tickloom.llm import langid, licenses, mixing, pieces, topk, urls
 
 PIECES = "piece_bpe_32k.model"
+RULES = [
+    urls.Rule("allow", "com/"), urls.Rule("block", "example.com/en/"), urls.Rule("allow", "www.example.com/en/"),
+    urls.Rule("block", "net/es/"), urls.Rule("block", "net/fr/"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +35,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
     return rows.select(
@@ -50,6 +58,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op2_licenses": op2_licenses,
     "op4_topk": op4_topk,
+    "op5_urls": op5_urls,
     "op7_pieces": op7_pieces,
     "op9_mixing": op9_mixing,
 }
