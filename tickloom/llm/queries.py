@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import langid, licenses, mixing, pieces, topk, urls
+from tickloom.llm import jaccard, langid, licenses, mixing, pieces, topk, urls
 
 PIECES = "piece_bpe_32k.model"
 RULES = [
@@ -31,6 +31,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark, licenses.LICENSES))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
@@ -57,6 +61,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_licenses": op2_licenses,
+    "op3_jaccard": op3_jaccard,
     "op4_topk": op4_topk,
     "op5_urls": op5_urls,
     "op7_pieces": op7_pieces,
