@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import jaccard, langid, licenses, mixing, pieces, topk, urls
+from tickloom.llm import jaccard, langid, licenses, lines, mixing, pieces, topk, urls
 
 PIECES = "piece_bpe_32k.model"
 RULES = [
@@ -43,6 +43,11 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
     return rows.select(
@@ -64,11 +69,13 @@ QUERIES = {
     "op3_jaccard": op3_jaccard,
     "op4_topk": op4_topk,
     "op5_urls": op5_urls,
+    "op6_lines": op6_lines,
     "op7_pieces": op7_pieces,
     "op9_mixing": op9_mixing,
 }
 SQL = {
     "op2_licenses": licenses.sql(licenses.LICENSES),
     "op4_topk": topk.SQL,
+    "op6_lines": lines.SQL,
     "op9_mixing": mixing.SQL,
 }
