@@ -128,7 +128,7 @@ def _packed(parts: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]
 def index(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
     """From ``doc_id, text``: packed index entries by ``bucket``; common tokens stay out of it and come with their sets.
 
-    Rows with ``bucket`` null: the set ``id`` has the common tokens ``entries`` among its first.
+    Rows with a negative ``bucket``: the set ``id`` has the common tokens ``entries`` among its first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
     fields = {"bucket": pa.int32(), "id": pa.int64(), "entries": pa.binary()}
@@ -162,7 +162,8 @@ def index(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                 if held > TOKENS:
                     yield flush()
                     parts, held = [], 0
-            yield _arrow(fields, {"bucket": [None] * len(late), "id": [i for i, _ in late], "entries": [e for _, e in late]})
+            away = [-1 - i % buckets for i, _ in late]
+            yield _arrow(fields, {"bucket": away, "id": [i for i, _ in late], "entries": [e for _, e in late]})
         if parts:
             yield flush()
 
@@ -190,10 +191,16 @@ def _short(one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan(entries: DataFrame, short: int = SHORT) -> DataFrame:
-    """``kind, a, b``: candidates (kind 0), and members ``b`` of the long list led by ``a`` (kind 1)."""
-    fields = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64()}
+    """``kind, a, b``: candidates (kind 0), and members ``b`` of the long list led by ``a`` (kind 1); kind 2 passes sets with common
+    tokens on: ``a`` and ``entries``."""
+    fields = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "entries": pa.binary()}
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key[0].as_py() < 0:
+            for batch in batches:
+                n = batch.num_rows
+                yield _arrow(fields, {"kind": [2] * n, "a": batch.column("id"), "b": [None] * n, "entries": batch.column("entries")})
+            return
         every = [np.frombuffer(e.as_buffer(), ENTRY) for batch in batches for e in batch.column("entries")]
         pairs, members = [], []
         for one in _lists(np.concatenate(every)):
@@ -207,9 +214,9 @@ def scan(entries: DataFrame, short: int = SHORT) -> DataFrame:
                 if not kind:
                     found.sort(axis=0)
                 a, b = np.unique(found, axis=1)
-                yield _arrow(fields, {"kind": np.full(len(a), kind), "a": a, "b": b})
+                yield _arrow(fields, {"kind": np.full(len(a), kind), "a": a, "b": b, "entries": [None] * len(a)})
 
-    return entries.groupBy("bucket").applyInArrow(run, "kind int, a long, b long")
+    return entries.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, entries binary")
 
 
 def _leader(ids: np.ndarray) -> int:
@@ -429,11 +436,10 @@ def links_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, short: int =
     often = sets.filter("sketch is null").groupBy("d1").agg(F.sum("n").alias("n"))
     often = often.filter(F.col("n") > max(COMMON, total.rows * COMMON_PART)).orderBy(F.desc("n"), "d1").limit(COMMON_MOST)
     common = np.sort(often.toArrow().column("d1").to_numpy().astype(np.uint64))
-    found = materialize(index(docs, common, total.tokens * (PART - SHARE) // PART // BUCKET + 8))
-    scanned = materialize(scan(found.filter("bucket is not null").select("bucket", "entries"), short))
-    late = common_members(found.filter("bucket is null").select("id", "entries"))
+    scanned = materialize(scan(index(docs, common, total.tokens * (PART - SHARE) // PART // BUCKET + 8), short))
+    late = common_members(scanned.filter("kind = 2").select(F.col("a").alias("id"), "entries"))
     pairs = scanned.filter("kind = 0").select("a", "b")
-    inside = scanned.filter("kind = 1").unionAll(late).select(F.col("a").alias("family"), F.col("b").alias("id"))
+    inside = scanned.filter("kind = 1").select("kind", "a", "b").unionAll(late).select(F.col("a").alias("family"), F.col("b").alias("id"))
     links = spark.createDataFrame([], "a long, b long")
     while True:
         families = materialize(inside.distinct())
