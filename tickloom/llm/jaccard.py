@@ -32,11 +32,13 @@ from tickloom.session import materialize, small_side
 SHARE, PART = 75, 100
 WIDTH = 5
 # Lists up to this length are paired; longer ones go by differences from a reference set.
-SHORT = 48
+SHORT = 64
+# Places in short lists that a pair must share, unless it needs fewer or also shares one in a long list.
+HITS = 5
 # Members a reference set is made of.
 SAMPLE = 33
 # A token is taken as common if it is in more documents than this, and than this part of them. At most so many are sent to tasks.
-COMMON, COMMON_PART, COMMON_MOST = 48, 1 / 2000, 200_000
+COMMON, COMMON_PART, COMMON_MOST = 32, 1 / 5000, 500_000
 # Tokens a task counts or keeps at a time, and index entries per bucket, about.
 TOKENS = 1 << 21
 BUCKET = 1 << 19
@@ -50,8 +52,8 @@ def needed(a, b):
 
 
 def _first(n: int) -> int:
-    """How many tokens, in the common order, are indexed of a set of ``n``."""
-    return n - -(-SHARE * n // PART) + 1 if n else 0
+    """How many tokens, in the common order, are indexed of a set of ``n``: similar sets have ``HITS`` of them in common."""
+    return min(n, n - -(-SHARE * n // PART) + HITS)
 
 
 def _arrow(fields: dict[str, pa.DataType], columns: dict) -> pa.RecordBatch:
@@ -108,8 +110,15 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary")
 
 
+def _among(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which of the tokens are in the sorted ``common``."""
+    if not len(common):
+        return np.zeros(len(tokens), bool)
+    return common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
+
+
 def _ordered(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    late = np.isin(tokens, common, assume_unique=True)
+    late = _among(tokens, common)
     return np.concatenate([tokens[~late], tokens[late]])
 
 
@@ -151,7 +160,7 @@ def index(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                     seen.clear()
                 seen.add(own)
                 first = _ordered(tokens, often)[: _first(len(tokens))]
-                is_common = np.isin(first, often, assume_unique=True)
+                is_common = _among(first, often)
                 if is_common.any():
                     late.append((own, first[is_common].tobytes()))
                 entries = np.empty(len(first), ENTRY)
@@ -181,25 +190,26 @@ def _lists(entries: np.ndarray) -> Iterator[np.ndarray]:
             yield entries[a:b]
 
 
-def _short(one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list, without the blocks of sizes and places that rule a pair out."""
+def _short(one: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs of a list and how many lists they must share, without the blocks of sizes and places that rule a pair out."""
     size, place = one["size"].astype(np.int64), one["place"].astype(np.int64)
     a, b = np.triu_indices(len(one), 1)
     left = np.minimum(size[a] - place[a], size[b] - place[b])
-    good = (SHARE * size[b] <= PART * size[a]) & (left >= needed(size[a], size[b]))
-    return one["id"][a[good]], one["id"][b[good]]
+    good = (SHARE * size[b] <= PART * size[a]) & (left > needed(size[a], size[b]) - HITS)
+    x, y, need = one["id"][a[good]], one["id"][b[good]], needed(size[a], size[b])[good]
+    return np.minimum(x, y), np.maximum(x, y), np.minimum(need, HITS)
 
 
 def scan(entries: DataFrame, short: int = SHORT) -> DataFrame:
-    """``kind, a, b``: candidates (kind 0), and members ``b`` of the long list led by ``a`` (kind 1); kind 2 passes sets with common
-    tokens on: ``a`` and ``entries``."""
-    fields = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "entries": pa.binary()}
+    """``kind, a, b, hits, need``: short lists that candidates share and have to share (kind 0), and members ``b`` of the long list led by ``a`` (kind 1);
+    kind 2 passes sets with common tokens on: ``a`` and ``entries``."""
+    fields = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "hits": pa.int64(), "need": pa.int64(), "entries": pa.binary()}
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key[0].as_py() < 0:
             for batch in batches:
                 n = batch.num_rows
-                yield _arrow(fields, {"kind": [2] * n, "a": batch.column("id"), "b": [None] * n, "entries": batch.column("entries")})
+                yield _arrow(fields, {"kind": [2] * n, "a": batch.column("id"), "b": [None] * n, "hits": [0] * n, "need": [0] * n, "entries": batch.column("entries")})
             return
         every = [np.frombuffer(e.as_buffer(), ENTRY) for batch in batches for e in batch.column("entries")]
         pairs, members = [], []
@@ -207,16 +217,14 @@ def scan(entries: DataFrame, short: int = SHORT) -> DataFrame:
             if len(one) <= short:
                 pairs.append(np.stack(_short(one)))
             else:
-                members.append(np.stack([np.full(len(one), _leader(one["id"])), one["id"]]))
+                members.append(np.stack([np.full(len(one), _leader(one["id"])), one["id"], np.zeros(len(one), np.int64)]))
         for kind, found in ((0, pairs), (1, members)):
             if found:
-                found = np.concatenate(found, axis=1)
-                if not kind:
-                    found.sort(axis=0)
-                a, b = np.unique(found, axis=1)
-                yield _arrow(fields, {"kind": np.full(len(a), kind), "a": a, "b": b, "entries": [None] * len(a)})
+                (a, b, need), hits = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+                rows = {"kind": np.full(len(a), kind), "a": a, "b": b, "hits": hits, "need": need, "entries": [None] * len(a)}
+                yield _arrow(fields, rows)
 
-    return entries.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, entries binary")
+    return entries.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, hits long, need long, entries binary")
 
 
 def _leader(ids: np.ndarray) -> int:
@@ -267,8 +275,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
         need = needed(na.to_numpy(), nb.to_numpy())
         return pa.array([most_shared(x.as_py(), y.as_py()) >= k for x, y, k in zip(sa, sb, need)], pa.bool_())
 
-    size = "100 * least(a_n, b_n) >= 75 * greatest(a_n, b_n)"
-    near = near.filter(size).filter(may("a_n", "b_n", "a_sketch", "b_sketch"))
+    near = near.filter(SHARE * F.greatest("a_n", "b_n") <= PART * F.least("a_n", "b_n")).filter(may("a_n", "b_n", "a_sketch", "b_sketch"))
     near = materialize(near.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), F.col("a_d1").alias("ad"), F.col("b_d1").alias("bd")))
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = with_texts(ids, docs)
@@ -360,7 +367,7 @@ class Families:
         minus, plus = F.octet_length("minus") / 8, F.octet_length("plus") / 8
         rows = rows.withColumn("cost", ((PART * minus) + SHARE * plus).cast("long")).withColumn("reach", F.col("whole") * (PART - SHARE))
         closest = rows.groupBy("family").agg(F.min("cost").alias("least"), F.min_by("rep", F.struct("cost", "id")).alias("hub"))
-        rows = materialize(rows.join(small_side(closest)[0], "family"))
+        rows = rows.join(small_side(closest)[0], "family")
         links = rows.filter("cost + least <= reach and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         buckets = max(1, rows.agg(F.sum(F.octet_length("minus") + F.octet_length("plus"))).first()[0] or 0) // (8 * BUCKET) + 1
         fields = {"bucket": pa.int32(), "entries": pa.binary()}
@@ -438,7 +445,8 @@ def links_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, short: int =
     common = np.sort(often.toArrow().column("d1").to_numpy().astype(np.uint64))
     scanned = materialize(scan(index(docs, common, total.tokens * (PART - SHARE) // PART // BUCKET + 8), short))
     late = common_members(scanned.filter("kind = 2").select(F.col("a").alias("id"), "entries"))
-    pairs = scanned.filter("kind = 0").select("a", "b")
+    pairs = scanned.filter("kind = 0").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need"))
+    pairs = pairs.filter("hits >= need").select("a", "b")
     inside = scanned.filter("kind = 1").select("kind", "a", "b").unionAll(late).select(F.col("a").alias("family"), F.col("b").alias("id"))
     links = spark.createDataFrame([], "a long, b long")
     while True:
@@ -447,7 +455,7 @@ def links_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, short: int =
             break
         close, candidates, inside = Families(families, classes, docs).solve(short)
         links, pairs = links.unionAll(close), pairs.unionAll(candidates)
-    return links.unionAll(verified(materialize(pairs.distinct()), classes, docs))
+    return links.unionAll(verified(pairs.distinct(), classes, docs))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", short: int = SHORT) -> DataFrame:
