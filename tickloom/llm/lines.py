@@ -37,38 +37,61 @@ def _sums(words: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(terms)])
 
 
-def _halves(sums: np.ndarray) -> list[int]:
-    """Keys of the line's first and last half, as the shorter or equal line of a pair, and as the longer one."""
-    n, total, out = len(sums) - 1, int(sums[-1]), []
-    for m in (n, n - 1):
-        first, last = m // 2, m - m // 2
-        tail = ((total - int(sums[n - last])) * pow(_BACK, n - last, 1 << 64)) & _MASK
-        out += [(int(sums[first]) + m * 4) & _MASK, (tail + m * 4 + 1) & _MASK]
-    return shingles._mixed(np.array(out, np.uint64)).astype(np.int64).tolist()
-
-
 def _variants(sums: np.ndarray) -> np.ndarray:
     """Hashes of the line, and of it without each of its words."""
     without = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(_BACK)
     return shingles._mixed(np.concatenate([sums[-1:], without])).astype(np.int64)
 
 
+_BACKS = np.ones(1, np.uint64)
+
+
+def _backs(n: int) -> np.ndarray:
+    """Powers of the step's inverse, that bring a stretch of terms to the start."""
+    global _BACKS
+    if len(_BACKS) < n:
+        powers = np.full(2 * n, _BACK, np.uint64)
+        powers[0] = 1
+        _BACKS = np.multiply.accumulate(powers)
+    return _BACKS
+
+
+def keys_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's lines with words: their numbers, hashes, numbers of words, and four half keys each.
+
+    The keys are of the first and last half of the line as the shorter or equal one of a pair, and as the longer one.
+    """
+    words, starts = shingles.words(text, fold=False)
+    number = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts)
+    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])[: len(number)])
+    last = np.concatenate([first[1:], [len(number)]])[: len(first)]
+    sums, backs = _sums(words), _backs(len(words) + 1)
+
+    def stretch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (sums[b] - sums[a]) * backs[a]
+
+    n, halves = last - first, []
+    for m in (n, n - 1):
+        mark = m.astype(np.uint64) * np.uint64(4)
+        halves += [stretch(first, first + m // 2) + mark, stretch(last - (m - m // 2), last) + mark + np.uint64(1)]
+    keys = shingles._mixed(np.stack(halves, axis=1)).astype(np.int64)
+    return number[first], shingles._mixed(stretch(first, last)).astype(np.int64), n, keys
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """From ``doc, text``: ``doc, line, h, halves`` of every line with words; ``halves`` is null for short ones."""
-    fields = {"doc": pa.int64(), "line": pa.int32(), "h": pa.int64(), "halves": pa.list_(pa.int64())}
+    """From ``doc, text``: ``doc, line, h, halves`` of every line with words; short ones have no ``halves``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {name: [] for name in fields}
-            for doc, text in zip(batch.column("doc").to_pylist(), shingles.texts(batch.column("text"))):
-                for at, line in enumerate(text.split(b"\n")):
-                    words = shingles.word_hashes(line, fold=False)
-                    if len(words):
-                        sums = _sums(words)
-                        values = (doc, at, int(_variants(sums[-1:])[0]), _halves(sums) if len(words) >= MIN_WORDS else None)
-                        for name, value in zip(fields, values):
-                            out[name].append(value)
-            yield pa.record_batch([pa.array(out[n], kind) for n, kind in fields.items()], list(fields))
+            found = [keys_of(text) for text in shingles.texts(batch.column("text"))]
+            if not found:
+                continue
+            number, h, n, keys = (np.concatenate(part) for part in zip(*found))
+            docs = np.repeat(batch.column("doc").to_numpy(), [len(one[0]) for one in found])
+            long = n >= MIN_WORDS
+            offsets = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
+            halves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[long].ravel()))
+            yield pa.record_batch([pa.array(docs), pa.array(number.astype(np.int32)), pa.array(h), halves], ["doc", "line", "h", "halves"])
 
     return docs.mapInArrow(run, "doc long, line int, h long, halves array<long>")
 
@@ -137,7 +160,7 @@ def _words(line: str) -> list[bytes]:
 
 def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """``h`` of the lines that an earlier one is within the bound of. ``distinct`` has ``h, first, halves``, a row per line."""
-    keys = distinct.filter("halves is not null").select("h", "first", F.explode("halves").alias("half"))
+    keys = distinct.select("h", "first", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     wanted = keys.join(shared, "half").select("h", "first").distinct()
     by_doc = wanted.groupBy(F.col("first.doc").alias("doc")).agg(

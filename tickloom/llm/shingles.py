@@ -41,18 +41,25 @@ def _powers(n: int) -> np.ndarray:
 
 def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
     """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, with A-Z lower-cased if ``fold``."""
-    found = []
+    return words(text, fold)[0]
+
+
+def words(text: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and where they start."""
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     at = 0
     while at < len(text):
         end = at + PART
         while end < len(text) and text[end] not in SEPARATORS:
             end += 1
-        found.append(_hashed(np.frombuffer(text, np.uint8, min(end, len(text)) - at, at), fold))
+        found, places = _hashed(np.frombuffer(text, np.uint8, min(end, len(text)) - at, at), fold)
+        hashes.append(found)
+        starts.append(places + at)
         at = end
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
-def _hashed(raw: np.ndarray, fold: bool) -> np.ndarray:
+def _hashed(raw: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     space = _IS_SPACE[raw]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     edges = np.concatenate([[0], edges, [len(raw)]])
@@ -60,14 +67,14 @@ def _hashed(raw: np.ndarray, fold: bool) -> np.ndarray:
         edges = edges[1:]
     starts, ends = edges[0:-1:2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), starts
     lengths = ends - starts
     keep = np.flatnonzero(~space)
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     place = np.arange(len(keep)) - np.repeat(offsets, lengths)
     values = (_FOLD[raw[keep]] if fold else raw[keep]).astype(np.uint64) + np.uint64(1)
     values *= _powers(int(lengths.max()))[place]
-    return _mixed(np.add.reduceat(values, offsets))
+    return _mixed(np.add.reduceat(values, offsets)), starts
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:
