@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import jaccard, langid, licenses, lines, mixing, pieces, topk, urls
+from tickloom.llm import chat, jaccard, langid, licenses, lines, mixing, pieces, spotsigs, topk, urls
 
 PIECES = "piece_bpe_32k.model"
 RULES = [
@@ -63,6 +63,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.rotate(table(spark, sf_dir, "conversations"))
+    return rows.withColumn("segment_sha256", F.sha2("segment", 256)).drop("segment")
+
+
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spotsigs.edited_pairs(table(spark, sf_dir, "documents"))
+    return rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_licenses": op2_licenses,
@@ -71,11 +81,15 @@ QUERIES = {
     "op5_urls": op5_urls,
     "op6_lines": op6_lines,
     "op7_pieces": op7_pieces,
+    "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
+    "op10_spotsigs": op10_spotsigs,
 }
 SQL = {
     "op2_licenses": licenses.sql(licenses.LICENSES),
     "op4_topk": topk.SQL,
     "op6_lines": lines.SQL,
+    "op8_chat": chat.SQL,
     "op9_mixing": mixing.SQL,
+    "op10_spotsigs": spotsigs.SQL,
 }
