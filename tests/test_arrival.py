@@ -100,3 +100,16 @@ def test_following(spark, levels, chunk, backwards):
         for a, b in zip(own, own[1:] + [(None, None, None)]):
             want[a[1]] = b[2]
     assert {r.o: r.next for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("way", ["lookup", "chunked"])
+def test_rows_without_time_or_key(spark, way):
+    """A row without a time is in no bucket and moves nothing; rows without a key are a feed of their own."""
+    rows = [("a", 0, 5000), ("a", 1, None), ("a", 2, 100), (None, 3, 7000), (None, 4, 50), (None, 5, None), ("a", 6, 5100)]
+    df = feed(spark, rows)
+    roll = arrival.roll_forward if way == "lookup" else arrival.roll_forward_chunked
+    got = {r.recv_order: (r.own_bucket, r.bucket_ts, r.late) for r in roll(df, 100, ["k"]).collect()}
+    assert got == {
+        0: (5000, 5000, False), 1: (None, None, False), 2: (100, 5000, True), 3: (7000, 7000, False), 4: (0, 7000, True),
+        5: (None, None, False), 6: (5100, 5100, False),
+    }

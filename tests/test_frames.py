@@ -157,3 +157,14 @@ def test_aligned_segments_from_files(spark, tmp_path):
     split = capture.split_segments(capture.read_segments(spark, str(tmp_path)), aligned=True)
     assert capture.frames_of(split).count() == 25
     assert [(r.connection_id, r.segment_no, r.problem, r.left_over) for r in capture.parse_errors(split).collect()] == [(1, 1, "incomplete", 6)]
+
+
+def test_arrival_order_that_does_not_fit_raises(spark):
+    rows = [(0, 63, 0), (1, 0, 0), (2**25 - 1, 63, 5)]
+    schema = "segment_no bigint, connection_id bigint, frame_offset int, problem string, frame binary"
+    split = spark.createDataFrame([(*r, None, b"x") for r in rows], schema)
+    orders = [r.recv_order for r in capture.frames_of(split).collect()]
+    assert len(set(orders)) == 3 and min(orders) > 0
+    for bad in ((0, 64, 0), (2**25, 0, 0), (-1, 0, 0)):
+        with pytest.raises(Exception, match="too large"):
+            capture.frames_of(spark.createDataFrame([(*bad, None, b"x")], schema)).collect()

@@ -107,3 +107,11 @@ def test_dump_stops_at_its_depth(spark):
     assert "  " * 10 + "x = (max depth reached)\n" in text
     assert text.count("{") == 10
     assert json.dumps(text)
+
+
+def test_csv_files_keep_outer_blanks(spark, tmp_path):
+    rows = spark.createDataFrame([(" A ", "x ", 5)], "sym string, note string, bucket_ts bigint")
+    options = AggregationOptions(output_format="csv", output_dir=str(tmp_path), filename_prefix="p")
+    path = formats.write_metrics(rows, "m", ["sym"], ["note"], options, 0)
+    back = spark.read.csv(path, header=True, quote='"', escape='"').first()
+    assert (back.tag_sym, back.field_note) == (" A ", "x ")

@@ -1,5 +1,6 @@
 import json
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,18 @@ def test_options_are_checked(bad):
         AggregationOptions(**bad)
     AggregationOptions(**{**bad, "enabled": False})
     AggregationOptions(window_ms=100), AggregationOptions(window_ms=3_600_000)
+
+
+def test_gaps_over_the_full_unsigned_range(spark):
+    seqs = [0, 1, 2**63 - 1, 2**63, 2**63 + 2, 2**64 - 1]
+    rows = spark.createDataFrame([(1, Decimal(n)) for n in seqs], "connection_id int, msg_seq_num decimal(20,0)")
+    got = sorted((int(r.after_seq), int(r.before_seq), int(r.missing)) for r in quality.seq_gaps(rows).collect())
+    assert got == [(a, b, b - a - 1) for a, b in zip(seqs, seqs[1:]) if b - a > 1]
+
+
+def test_interval_report_over_a_long_idle_time(spark):
+    second = 1_000_000_000
+    rows = spark.createDataFrame([(0, 10), (200_000 * second, 20)], "recv_ns bigint, frame_len int")
+    got = quality.stats_interval(rows, 1)
+    assert got.count() == 200_001
+    assert got.filter("bytes_delta > 0").count() == 2

@@ -60,3 +60,13 @@ def test_stream_to_line_files(spark, tmp_path):
     total = sum(int(line.split(" ")[1][2:-1]) for line in lines)
     assert total == 20 and all(line.startswith("ticks,sym=a n=") for line in lines)
     assert spark.read.text(str(tmp_path / "out" / "p_ticks.lp")).select(F.count_distinct("batch_id")).first()[0] >= 2
+
+
+def test_events_without_a_time_are_counted(spark, tmp_path):
+    spec = Metrics("m", {"sym": "sym"}, adds={"total": "v"})
+    job = roll.RollingMetrics(spec, 100, str(tmp_path / "state"), roll.parquet_writer(str(tmp_path / "out")))
+    job.process(spark.createDataFrame([(0, 10**9, "a", 1), (1, None, "a", 2)], SCHEMA), 0)
+    job.process(spark.createDataFrame([(2, None, "b", 4), (3, 10**9 + 5, "a", 8)], SCHEMA), 1)
+    job.finish(spark, 1)
+    assert {(r.sym, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 9)}
+    assert job.untimed(spark).first()[0] == 2

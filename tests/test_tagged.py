@@ -108,3 +108,9 @@ def test_keys_and_pivot(spark):
     assert wide.columns == ["measurement", "tags", "bucket_ts", "x", "y"]
     assert sorted((sorted(r.tags.items()), r.x or "", r.y) for r in wide.collect()) == [([("a", "1")], "5", "1.5"), ([("b", "2")], "", "t")]
     assert values.select(tag_set({"k": F.lit(1)}).alias("t")).first().t == {"k": "1"}
+
+
+def test_keep_series_of_a_null_tag(spark):
+    rows = spark.createDataFrame([(None, 0, 1), ("a", 10, 2), (None, 20, 3)], "sym string, bucket_ts bigint, v bigint")
+    got = {(r.sym, r.bucket_ts): r.v for r in keep.keep_series(rows, ["sym"], 10).collect()}
+    assert got == {(None, 0): 1, (None, 10): None, (None, 20): 3, ("a", 10): 2, ("a", 20): None}

@@ -11,6 +11,8 @@ Both tables have one row per distinct bucket. While they are small (checked, see
 broadcast, and the feed is rolled without shuffling or sorting its rows: on-time rows need one hash lookup by bucket, late
 rows a second one by a chunk of the arrival axis. Otherwise the chunked running max of :mod:`tickloom.operators.prefix` does
 it with one shuffle. The two give the same rows.
+
+A row without a time has no bucket, is not late, and moves nothing. Rows with a NULL key are a feed of their own.
 """
 
 from __future__ import annotations
@@ -42,13 +44,13 @@ def roll_forward(
 
     ``keys`` separate feeds with clocks of their own, such as ``measurement``; ``order`` is the unique arrival position.
     """
-    own = df.withColumn("own_bucket", bucket(F.col(ts), period_ns))
-    openings, few = session.small_side(_openings(own, keys, order), limit)
+    own, feeds = _own(df, period_ns, keys, ts)
+    openings, few = session.small_side(_openings(own, feeds, order), limit)
     if few:
-        closing = _closing(openings, keys)
-        intervals = _open_intervals(closing, keys)
+        closing = session.materialize(_closing(openings, feeds))
+        intervals = _open_intervals(closing, feeds)
         if intervals is not None:
-            return _roll_by_lookup(own, df.columns, closing, *intervals, keys, order)
+            return _roll_by_lookup(own, df.columns, closing, *intervals, feeds, order)
     return roll_forward_chunked(df, period_ns, keys, ts, order, chunk)
 
 
@@ -61,14 +63,23 @@ def roll_forward_chunked(
     chunk: int = prefix.CHUNK,
 ) -> DataFrame:
     """:func:`roll_forward` by a running max over the rows: one shuffle, no assumption on the number of buckets."""
+    own, feeds = _own(df, period_ns, keys, ts)
+    seen = prefix.running(own, feeds, order, {"_open": ("max", "own_bucket")}, chunk=chunk)
+    effective = F.when(F.col("own_bucket").isNotNull(), F.col("_open"))
+    late = F.coalesce(F.col("own_bucket") < F.col("_open"), F.lit(False))
+    return seen.select(*df.columns, "own_bucket", effective.alias("bucket_ts"), late.alias("late"))
+
+
+def _own(df: DataFrame, period_ns: int, keys: Sequence[str], ts: str) -> tuple[DataFrame, list[str]]:
+    """Add ``own_bucket``, and each key in a struct, which is never NULL itself."""
+    feeds = [f"_feed_{k}" for k in keys]
     own = df.withColumn("own_bucket", bucket(F.col(ts), period_ns))
-    seen = prefix.running(own, keys, order, {"bucket_ts": ("max", "own_bucket")}, chunk=chunk)
-    return seen.withColumn("late", F.col("own_bucket") < F.col("bucket_ts"))
+    return own.withColumns({f: F.struct(F.col(k).alias("key")) for f, k in zip(feeds, keys)}) if keys else own, feeds
 
 
 def _openings(own: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """First and last position of every bucket; combined on the map side, one row per bucket is shuffled."""
-    return own.groupBy(*keys, "own_bucket").agg(F.min(order).alias("first_at"), F.max(order).alias("last_at"))
+    return own.filter("own_bucket is not null").groupBy(*keys, "own_bucket").agg(F.min(order).alias("first_at"), F.max(order).alias("last_at"))
 
 
 def _closing(openings: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -27,7 +27,13 @@ def keep_series(metrics: DataFrame, tags: Sequence[str], period_ns: int) -> Data
 
     starts = metrics.groupBy(*tags).agg(F.min("bucket_ts").alias("series_start"))
     first = numbered.select(F.col("bucket_ts").alias("series_start"), F.col("_n").alias("_first"))
-    steps = F.explode(F.sequence("_first", F.lit(last))).alias("_n")
-    series = starts.join(first, "series_start").select(*tags, "series_start", steps).join(numbered, "_n").drop("_n")
+    spans = starts.join(first, "series_start").select(*tags, "series_start", "_first", F.lit(last).cast("bigint").alias("_last"))
+    series = prefix.expanded(spans, "_first", "_last", "_n").join(numbered, "_n").select(*tags, "series_start", "bucket_ts")
     fields = [c for c in metrics.columns if c not in (*tags, "bucket_ts")]
-    return series.join(metrics, [*tags, "bucket_ts"], "left").select(*tags, "series_start", "bucket_ts", *fields)
+    s, m = series.alias("s"), metrics.alias("m")
+    match = F.col("s.bucket_ts") == F.col("m.bucket_ts")
+    for tag in tags:
+        match = match & F.col(f"s.`{tag}`").eqNullSafe(F.col(f"m.`{tag}`"))
+    return s.join(m, match, "left").select(
+        *[F.col(f"s.`{c}`") for c in (*tags, "series_start", "bucket_ts")], *[F.col(f"m.`{c}`") for c in fields]
+    )

@@ -28,6 +28,15 @@ def chunk_of(order: Column, chunk: int) -> Column:
     return F.call_function("div", order - F.pmod(order, F.lit(chunk)), F.lit(chunk))
 
 
+def expanded(df: DataFrame, first: str, last: str, name: str, width: int = 1 << 12) -> DataFrame:
+    """A row for every number from column ``first`` to ``last``, as ``name``; in two steps, so that no row holds a long array."""
+    low, high = F.col(first), F.col(last)
+    slots = df.withColumn("_slot", F.explode(F.sequence(chunk_of(low, width), chunk_of(high, width))))
+    start = F.col("_slot") * width
+    numbers = F.sequence(F.greatest(low, start), F.least(high, start + (width - 1)))
+    return slots.select(*df.columns, F.explode(numbers).alias(name))
+
+
 def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     return rows.join(carry.select(*keys, *columns), list(keys), "left")
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom import schema as S
 from tickloom import session
@@ -65,7 +66,8 @@ def stats_interval(
 ) -> DataFrame:
     """Report per interval: running totals, what the interval added, and its rate in Mbit/s.
 
-    Idle intervals between the first and the last one report too, with nothing added.
+    Idle intervals between the first and the last one report too, with nothing added: one row with a time far from the others
+    makes as many rows as there are intervals up to it, so filter such times first.
     """
     step = seconds * 1_000_000_000
     number = F.call_function("div", F.col(recv_ns), F.lit(step))
@@ -75,7 +77,7 @@ def stats_interval(
     busy = session.materialize(busy)
     span = busy.groupBy(*keys) if keys else busy.groupBy()
     span = span.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).filter("lo is not null")
-    every = span.select(*keys, F.explode(F.sequence("lo", "hi")).alias("n"))
+    every = prefix.expanded(span, "lo", "hi", "n").select(*keys, "n")
     filled = every.join(busy, [*keys, "n"], "left").fillna(0, ["received_delta", "bytes_delta"])
     total = prefix.running(
         filled, keys, "n", {"received_total": ("sum", "received_delta"), "bytes_total": ("sum", "bytes_delta")}
@@ -120,13 +122,19 @@ def seq_gaps(messages: DataFrame, seq: str = SEQ, chunk: int = prefix.CHUNK) ->
 
     Copies are reduced to one row before the numbers are ordered, and the order runs in chunks of the number axis.
     """
-    received = messages.select("connection_id", F.col(seq).cast("bigint").alias("after_seq"))
+    kind = messages.schema[seq].dataType
+    unsigned = isinstance(kind, T.DecimalType)  # the full unsigned range, brought into that of a BIGINT for ordering
+    shift = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    place = (F.col(seq).cast("decimal(20,0)") - shift).cast("bigint") if unsigned else F.col(seq).cast("bigint")
+    received = messages.select("connection_id", place.alias("after_seq"))
     pairs = prefix.following(
         received.distinct(), ["connection_id"], "after_seq", {"before_seq": "after_seq"}, chunk=chunk, edges_from=received
     )
-    return pairs.filter(F.col("before_seq") > F.col("after_seq") + 1).withColumn(
-        "missing", F.col("before_seq") - F.col("after_seq") - 1
-    )
+    if unsigned:
+        back = {c: (F.col(c).cast("decimal(20,0)") + shift).cast("decimal(20,0)") for c in ("after_seq", "before_seq")}
+        pairs = pairs.withColumns(back)
+    missing = F.col("before_seq") - F.col("after_seq") - 1
+    return pairs.filter(missing > 0).withColumn("missing", missing.cast("decimal(20,0)") if unsigned else missing)
 
 
 def seq_duplicates(messages: DataFrame, seq: str = SEQ) -> DataFrame:

@@ -17,7 +17,7 @@ MINUTE = 60
 
 
 def frames(spark, sf_dir):
-    return wire.encode(wire.wire_fields(from_events(session.spread(table(spark, sf_dir, "events")))))
+    return wire.encode(wire.wire_fields(from_events(table(spark, sf_dir, "events"))))
 
 
 def damaged(spark, sf_dir):

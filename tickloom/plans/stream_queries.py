@@ -12,11 +12,12 @@ from tickloom.schema import FEED_SCHEMA
 from tickloom.streaming import handler, roll, windows
 
 SLICES = 4
+FILES = 4
 NOW = {"availableNow": True}
 
 
 def replay(spark, rows):
-    """The rows as a stream of files, one file per micro-batch; the files are written one after another in arrival order."""
+    """The rows as a stream of files, ``FILES`` per micro-batch; the slices are written one after another in arrival order."""
     path = session.scratch_path(spark, "feed")
     rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FEED_SCHEMA])
     lo, hi = rows.agg(F.min("recv_order"), F.max("recv_order")).first()
@@ -24,8 +25,8 @@ def replay(spark, rows):
     for i in range(SLICES):
         start = lo + i * width
         part = rows.filter(F.col("recv_order").between(start, start + width - 1))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(FEED_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(FEED_SCHEMA).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def _finished(query):
@@ -133,6 +134,23 @@ from rolled where msg_type = 4
 """,
         measured=sql.MEASURED, rolled=sql.rolled("measured"),
     ),
+    # What a watermark drops is fixed by the slices: in each, trades of hours that ended before the latest trade of the slices before.
+    "stream_drop_late": sql.with_feed(
+        f"""
+select market, instrument, bucket_ts, count(*) as numTrades, cast(sum(quantity) as bigint) as totalVolume
+from (
+  select *, (select max(b.ts_ns // 1000000) from sliced b where b.slice < a.slice) as mark, max(ts_ns // 1000000) over () as last_mark
+  from (select *, ts_ns - ts_ns % 3600000000000 as bucket_ts from sliced) a
+)
+where (bucket_ts // 1000000 + 3600000 > mark or mark is null) and bucket_ts // 1000000 + 3600000 <= last_mark
+group by all
+""",
+        sliced=f"""
+select *, (recv_order - (select min(recv_order) from feed))
+  // ((select max(recv_order) - min(recv_order) from feed) // {SLICES} + 1) as slice
+from feed where msg_type = 4
+""",
+    ),
     "stream_dedup": sql.with_feed(
         "select connection_id, msg_seq_num, ts_ns, msg_type, market, instrument, broker, price, quantity from feed"
     ),

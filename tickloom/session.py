@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
+# Generated methods above this size are not compiled by the JVM; Spark then runs the operators one by one, which is faster.
+COMPILED_METHOD_BYTES = 8000
+
 
 def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings the jobs are written for; everything else is left to the cluster."""
@@ -23,11 +26,19 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.files.maxPartitionBytes", "256m")
+        .config("spark.sql.codegen.hugeMethodLimit", COMPILED_METHOD_BYTES)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Expressions here are built from many small columns; recording the Python call site of each costs milliseconds.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
 
 
+def prepare(spark: SparkSession) -> None:
+    """What the jobs need of a session that was not made by :func:`tuned`."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED_METHOD_BYTES)
+    ship_package(spark)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application; not needed where it is installed on the cluster."""
     context = spark.sparkContext
@@ -43,12 +54,12 @@ def ship_package(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only for a local master without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
@@ -65,19 +76,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for work that is heavy per row when the input has fewer splits than there are cores.
-
-    Input of any size worth a cluster has more splits than cores and is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this library's own, on whatever storage it is; nothing happens if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def is_small(kept: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a table is small enough to be broadcast. Looks at ``limit + 1`` rows at most."""
+    """Whether a materialized table is small enough to be broadcast: one count and sum, combined in the tasks that read it."""
     size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in kept.columns]))))
-    rows, size = kept.limit(limit + 1).agg(F.count("*"), size).first()
+    rows, size = kept.agg(F.count("*"), size).first()
     return rows <= limit and (size or 0) <= BROADCAST_BYTES
 
 

@@ -91,7 +91,10 @@ def write_metrics(
     path = batch_dir(options, measurement, batch_id)
     if options.csv:
         rows = csv_rows(metrics, measurement, tags, fields)
-        rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+        rows.write.mode("overwrite").csv(
+            path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        )
     else:
         line_protocol(metrics, measurement, tags, fields).write.mode("overwrite").text(path)
     return path

@@ -35,6 +35,7 @@ HALF = 1 << 16
 STATES = HALF + 256
 RUN = 4096  # segments chained in one task
 FEW_WALKS = 8  # from here on the walks are followed one by one
+MAX_SEGMENTS = 1 << 25
 BLOCK = 4096  # bytes the walks advance between two joins
 
 _KEY = "connection_id bigint, segment_no bigint"
@@ -77,8 +78,13 @@ def split_segments(segments: DataFrame, aligned: bool = False, run: int = RUN) -
 
 
 def frames_of(split: DataFrame) -> DataFrame:
-    """The frames as a frame table. ``recv_order`` follows segment number, connection and offset."""
+    """The frames as a frame table. ``recv_order`` follows segment number, connection and offset.
+
+    Connections outside 0 to 63 and segment numbers from 2**25 on would not fit into it and raise an error.
+    """
+    fits = F.col("connection_id").between(0, S.MAX_CONNECTIONS - 1) & F.col("segment_no").between(0, MAX_SEGMENTS - 1)
     order = F.shiftleft(F.col("segment_no") * S.MAX_CONNECTIONS + F.col("connection_id"), 32) + F.col("frame_offset")
+    order = F.when(fits, order).otherwise(F.raise_error(F.lit("connection or segment number too large for the arrival order")).cast("bigint"))
     return split.filter("problem is null").select("connection_id", order.alias("recv_order"), "frame")
 
 

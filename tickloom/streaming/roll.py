@@ -5,8 +5,8 @@ never decrease in arrival order, hence between micro-batches only one bucket is
 far. What a batch has to know is that bucket and its partial aggregates, one row per tag set.
 
 Each batch reads the state folder of the batch before it, writes the buckets it closed to an output folder of its own and
-its open bucket to a state folder of its own, and replaces both when it is retried. Folders of batches before the last two
-are no longer read and may be removed at any time.
+its open bucket to a state folder of its own, and replaces both when it is retried. State folders of batches before the last two
+are no longer read and are removed. Events without a time are in no bucket; they are counted in the report.
 """
 
 from __future__ import annotations
@@ -57,7 +57,9 @@ class RollingMetrics:
         spark = batch.sparkSession
         before = self._state(spark, batch_id - 1) if batch_id else None
         spec = replace(self.spec, adds={**self.spec.adds, LATE: F.lit(0).cast("bigint")})
-        rolled = roll_forward(spec.rows(batch), self.window_ms * NS_PER_MS)
+        batch = batch.persist()  # read once; given back below
+        untimed = batch.filter(F.col("ts_ns").isNull()).count()
+        rolled = roll_forward(spec.rows(batch.filter(F.col("ts_ns").isNotNull())), self.window_ms * NS_PER_MS)
         if before is not None:
             carried = before.agg(F.max("bucket_ts")).first()[0]
             if carried is not None:
@@ -76,7 +78,11 @@ class RollingMetrics:
         report = closed.agg(
             F.coalesce(F.sum(LATE), F.lit(0)).alias("late_events"), F.count_distinct("bucket_ts").alias("flushes")
         )
+        report = report.withColumn("untimed_events", F.lit(untimed).cast("bigint"))
         report.write.mode("overwrite").parquet(f"{self.state_dir}/report/batch_id={batch_id}")
+        batch.unpersist()
+        if batch_id > 1:
+            session.remove_path(spark, f"{self.state_dir}/open/batch_id={batch_id - 2}")
 
     def finish(self, spark: SparkSession, last_batch: int) -> None:
         """Write the bucket still open after the last batch, under the name ``final``."""
@@ -86,12 +92,20 @@ class RollingMetrics:
         report = rest.agg(
             F.coalesce(F.sum(LATE), F.lit(0)).alias("late_events"), F.count_distinct("bucket_ts").alias("flushes")
         )
+        report = report.withColumn("untimed_events", F.lit(0).cast("bigint"))
         report.write.mode("overwrite").parquet(f"{self.state_dir}/report/batch_id=final")
 
     def report(self, spark: SparkSession) -> DataFrame:
         """Late events in the buckets written so far, and how many buckets that are."""
-        parts = spark.read.option("basePath", f"{self.state_dir}/report").parquet(f"{self.state_dir}/report")
+        parts = self._reports(spark)
         return parts.agg(F.sum("late_events").alias("late_events"), F.sum("flushes").alias("flushes"))
 
+    def untimed(self, spark: SparkSession) -> DataFrame:
+        """Events without a time, which are in no bucket."""
+        return self._reports(spark).agg(F.sum("untimed_events").cast("bigint").alias("untimed_events"))
+
+    def _reports(self, spark: SparkSession) -> DataFrame:
+        return spark.read.option("basePath", f"{self.state_dir}/report").parquet(f"{self.state_dir}/report")
+
     def _state(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return spark.read.parquet(f"{self.state_dir}/open/batch_id={batch_id}")
