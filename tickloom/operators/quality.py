@@ -146,7 +146,15 @@ def seq_duplicates(messages: DataFrame, seq: str = SEQ) -> DataFrame:
 
 
 def without_duplicates(messages: DataFrame, seq: str = SEQ) -> DataFrame:
-    """The first copy to arrive of every message; copies meet in partial aggregates, so many copies make no hot task."""
-    rest = [c for c in messages.columns if c not in ("connection_id", seq)]
-    first = messages.groupBy("connection_id", seq).agg(F.min_by(F.struct(*rest), "recv_order").alias("first"))
-    return first.select("connection_id", seq, "first.*").select(*messages.columns)
+    """The first copy to arrive of every message; ``recv_order`` tells copies apart.
+
+    Only numbers and positions are shuffled, in a combinable aggregate. Numbers received more than once are few: their table is
+    broadcast if its size allows, and the rows themselves are neither sorted nor moved.
+    """
+    copies = messages.groupBy(F.col("connection_id").alias("_connection"), F.col(seq).alias("_seq")).agg(
+        F.min("recv_order").alias("_first"), F.count("*").alias("_copies")
+    )
+    repeated, _ = session.small_side(copies.filter("_copies > 1").drop("_copies"))
+    same = F.col("connection_id").eqNullSafe(F.col("_connection")) & F.col(seq).eqNullSafe(F.col("_seq"))
+    first = F.col("_first").isNull() | (F.col("recv_order") == F.col("_first"))
+    return messages.join(repeated, same, "left").filter(first).select(*messages.columns)
