@@ -1,10 +1,13 @@
 """Exact Jaccard join of word shingles, and the groups its links make.
 
 Equal sets are one class from the start. Each set's tokens (hashed shingles) have one order for all: by hash, tokens that many
-documents share last. Two sets that are similar share a token among the first quarter of either, so only these are indexed:
+documents share last. Index keys are pairs of tokens that follow each other in that order: a token in one set only breaks one such
+pair of the other set at most, so two similar sets have half of their pairs in common, and one among the first half of either, in one
+order of the pairs. A passage that many documents share hardly ever gives them a pair, as their own tokens come in between. Small
+sets, where a half is little, are indexed by single tokens, a quarter of them.
 
 * **Short lists.** Entries lie in order of size; sizes too far apart are skipped as a block, and so are places too late in the order
-  for enough tokens to follow. What is left are candidates, which are first bounded by small count sketches of the whole sets,
+  for enough keys to follow. What is left are candidates, which are first bounded by small count sketches of the whole sets,
   then verified on the texts.
 * **Long lists.** Their sets are mostly copies of one text with edits. Pairs are not listed. A reference set is made for them (tokens
   that most of a few members have), and each member is kept as its difference from it, which gives its overlap with every other
@@ -33,17 +36,18 @@ SHARE, PART = 75, 100
 WIDTH = 5
 # Lists up to this length are paired; longer ones go by differences from a reference set.
 SHORT = 64
-# Places in short lists that a pair must share, unless it needs fewer or also shares one in a long list.
-HITS = 5
+# Sets up to this size are indexed by tokens, sets from SHARE / PART of it on by pairs of tokens, so those in between by both.
+SMALL = 32
 # Members a reference set is made of.
 SAMPLE = 33
 # A token is taken as common if it is in more documents than this, and than this part of them. At most so many are sent to tasks.
-COMMON, COMMON_PART, COMMON_MOST = 32, 1 / 5000, 500_000
+COMMON, COMMON_PART, COMMON_MOST = 32, 1 / 5000, 200_000
 # Tokens a task counts or keeps at a time, and index entries per bucket, about.
 TOKENS = 1 << 21
 BUCKET = 1 << 19
 
-ENTRY = np.dtype([("token", "u8"), ("id", "i8"), ("size", "u4"), ("place", "u4")])
+# A key of the index, the set, and its size and the key's place in single tokens, 0 in pairs.
+ENTRY = np.dtype([("token", "u8"), ("id", "i8"), ("size", "u4"), ("place", "u1")])
 
 
 def needed(a, b):
@@ -52,8 +56,38 @@ def needed(a, b):
 
 
 def _first(n: int) -> int:
-    """How many tokens, in the common order, are indexed of a set of ``n``: similar sets have ``HITS`` of them in common."""
-    return min(n, n - -(-SHARE * n // PART) + HITS)
+    """How many tokens, in the common order, are indexed of a small set of ``n``."""
+    return n - -(-SHARE * n // PART) + 1 if n else 0
+
+
+def _first_pairs(n: int) -> int:
+    """How many pairs, in their order, are indexed of a set of ``n`` tokens, which has ``n - 1``.
+
+    With ``o`` tokens in common and ``d`` in one set only, ``o - 1 - d`` pairs are in both. As ``o`` is at least
+    ``SHARE / (PART + SHARE)`` of both sizes together, and the other size is at least ``SHARE / PART`` of this one, that is at least
+    ``n * (2 * SHARE - PART) / PART - 1``.
+    """
+    return n - 1 - (n * (2 * SHARE - PART) // PART - 1) + 1
+
+
+def index_keys(tokens: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a sorted set, which of them are common, and their places."""
+    n, late = len(tokens), _among(tokens, common)
+    ordered, late = np.concatenate([tokens[~late], tokens[late]]), np.concatenate([late[~late], late[late]])
+    keys, commons, places = [], [], []
+    if n <= SMALL:
+        first = _first(n)
+        keys.append(ordered[:first])
+        commons.append(late[:first])
+        places.append(np.arange(first))
+    if PART * n >= SHARE * SMALL and n > 1:
+        pairs = shingles._mixed(ordered[:-1] * np.uint64(3) + shingles._mixed(ordered[1:]))
+        both = late[:-1] & late[1:]
+        order = np.lexsort((pairs, both))[: _first_pairs(n)]
+        keys.append(pairs[order])
+        commons.append(both[order])
+        places.append(np.zeros(len(order), np.int64))
+    return np.concatenate(keys), np.concatenate(commons), np.concatenate(places)
 
 
 def _arrow(fields: dict[str, pa.DataType], columns: dict) -> pa.RecordBatch:
@@ -117,11 +151,6 @@ def _among(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
 
 
-def _ordered(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    late = _among(tokens, common)
-    return np.concatenate([tokens[~late], tokens[late]])
-
-
 def _packed(parts: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
     """Entries by bucket of their token, for packed rows."""
     entries = np.concatenate(parts)
@@ -135,9 +164,9 @@ def _packed(parts: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]
 
 
 def index(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """From ``doc_id, text``: packed index entries by ``bucket``; common tokens stay out of it and come with their sets.
+    """From ``doc_id, text``: packed index entries by ``bucket``; common keys stay out of it and come with their sets.
 
-    Rows with a negative ``bucket``: the set ``id`` has the common tokens ``entries`` among its first.
+    Rows with a negative ``bucket``: the set ``id`` has the common keys ``entries`` among its first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
     fields = {"bucket": pa.int32(), "id": pa.int64(), "entries": pa.binary()}
@@ -159,15 +188,13 @@ def index(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                 if len(seen) >= TOKENS:
                     seen.clear()
                 seen.add(own)
-                first = _ordered(tokens, often)[: _first(len(tokens))]
-                is_common = _among(first, often)
+                keys, is_common, places = index_keys(tokens, often)
                 if is_common.any():
-                    late.append((own, first[is_common].tobytes()))
-                entries = np.empty(len(first), ENTRY)
-                entries["token"], entries["id"], entries["size"] = first, own, len(tokens)
-                entries["place"] = np.arange(len(first))
+                    late.append((own, keys[is_common].tobytes()))
+                entries = np.empty(len(keys), ENTRY)
+                entries["token"], entries["id"], entries["size"], entries["place"] = keys, own, len(tokens), places
                 parts.append(entries[~is_common])
-                held += len(first)
+                held += len(keys)
                 if held > TOKENS:
                     yield flush()
                     parts, held = [], 0
@@ -191,25 +218,25 @@ def _lists(entries: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _short(one: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pairs of a list and how many lists they must share, without the blocks of sizes and places that rule a pair out."""
+    """Pairs of a list, without the blocks of sizes and places that rule a pair out."""
     size, place = one["size"].astype(np.int64), one["place"].astype(np.int64)
     a, b = np.triu_indices(len(one), 1)
     left = np.minimum(size[a] - place[a], size[b] - place[b])
-    good = (SHARE * size[b] <= PART * size[a]) & (left > needed(size[a], size[b]) - HITS)
-    x, y, need = one["id"][a[good]], one["id"][b[good]], needed(size[a], size[b])[good]
-    return np.minimum(x, y), np.maximum(x, y), np.minimum(need, HITS)
+    good = (SHARE * size[b] <= PART * size[a]) & (left >= needed(size[a], size[b]))
+    x, y = one["id"][a[good]], one["id"][b[good]]
+    return np.minimum(x, y), np.maximum(x, y)
 
 
 def scan(entries: DataFrame, short: int = SHORT) -> DataFrame:
-    """``kind, a, b, hits, need``: short lists that candidates share and have to share (kind 0), and members ``b`` of the long list led by ``a`` (kind 1);
-    kind 2 passes sets with common tokens on: ``a`` and ``entries``."""
-    fields = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "hits": pa.int64(), "need": pa.int64(), "entries": pa.binary()}
+    """``kind, a, b``: candidates (kind 0), and members ``b`` of the long list led by ``a`` (kind 1); kind 2 passes sets with common
+    keys on: ``a`` and ``entries``."""
+    fields = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "entries": pa.binary()}
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key[0].as_py() < 0:
             for batch in batches:
                 n = batch.num_rows
-                yield _arrow(fields, {"kind": [2] * n, "a": batch.column("id"), "b": [None] * n, "hits": [0] * n, "need": [0] * n, "entries": batch.column("entries")})
+                yield _arrow(fields, {"kind": [2] * n, "a": batch.column("id"), "b": [None] * n, "entries": batch.column("entries")})
             return
         every = [np.frombuffer(e.as_buffer(), ENTRY) for batch in batches for e in batch.column("entries")]
         pairs, members = [], []
@@ -217,14 +244,13 @@ def scan(entries: DataFrame, short: int = SHORT) -> DataFrame:
             if len(one) <= short:
                 pairs.append(np.stack(_short(one)))
             else:
-                members.append(np.stack([np.full(len(one), _leader(one["id"])), one["id"], np.zeros(len(one), np.int64)]))
+                members.append(np.stack([np.full(len(one), _leader(one["id"])), one["id"]]))
         for kind, found in ((0, pairs), (1, members)):
             if found:
-                (a, b, need), hits = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-                rows = {"kind": np.full(len(a), kind), "a": a, "b": b, "hits": hits, "need": need, "entries": [None] * len(a)}
-                yield _arrow(fields, rows)
+                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield _arrow(fields, {"kind": np.full(len(a), kind), "a": a, "b": b, "entries": [None] * len(a)})
 
-    return entries.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, hits long, need long, entries binary")
+    return entries.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, entries binary")
 
 
 def _leader(ids: np.ndarray) -> int:
@@ -443,14 +469,13 @@ def links_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, short: int =
     often = sets.filter("sketch is null").groupBy("d1").agg(F.sum("n").alias("n"))
     often = often.filter(F.col("n") > max(COMMON, total.rows * COMMON_PART)).orderBy(F.desc("n"), "d1").limit(COMMON_MOST)
     common = np.sort(often.toArrow().column("d1").to_numpy().astype(np.uint64))
-    scanned = materialize(scan(index(docs, common, total.tokens * (PART - SHARE) // PART // BUCKET + 8), short))
+    scanned = materialize(scan(index(docs, common, total.tokens // 2 // BUCKET + 8), short))
     late = common_members(scanned.filter("kind = 2").select(F.col("a").alias("id"), "entries"))
-    pairs = scanned.filter("kind = 0").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need"))
-    pairs = pairs.filter("hits >= need").select("a", "b")
+    pairs = scanned.filter("kind = 0").select("a", "b")
     inside = scanned.filter("kind = 1").select("kind", "a", "b").unionAll(late).select(F.col("a").alias("family"), F.col("b").alias("id"))
     links = spark.createDataFrame([], "a long, b long")
     while True:
-        families = materialize(inside.distinct())
+        families = materialize(_merged(inside.distinct()).distinct())
         if families.isEmpty():
             break
         close, candidates, inside = Families(families, classes, docs).solve(short)
@@ -458,6 +483,17 @@ def links_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, short: int =
     return links.unionAll(verified(pairs.distinct(), classes, docs))
 
 
+def _merged(members: DataFrame) -> DataFrame:
+    """Families whose leaders are members of another one go into it: what two sets are in together, they stay in together."""
+    order = F.struct(F.xxhash64("family"), "family")
+    least = members.groupBy("id").agg(F.min_by("family", order).alias("into"))
+    for _ in range(2):
+        into = least.withColumnRenamed("id", "family")
+        joined = members.join(into, "family", "left")
+        members = joined.select(F.coalesce("into", "family").alias("family"), "id").distinct()
+    return members
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", short: int = SHORT) -> DataFrame:
     """``key, n_shingles, component_id`` of every row.
 
