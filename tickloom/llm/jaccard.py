@@ -43,8 +43,8 @@ SAMPLE = 33
 # A token is taken as common if it is in more documents than this, and than this part of them. At most so many are sent to tasks.
 COMMON, COMMON_PART, COMMON_MOST = 32, 1 / 5000, 200_000
 # Tokens a task counts or keeps at a time, and index entries per bucket, about.
-TOKENS = 1 << 21
-BUCKET = 1 << 19
+TOKENS = 1 << 20
+BUCKET = 1 << 20
 
 # A key of the index, the set, and its size and the key's place in single tokens, 0 in pairs.
 ENTRY = np.dtype([("token", "u8"), ("id", "i8"), ("size", "u4"), ("place", "u1")])
