@@ -59,27 +59,34 @@ def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
     return F.when(F.least(n, m) >= at_least * F.greatest(n, m), both / (n + m - both))
 
 
-def _with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Add ``next_<column>`` of the next row in order of ``doc_id, text``, of the first one for the last."""
+def _with_next(rows: DataFrame) -> DataFrame:
+    """Add ``print``, and ``next_text, next_print`` of the next row in order of ``doc_id, text``, of the first one for the last.
+
+    Only texts are shuffled, once; fingerprints are made where their chunk is.
+    """
+    made = fingerprint(F.col("text")).alias("print")
     span = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).first()
     if not span.n:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return rows.select("*", made).select("*", F.col("text").alias("next_text"), F.col("print").alias("next_print"))
     width = min(1 << 62, max(1, (span.b - span.a + 1) * CHUNK // span.n))
     while width > 1:
         chunk = prefix.chunk_of(F.col("doc_id"), width)
         if rows.groupBy(chunk.alias("c")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= DENSEST:
             break
         width = max(1, width // 16)
+    columns = rows.columns
     rows = rows.withColumn("_chunk", prefix.chunk_of(F.col("doc_id"), width))
     heads = materialize(rows.groupBy("_chunk").agg(F.min("doc_id").alias("_head")))
     heads = prefix.following(heads, [], "_chunk", {"_next": "_head"}).withColumn("_next", F.coalesce("_next", F.lit(span.a)))
     side, _ = small_side(heads.select(F.col("_chunk").alias("_to"), "_next"))
-    edges = rows.join(side, F.col("doc_id") == F.col("_next")).groupBy("_to").agg(F.min(F.struct(*columns)).alias("_edge"))
+    edges = rows.join(side, F.col("doc_id") == F.col("_next")).groupBy("_to").agg(F.min("text").alias("text"))
+    edges = edges.select("_to", F.struct("text", made).alias("_edge"))
     order = W.partitionBy("_chunk").orderBy("doc_id", "text")
-    inside = rows.select("*", F.lead(F.struct(*columns)).over(order).alias("_following"))
+    inside = rows.repartition("_chunk").select("*", made)
+    inside = inside.select("*", F.lead(F.struct("text", "print")).over(order).alias("_following"))
     joined = inside.join(edges, F.col("_chunk") == F.col("_to"), "left")
-    found = F.coalesce("_following", F.struct(*[F.col("_edge")[c].alias(c) for c in columns]))
-    return joined.select(*[c for c in rows.columns if c != "_chunk"], *[found[c].alias(f"next_{c}") for c in columns])
+    found = F.coalesce("_following", "_edge")
+    return joined.select(*columns, "print", found["text"].alias("next_text"), found["print"].alias("next_print"))
 
 
 def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,8 +102,7 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.coalesce(F.col(key).cast("long"), F.lit(smallest)).alias("doc_id"), F.col(key).isNull().alias("_none"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.withColumn("print", fingerprint(F.col("text")))
-    rows = _with_next(rows, ["text", "print"])
+    rows = _with_next(rows)
     n = F.length("text")
     part = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - part), F.substr("next_text", F.lit(1), part))
