@@ -1,7 +1,9 @@
 """Chat rotation and spot signatures: the queries against SQL, and odd rows against plain versions."""
 
+import random
 import re
 
+import pytest
 from oracle import compare, database
 
 from tickloom.llm import chat, spotsigs
@@ -77,3 +79,51 @@ def test_fingerprints(spark):
     assert sorted(found) == sorted(want)
     assert len({r.fingerprint for r in got if r.n_chars and r.edited is not None and r.doc_id in (0, 10**12)}) == 2
     assert spotsigs.edited_pairs(docs.limit(0)).count() == 0
+
+
+def whole(text):
+    """The set of signatures, any number of anchors passed over."""
+    words = re.sub(r"[\W_]+", " ", "".join(c.lower() if c < "\x7f" else c for c in text or "")).split()
+    content = [(i, w) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    out = set()
+    for i, w in enumerate(words):
+        after = [c for j, c in content if j > i][:2]
+        if w in spotsigs.ANCHORS and len(after) == 2:
+            out.add((w, *after))
+    return frozenset(out or {(*words, "alone")})
+
+
+@pytest.mark.parametrize("at_least", [0.5, 0.8, 1.0, 0.07])
+def test_near_pairs(spark, at_least):
+    draw = random.Random(5)
+    texts = []
+    for size in (12, 60, 300, 40):
+        base = [draw.choice(["the", "a", "of", f"w{draw.randrange(400)}"]) for _ in range(size)]
+        for k in range(25):
+            words = list(base)
+            for _ in range(draw.randrange(1 + size // 6)):
+                words[draw.randrange(len(words))] = f"n{draw.randrange(400)}"
+            texts.append(" ".join(words[: max(3, size - draw.randrange(1 + size // 3))]))
+    run = "the " * 9
+    texts += [None, "", "no anchors", "No anchors!", texts[0], texts[0].upper(), f"{run}big {run}house {run}stands alone", "the big house stands alone", "the " * 50_000 + "end of it all"]
+    draw.shuffle(texts)
+    rows = [(7 * i - 50, t) for i, t in enumerate(texts)] + [(None, texts[0]), (-50, texts[0]), (-50, "of one other text")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, near string, n int").repartition(4)
+    got = sorted((r.a, r.b, round(r.near, 9)) for r in spotsigs.near_pairs(docs, at_least).collect())
+    classes = {}
+    for i, t in rows:
+        if i is not None:
+            classes.setdefault(whole(t), set()).add(i)
+    want = [(min(c), i, 1.0) for c in classes.values() for i in c if i != min(c)]
+    sets = list(classes.items())
+    for k, (s, c) in enumerate(sets):
+        for t, d in sets[:k]:
+            near = len(s & t) / len(s | t)
+            if near >= at_least:
+                want.append((min(min(c), min(d)), max(min(c), min(d)), round(near, 9)))
+    assert got == sorted(want) and any(abs(texts.index(texts[0]) - (b + 50) // 7) > 1 for _, b, _ in got)
+    assert spotsigs.near_pairs(docs.limit(0), at_least).count() == 0
+
+
+def test_pairs_query(spark, sf_dir):
+    assert compare(spark, database(sf_dir), sf_dir, "op10_pairs", QUERIES["op10_pairs"], SQL["op10_pairs"]) > 0

@@ -73,6 +73,10 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
+def op10_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.near_pairs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_licenses": op2_licenses,
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_spotsigs": op10_spotsigs,
+    "op10_pairs": op10_pairs,
 }
 SQL = {
     "op2_licenses": licenses.sql(licenses.LICENSES),
@@ -92,4 +97,5 @@ SQL = {
     "op8_chat": chat.SQL,
     "op9_mixing": mixing.SQL,
     "op10_spotsigs": spotsigs.SQL,
+    "op10_pairs": spotsigs.PAIRS_SQL,
 }

@@ -4,12 +4,18 @@ A signature is a common word (the anchor) and the two content words that follow
 document's fingerprint is its set of signatures, hashed and sorted; likeness is Jaccard's, which sets of too different lengths need
 not be compared for. All of it is columns; nothing runs in Python.
 
+``near_pairs`` finds all pairs of a table. Sets are partitioned by length, so that partners stand in the same partition or the next
+one; within a partition they meet at the rarest signatures of either, and a pair is given up when the lengths, or what is left of
+both after the signature they met at, cannot reach the likeness. Nothing is cut off: all pairs that reach it are given.
+
 The neighbour of a document comes from chunks of the id axis, whose widths are made small enough for the densest stretch; a chunk's
 last document gets the first one of the next chunk through a small table.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +30,8 @@ ANCHORS = (
 ).split()
 # Content words of a chain, and most anchors passed over before each.
 CHAIN, PASSED = 2, 8
+# Likeness of near copies, where the caller names no other.
+NEAR = 0.5
 # Documents of a chunk, about, and the most that are let stand before chunks are made narrower.
 CHUNK, DENSEST = 256, 2048
 
@@ -47,6 +55,21 @@ def signatures(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.when(F.size(chains) > 0, chains).otherwise(alone)))
 
 
+def whole_signatures(text: Column) -> Column:
+    """The same sets as sorted 64-bit hashes, with any number of anchors passed over."""
+    words = normal(text)
+    content = F.filter(F.split(F.trim(words), " "), lambda w: ~w.isin(*ANCHORS, ""))
+    # The anchors before each content word, and after the last one.
+    runs = F.split(F.regexp_replace(words, f"(?<= )(?!{_ANY} )[^ ]+ ", "|"), "[|]")
+    last = F.greatest(F.size(content) - 1, F.lit(0))
+    ends = F.zip_with(F.slice(content, F.lit(1), last), F.slice(content, F.lit(2), last), lambda a, b: F.concat(a, F.lit(" "), b, F.lit(" ")))
+    chains = F.zip_with(F.slice(runs, F.lit(1), last), ends, lambda run, end: F.transform(
+        F.filter(F.split(run, " "), lambda w: w != ""), lambda w: F.xxhash64(F.concat(w, F.lit(" "), end))
+    ))
+    chains = F.array_distinct(F.flatten(chains))
+    return F.array_sort(F.when(F.size(chains) > 0, chains).otherwise(F.array(F.xxhash64(words))))
+
+
 def fingerprint(text: Column) -> Column:
     return F.concat_ws(",", signatures(text))
 
@@ -54,7 +77,11 @@ def fingerprint(text: Column) -> Column:
 def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
     """Jaccard's likeness of two fingerprints, 0 to 1; null without a look if their lengths rule out ``at_least``."""
     x, y = F.split(a, ","), F.split(b, ",")
-    n, m = F.size(x), F.size(y)
+    return _compared(x, y, F.size(x), F.size(y), at_least)
+
+
+def _compared(x: Column, y: Column, n: Column, m: Column, at_least: float) -> Column:
+    """Likeness of sets of ``n`` and ``m``, of which ``x`` and ``y`` are all that others can share."""
     both = F.size(F.array_intersect(x, y))
     return F.when(F.least(n, m) >= at_least * F.greatest(n, m), both / (n + m - both))
 
@@ -115,6 +142,66 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
 
 
+def _partitions(at_least: Fraction) -> list[int]:
+    """Smallest lengths of the partitions: the longest partner of a set is in its partition or the next one.
+
+    Partitions are a quarter wide at least, so there are few of them close to 1 too.
+    """
+    edges = [1]
+    while edges[-1] < 1 << 31:
+        edges.append(max(edges[-1] * at_least.denominator // at_least.numerator, edges[-1] * 5 // 4) + 1)
+    return edges
+
+
+def near_pairs(docs: DataFrame, at_least: float = NEAR, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``a, b, near``: all pairs of documents whose likeness is ``at_least`` (above 0, to 1) or more.
+
+    Documents with equal fingerprints are given once each, as ``b``, with ``near`` 1 and the smallest key among them as ``a``; of
+    others the pairs between those smallest keys are given, the smaller one as ``a``. Rows with a null key have no name
+    and take no part; rows of a repeated key with different texts are compared, also with each other. A null text is empty.
+    """
+    share = Fraction(str(at_least))
+    if not 0 < share <= 1:
+        raise ValueError("at_least has to be above 0, and 1 at most")
+    p, q = share.numerator, share.denominator
+
+    def up(over: str, by: int) -> Column:
+        return F.expr(f"({over} + {by - 1}) div {by}").cast("int")
+
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.filter("key is not null").select("key", whole_signatures(F.col("text")).alias("sigs"))
+    rows = materialize(rows.select("key", F.xxhash64("sigs").alias("id"), F.size("sigs").alias("n"), "sigs"))
+    first, _ = small_side(rows.groupBy("id").agg(F.min("key").alias("rep")))
+    equal = rows.select("id", "key").join(first, "id").filter("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b")).distinct()
+    one = rows.join(first, "id").filter("key = rep").select("id", "rep", "n", F.explode("sigs").alias("sig"))
+    # A signature of one set only counts for lengths alone; it stands before the shared ones in the order of rareness.
+    shared, _ = small_side(one.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1"))
+    sets = one.join(shared, "sig").groupBy("id", "rep", "n").agg(F.array_sort(F.collect_set(F.struct("df", "sig"))).alias("sigs"))
+    sets = sets.filter(F.size("sigs") >= up(f"bigint(n) * {p}", q))
+    sets = materialize(sets.select("id", "rep", "n", F.transform("sigs", lambda s: s["sig"]).alias("sigs")))
+    # So many of the rarest signatures can be missing, and one more is shared by partners.
+    alone = F.col("n") - F.size("sigs")
+    most = F.col("n") - up(f"bigint(n) * {p}", q) + 1 - alone
+    edges = F.array(*[F.lit(e) for e in _partitions(share)])
+    entries = sets.select(
+        "id", "n", F.size(F.filter(edges, lambda e: e <= F.col("n"))).alias("part"), alone.alias("alone"),
+        F.posexplode(F.slice("sigs", F.lit(1), most)).alias("at", "sig"),
+    )
+    entries = entries.select("id", "n", "part", "sig", (F.col("n") - F.col("alone") - F.col("at")).alias("left"))
+    low = entries.select(
+        F.col("id").alias("x"), F.col("n").alias("nx"), F.col("left").alias("lx"), "sig", F.explode(F.expr("array(part, part + 1)")).alias("part")
+    )
+    high = entries.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("left").alias("ly"), "sig", "part")
+    met = low.join(high, ["sig", "part"]).filter("nx < ny or (nx = ny and x < y)").filter(f"bigint(nx) * {q} >= bigint(ny) * {p}")
+    met = met.filter(F.least("lx", "ly") >= up(f"bigint(nx + ny) * {p}", p + q)).select("x", "y").distinct()
+    xs = sets.select(F.col("id").alias("x"), F.col("rep").alias("rx"), F.col("n").alias("nx"), F.col("sigs").alias("sx"))
+    ys = sets.select(F.col("id").alias("y"), F.col("rep").alias("ry"), F.col("n").alias("ny"), F.col("sigs").alias("sy"))
+    pairs = met.join(xs, "x").join(ys, "y")
+    pairs = pairs.select("rx", "ry", _compared(F.col("sx"), F.col("sy"), F.col("nx"), F.col("ny"), at_least).alias("near"))
+    pairs = pairs.filter(F.col("near") >= at_least).select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"), "near")
+    return equal.select("a", "b", F.lit(1.0).alias("near")).unionAll(pairs)
+
+
 _LIST = ", ".join(f"'{w}'" for w in ANCHORS)
 SQL = f"""
 with base as (
@@ -151,3 +238,39 @@ select doc_id, length(t)::bigint n_chars, sha256(e) edited_sha256, array_to_stri
   len(list_intersect(a.s, c.s))::double / (len(a.s) + len(c.s) - len(list_intersect(a.s, c.s))) near_next
 from edits join sets a on a.x = t join sets b on b.x = e join sets c on c.x = nt
 """
+
+PAIRS_SQL = f"""
+with texts as (
+  select distinct doc_id, coalesce(text, '') t from documents where doc_id is not null
+), forms as (
+  select t, ' ' || trim(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' form
+  from (select distinct t from texts)
+), words as (
+  select t, unnest(string_split(trim(form), ' ')) w, generate_subscripts(string_split(trim(form), ' '), 1) i from forms
+), content as (
+  select t, i, w, lead(w) over (partition by t order by i) w2 from words where w not in ({_LIST})
+), ahead as (
+  select t, i, w, min(case when w not in ({_LIST}) then i end) over (partition by t order by i rows between 1 following and unbounded following) j
+  from words
+), spots as (
+  select distinct ahead.t, ahead.w || ' ' || content.w || ' ' || content.w2 s
+  from ahead join content on ahead.t = content.t and content.i = ahead.j
+  where ahead.w in ({_LIST}) and content.w2 is not null
+), sets as (
+  select forms.t, coalesce(string_agg(s, ',' order by s), 'alone' || any_value(form)) s
+  from forms left join spots on forms.t = spots.t group by forms.t
+), named as (
+  select doc_id, s, min(doc_id) over (partition by s) rep from texts join sets on texts.t = sets.t
+), own as (
+  select s, any_value(rep) rep, string_split(s, ',') l from named group by s
+), each as (
+  select s, unnest(l) g from own
+), met as (
+  select x.s xs, y.s ys, count(*) n from each x join each y on x.g = y.g and x.s < y.s group by all
+), near as (
+  select least(x.rep, y.rep) a, greatest(x.rep, y.rep) b, n::double / (len(x.l) + len(y.l) - n) near
+  from met join own x on met.xs = x.s join own y on met.ys = y.s
+)
+select distinct rep a, doc_id b, 1.0::double near from named where rep <> doc_id
+union all select a, b, near from near where near >= {NEAR}
+"""
