@@ -29,3 +29,27 @@ def test_forms_and_odd_rows(spark):
     assert licenses.scan(docs.limit(0), licenses.known(spark, licenses.LICENSES)).count() == 0
     nothing = licenses.known(spark, licenses.LICENSES).limit(0)
     assert {r.license_id for r in licenses.scan(docs, nothing).collect()} == {None}
+
+
+def test_copyright_lines(spark):
+    every = licenses.LICENSES | licenses.NOTICES
+    heads = [
+        "Copyright (c) Microsoft Corporation.", "Copyright (c) Jane Doe 2019", "Copyright Jane Doe 2019", "Copyright (c), 2019, X", "Copyright (c) {year}",
+        "Copyright \u00a9 Acme Inc.", "\u00a9 Acme Inc.", "(c) Acme Inc.", "# Copyright: The Regents", " * Copyright by Jane Doe", "Portions copyright Jane Doe",
+    ]
+    rows = []
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib"):
+        lines = every[name].split("\n")
+        at = next(i for i, line in enumerate(lines) if line.startswith("Copyright (c) <year>"))
+        rows += [("\n".join([*lines[:at], head, *lines[at + 1:]]), name) for head in heads]
+        one_word_a_line = "\n".join(" ".join(lines[at + 1:]).replace("opyright ", "opyright \n# ").split(" "))
+        rows.append(("\n".join(lines[:at]) + "\n" + one_word_a_line, name))
+    rows += [(every[name], name) for name in every]
+    bare = every["Zlib"].split("\n", 1)[1]
+    items = "(a) one thing\n(b) another\n"
+    rows += [(bare + "\nCopyright notices stay", None), (bare + "\nThe copyright", None), (bare + "\nCopyrights Jane Doe", None)]
+    rows += [(items + "(c) a third", "three"), (items + "(c) no third", None), (items + "(c) 2019 Jane Doe\n(c) a third", "three")]
+    known = licenses.known(spark, every | {"three": items + "(c) a third"})
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, known).collect()}
+    assert [(rows[i][0], got[i]) for i in range(len(rows)) if got[i] != rows[i][1]] == []

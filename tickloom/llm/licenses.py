@@ -15,7 +15,19 @@ from pyspark.sql import functions as F
 from tickloom.session import small_side
 
 # Lines of the original that carry no terms, and what is taken as a blank
-COPYRIGHT_LINE = (
+# (lines such as "copyright notice ..." and "copyright holder ..." are terms)
+_MARKS = r"[ \t*#/;-]*"
+_TERMS = (
+    r"(?:notices?|holders?|owners?|licen[sc]es?|licensors?|laws?|acts?|statements?|interests?|rights?|protection|ownership|"
+    r"treat(?:y|ies)|infringements?|material|terms?|conditions?|disclaimers?|claims?|and|or|in|of|is|to|that|which)(?![\p{L}\p{N}])"
+)
+_HEAD = rf"(^|\n){_MARKS}(portions )?(copyright(?![\p{{L}}\p{{N}}])(?![ \t\r\n*#/;-]*{_TERMS})(?!, ?(?:patent|trademark))|\x{{a9}}|\(c\)"
+COPYRIGHT_LINE = _HEAD + r")[^\n]*"
+# In a text with an item (b), (c) can be an item too.
+ITEMS = rf"(^|\n){_MARKS}\(b\)"
+COPYRIGHT_OR_ITEM = _HEAD + r"[ \t]*[0-9<\[{y])[^\n]*"
+# The form that the SQL has
+SQL_COPYRIGHT_LINE = (
     r"(^|\n)[ \t*#/;-]*(portions )?(copyright[ \t]*(\(c\)|©|:)?[ \t]*[0-9<\[y]|\(c\)[ \t]*[0-9<\[y]|©)[^\n]*"
 )
 RIGHTS_LINE = r"(^|\n)[ \t*#/;-]*all rights reserved[.]?[ \t\r]*(\n|\z)"
@@ -86,11 +98,17 @@ this software in a product, an acknowledgment in the product documentation would
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
 }
+# Notices that the SQL does not have
+NOTICES = {
+    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+}
 
 
 def canonical(text: Column) -> Column:
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    terms = F.regexp_replace(F.regexp_replace(lower, COPYRIGHT_LINE, "\n"), RIGHTS_LINE, "\n")
+    kept = F.when(lower.rlike(ITEMS), F.regexp_replace(lower, COPYRIGHT_OR_ITEM, "\n")).otherwise(F.regexp_replace(lower, COPYRIGHT_LINE, "\n"))
+    terms = F.regexp_replace(kept, RIGHTS_LINE, "\n")
     # Each word gets blanks of its own, so that neighbours can both be replaced.
     padded = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(terms, BLANK, " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
     spelled = reduce(lambda c, pair: F.replace(c, F.lit(_wide(pair[0])), F.lit(_wide(pair[1]))), SPELLINGS.items(), padded)
@@ -130,7 +148,7 @@ def sql(licenses: dict[str, str]) -> str:
 
     def form(column: str) -> str:
         out = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        for pattern in (COPYRIGHT_LINE, RIGHTS_LINE):
+        for pattern in (SQL_COPYRIGHT_LINE, RIGHTS_LINE):
             out = f"regexp_replace({out}, {quoted(pattern)}, chr(10), 'g')"
         out = f"' ' || replace(trim(regexp_replace({out}, {quoted(BLANK)}, ' ', 'g')), ' ', '  ') || ' '"
         for pair in SPELLINGS.items():

@@ -28,7 +28,7 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark, licenses.LICENSES))
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark, licenses.LICENSES | licenses.NOTICES))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
