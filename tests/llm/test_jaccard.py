@@ -6,6 +6,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tickloom.llm import jaccard
 from tickloom.llm.queries import op3_jaccard
 
@@ -81,3 +83,10 @@ def test_families_and_odd_rows(spark, short):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.groups(docs).count() == 0
+
+
+def test_drawing_from_very_large_families(spark):
+    places = [0, 1 << 20, 1 << 39, (1 << 40) - 1]
+    rows = spark.createDataFrame([(p, n) for p in places for n in (1, 100, 1 << 23, 1 << 33, 1 << 40)], "place long, n long")
+    for r in rows.select("place", "n", jaccard.drawn_of(F.col("place"), F.col("n")).alias("drawn")).collect():
+        assert r.drawn == (r.place < (jaccard.SAMPLE << 40) // r.n)

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import shingles
@@ -327,6 +327,11 @@ def with_texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(side, "doc_id", "left_semi")
 
 
+def drawn_of(place: Column, n: Column) -> Column:
+    """Whether a member at ``place`` below 2**40 is among about SAMPLE of ``n``; a division, as the product may leave a long."""
+    return place < F.floor(F.lit(SAMPLE << 40) / n)
+
+
 class Families:
     """Long lists: members as differences from a reference set. ``members`` has ``family, id`` (first digests)."""
 
@@ -342,7 +347,7 @@ class Families:
         place = F.pmod(F.xxhash64("family", "id"), F.lit(1 << 40))
         # About SAMPLE members of each family make its reference; which ones changes costs, not results.
         sizes = members.groupBy("family").agg(F.count("*").alias("_n"))
-        drawn = members.join(sizes, "family").filter(place * F.col("_n") < F.lit(SAMPLE << 40)).select("family", "rep", "id")
+        drawn = members.join(sizes, "family").filter(drawn_of(place, F.col("_n"))).select("family", "rep", "id")
         drawn = drawn.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
 
         def refer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
