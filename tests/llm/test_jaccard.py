@@ -90,3 +90,39 @@ def test_drawing_from_very_large_families(spark):
     rows = spark.createDataFrame([(p, n) for p in places for n in (1, 100, 1 << 23, 1 << 33, 1 << 40)], "place long, n long")
     for r in rows.select("place", "n", jaccard.drawn_of(F.col("place"), F.col("n")).alias("drawn")).collect():
         assert r.drawn == (r.place < (jaccard.SAMPLE << 40) // r.n)
+
+
+def similar_sets(rows):
+    """Keys of every set, and the pairs of similar different ones."""
+    keys = defaultdict(list)
+    for i, s in shingle_sets(rows):
+        if i is not None and s:
+            keys[s].append(i)
+    sets = list(keys)
+    pairs = [(s, t) for k, s in enumerate(sets) for t in sets[:k] if 100 * len(s & t) >= 75 * len(s | t)]
+    return keys, pairs
+
+
+def test_all_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    short = 48
+    draw = random.Random(3)
+    texts = [None, "", "a b c", "A  b c"]
+    for size, copies in ((60, 110), (200, 130), (9, 30)):
+        base = [f"w{draw.randrange(5000)}" for _ in range(size)]
+        half = edited(draw, base, 3).split()
+        for k in range(copies):
+            texts.append(edited(draw, half if k % 2 else base, draw.randrange(2 + size // 50 + k % 2)))
+    draw.shuffle(texts)
+    rows = [(i * 3 - 100, t) for i, t in enumerate(texts)] + [(None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keys, near = similar_sets(rows)
+    want = sorted(tuple(sorted((min(keys[s]), min(keys[t])))) for s, t in near)
+    got = sorted((r.a, r.b) for r in jaccard.pairs(docs, short=short).collect())
+    assert got == want and len(want) > 2000
+    counts = defaultdict(int)
+    for s, t in near:
+        for i in keys[s] + keys[t]:
+            counts[i] += 1
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.n_links) for r in jaccard.link_counts(docs, short=short).collect())
+    assert found == sorted((i is None, i or 0, None if i is None else counts[i]) for i, _ in rows)

@@ -15,6 +15,9 @@ sets, where a half is little, are indexed by single tokens, a quarter of them.
   The others can only be similar to a member that shares some of their differences, so the differences are indexed in turn, by the
   same two kinds of lists. A token of a difference is in at most about half of the members, so this ends soon.
 
+For groups a link to the closest member is enough. Where all links are asked for, the members close to the reference are compared in
+blocks by their differences.
+
 All lists are exact: no list, group or candidate is cut off.
 """
 
@@ -38,6 +41,8 @@ WIDTH = 5
 SHORT = 64
 # Sets up to this size are indexed by tokens, sets from SHARE / PART of it on by pairs of tokens, so those in between by both.
 SMALL = 32
+# Members of a block, about, when all links in a family are asked for.
+BLOCK = 256
 # Members a reference set is made of.
 SAMPLE = 33
 # A token is taken as common if it is in more documents than this, and than this part of them. At most so many are sent to tasks.
@@ -388,8 +393,9 @@ class Families:
             differ, "family long, id long, rep long, whole long, minus binary, plus binary"
         )
 
-    def solve(self, short: int = SHORT) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Links through the closest members; candidates ``a, b``; and members of the families inside, ``family, id``.
+    def solve(self, short: int = SHORT, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Links through the closest members, or with ``every`` all links between members close to the reference; candidates ``a, b``;
+        and members of the families inside, ``family, id``.
 
         With ``cost = PART * |minus| + SHARE * |plus|`` and ``reach = (PART - SHARE) * whole``, two members are similar when
         ``PART + SHARE`` times what their differences share is at least the sum of their costs less the reach.
@@ -399,7 +405,10 @@ class Families:
         rows = rows.withColumn("cost", ((PART * minus) + SHARE * plus).cast("long")).withColumn("reach", F.col("whole") * (PART - SHARE))
         closest = rows.groupBy("family").agg(F.min("cost").alias("least"), F.min_by("rep", F.struct("cost", "id")).alias("hub"))
         rows = rows.join(small_side(closest)[0], "family")
-        links = rows.filter("cost + least <= reach and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        if every:
+            links = _inner_links(rows.filter("cost + least <= reach"))
+        else:
+            links = rows.filter("cost + least <= reach and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         buckets = max(1, rows.agg(F.sum(F.octet_length("minus") + F.octet_length("plus"))).first()[0] or 0) // (8 * BUCKET) + 1
         fields = {"bucket": pa.int32(), "entries": pa.binary()}
 
@@ -461,13 +470,56 @@ class Families:
         return links, found.filter("kind = 0").select("a", "b"), inside
 
 
+def _inner_links(inner: DataFrame) -> DataFrame:
+    """``a, b``: all links between the given members of families, by blocks of members; each pair of blocks is a task's group."""
+    sizes, _ = small_side(inner.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    rows = inner.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "cost", "reach", "minus", "plus")
+
+    def check(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, costs, blocks, sets, reach = [], [], [], [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                reps.append(row["rep"])
+                costs.append(row["cost"])
+                blocks.append(row["block"])
+                sets.append(np.frombuffer(row["minus"] + row["plus"], np.uint64))
+                reach = row["reach"]
+        shared = _overlaps(sets)
+        reps, costs, blocks = np.array(reps, np.int64), np.array(costs, np.int64), np.array(blocks)
+        a, b = np.triu_indices(len(reps), 1)
+        good = (PART + SHARE) * shared[a, b] >= costs[a] + costs[b] - reach
+        good &= (blocks[a] != blocks[b]) | (key[1].as_py() == key[2].as_py())
+        yield _arrow({"a": pa.int64(), "b": pa.int64()}, {"a": reps[a[good]], "b": reps[b[good]]})
+
+    return rows.groupBy("family", "lo", "hi").applyInArrow(check, "a long, b long")
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two of the sets share; tokens of one set only are not looked at, others some thousand at a time."""
+    tokens, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[places]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    owner, place = owner[place >= 0], place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    shared, width = np.zeros((len(sets), len(sets)), np.int64), 4096
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        lo, hi = np.searchsorted(place, [at, at + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[lo:hi], place[lo:hi] - at] = 1
+        shared += (has @ has.T).astype(np.int64)
+    return shared
+
+
 DIFFERENCE = np.dtype([
     ("token", "u8"), ("id", "i8"), ("cost", "i8"), ("reach", "i8"), ("minus", "i8"), ("plus", "i8"), ("inner", "?"),
 ])
 
 
-def links_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, short: int = SHORT) -> DataFrame:
-    """``a, b``: links between the first documents of classes, enough of them that groups are whole."""
+def links_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, short: int = SHORT, every: bool = False) -> DataFrame:
+    """``a, b``: links between the first documents of classes, enough of them that groups are whole; with ``every`` all links."""
     spark = docs.sparkSession
     own = sets.filter("sketch is not null and n > 0")
     total = own.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
@@ -483,7 +535,7 @@ def links_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, short: int =
         families = materialize(_merged(inside.distinct()).distinct())
         if families.isEmpty():
             break
-        close, candidates, inside = Families(families, classes, docs).solve(short)
+        close, candidates, inside = Families(families, classes, docs).solve(short, every)
         links, pairs = links.unionAll(close), pairs.unionAll(candidates)
     return links.unionAll(verified(pairs.distinct(), classes, docs))
 
@@ -499,6 +551,44 @@ def _merged(members: DataFrame) -> DataFrame:
     return members
 
 
+def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with a key, what is known of the sets, the part of it that has a row per document, and the classes of equal sets."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    sets = materialize(sets_of(rows))
+    named = rows.filter("doc_id is not null")
+    own = sets.filter("sketch is not null")
+    classes = own.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
+    classes = materialize(classes.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    return named, sets, own, classes
+
+
+def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", short: int = SHORT) -> DataFrame:
+    """``a, b``, a below b: every two different sets that are similar, each by the smallest key that has it.
+
+    Sets and links are those of :func:`groups`. There are as many rows as links, which in a group of near copies grow with its square.
+    """
+    named, sets, _, classes = _prepared(docs, key, text)
+    return _ordered(links_of(named, sets, classes, short, every=True))
+
+
+def _ordered(links: DataFrame) -> DataFrame:
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", short: int = SHORT) -> DataFrame:
+    """``key, n_shingles, n_links`` of every row: to how many other sets its set is similar.
+
+    It is 0 for sets without shingles and null for rows with a null key, which are not linked.
+    """
+    named, sets, own, classes = _prepared(docs, key, text)
+    links = _ordered(links_of(named, sets, classes, short, every=True))
+    counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    counts = classes.join(counts, "rep", "left").select("d1", "d2", "n", "links")
+    out = own.select("doc_id", "n", "d1", "d2").join(counts, ["d1", "d2", "n"], "left")
+    links = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).cast("long")
+    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), links.alias("n_links"))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", short: int = SHORT) -> DataFrame:
     """``key, n_shingles, component_id`` of every row.
 
@@ -508,12 +598,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", short: int
     Rows of a repeated key are one node of the links, if their texts differ; repeated rows are kept. Very long texts are read
     whole; an empty table gives an empty one; other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = materialize(sets_of(rows))
-    named = rows.filter("doc_id is not null")
-    own = sets.filter("sketch is not null")
-    classes = own.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
-    classes = materialize(classes.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    named, sets, own, classes = _prepared(docs, key, text)
     reached = components(links_of(named, sets, classes, short))
     reached = classes.join(reached, F.col("rep") == F.col("node"), "left")
     reached = reached.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))

@@ -35,6 +35,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op2_licenses": op2_licenses,
     "op3_jaccard": op3_jaccard,
+    "op3_links": op3_links,
     "op4_topk": op4_topk,
     "op5_urls": op5_urls,
     "op6_lines": op6_lines,
