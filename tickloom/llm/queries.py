@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, jaccard, langid, licenses, lines, mixing, pieces, spotsigs, topk, urls
+from tickloom.llm import chat, convrepair, jaccard, langid, licenses, lines, mixing, pieces, spotsigs, topk, urls
 
 PIECES = "piece_bpe_32k.model"
 RULES = [
@@ -77,6 +77,10 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.audits(table(spark, sf_dir, "conversations")).drop("roles")
+
+
 def op10_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.near_pairs(table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_spotsigs": op10_spotsigs,
     "op10_pairs": op10_pairs,
+    "op13_repair": op13_repair,
 }
 SQL = {
     "op2_licenses": licenses.sql(licenses.LICENSES),
@@ -103,4 +108,5 @@ SQL = {
     "op9_mixing": mixing.SQL,
     "op10_spotsigs": spotsigs.SQL,
     "op10_pairs": spotsigs.PAIRS_SQL,
+    "op13_repair": convrepair.SQL,
 }
