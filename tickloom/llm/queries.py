@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, convrepair, jaccard, langid, licenses, lines, mixing, pieces, spotsigs, topk, urls
+from tickloom.llm import chat, convrepair, jaccard, langid, licenses, lines, mixing, phrases, pieces, spotsigs, topk, urls
 
 PIECES = "piece_bpe_32k.model"
 RULES = [
@@ -77,6 +77,10 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convrepair.audits(table(spark, sf_dir, "conversations")).drop("roles")
 
@@ -98,6 +102,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_spotsigs": op10_spotsigs,
     "op10_pairs": op10_pairs,
+    "op12_phrases": op12_phrases,
     "op13_repair": op13_repair,
 }
 SQL = {
@@ -108,5 +113,6 @@ SQL = {
     "op9_mixing": mixing.SQL,
     "op10_spotsigs": spotsigs.SQL,
     "op10_pairs": spotsigs.PAIRS_SQL,
+    "op12_phrases": phrases.SQL,
     "op13_repair": convrepair.SQL,
 }
