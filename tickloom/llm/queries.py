@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, convrepair, jaccard, langid, licenses, lines, mixing, phrases, pieces, spotsigs, topk, urls
+from tickloom.llm import chat, convrepair, htmltext, jaccard, langid, licenses, lines, mixing, phrases, pieces, spotsigs, topk, urls
 
 PIECES = "piece_bpe_32k.model"
 RULES = [
@@ -77,6 +77,11 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = htmltext.extract(table(spark, sf_dir, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mined(table(spark, sf_dir, "documents"))
 
@@ -102,6 +107,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_spotsigs": op10_spotsigs,
     "op10_pairs": op10_pairs,
+    "op11_html": op11_html,
     "op12_phrases": op12_phrases,
     "op13_repair": op13_repair,
 }
