@@ -36,6 +36,8 @@ CHUNK = 2 << 20
 ENTRIES = 400_000
 BURST = 16_384
 WORDS = 1_000_000
+# Rows given out together.
+BATCH = 20_000
 
 # Lower case, tabs as spaces, one mark for all that ends a piece; it stands apart then and is a word of its own.
 _PLAIN = bytes.maketrans(
@@ -55,8 +57,12 @@ def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang.encode())
+
+
 def _word_key(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang.encode()))
+    return xxhash.xxh64_intdigest(word, _seed(lang))
 
 
 def _phrase_key(lang: str, words: list[bytes]) -> int:
@@ -72,18 +78,22 @@ class Seen:
         for bucket, content in buckets.items():
             at = (bucket - 1) * BUCKET_BITS // 8
             self.bits[at : at + BUCKET_BITS // 8] = np.frombuffer(content, np.uint8)
+        self.view = memoryview(self.bits)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = keys & np.uint64(FILTER_BITS - 1)
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+    def has_one(self, key: int) -> bool:
+        at = key & (FILTER_BITS - 1)
+        return self.view[at >> 3] >> (at & 7) & 1 == 1
+
 
 class HatTrie:
     """Counts of sequences of ids, each id four bytes, in hash containers under a trie over the leading ids."""
 
     def __init__(self):
         self.root: dict[bytes, dict] = {}
-        self.sizes: dict[bytes, int] = {}
         self.burst: set[bytes] = set()
         self.entries = 0
 
@@ -140,11 +150,11 @@ class Counter:
     class Ids(dict):
         def __init__(self, lang: str, seen: Seen | None):
             super().__init__({b"": _NOTHING, b"\n": _BREAK})
-            self.lang, self.seen, self.words, self.keys = lang, seen, [], []
+            self.seed, self.seen, self.words, self.keys = _seed(lang), seen, [], []
 
         def __missing__(self, word: bytes) -> int:
-            key = _word_key(self.lang, word)
-            if self.seen is not None and not self.seen.has(np.array([key], np.uint64))[0]:
+            key = xxhash.xxh64_intdigest(word, self.seed)
+            if self.seen is not None and not self.seen.has_one(key):
                 self[word] = _BREAK  # no frequent phrase goes over this word
                 return _BREAK
             self[word] = at = len(self.words)
@@ -158,7 +168,9 @@ class Counter:
         self._forget()
 
     def _forget(self) -> None:
-        self.ids, self.tries, self.keys = self.Ids(self.lang, self.seen), {n: HatTrie() for n in self.lengths}, np.empty(0, np.uint64)
+        self.ids, self.keys = self.Ids(self.lang, self.seen), np.empty(0, np.uint64)
+        self.tries = {n: HatTrie() for n in self.lengths if n > 1}
+        self.ones = np.zeros(0, np.int64)  # single words need no trie
 
     def add(self, text: bytes) -> Iterator[pa.RecordBatch]:
         self.waiting.append(text)
@@ -177,9 +189,9 @@ class Counter:
         for length, starts in self._starts(ids):
             if length == 1:
                 counts = np.bincount(ids[starts], minlength=len(self.keys))
-                found = np.flatnonzero(counts)
-                self.total += int(counts.sum())
-                grams, counts = found[:, None], counts[found]
+                counts[: len(self.ones)] += self.ones
+                self.ones = counts
+                self.total += len(starts)
             elif len(starts):
                 node = ids[starts]
                 for j in range(1, length):
@@ -188,11 +200,9 @@ class Counter:
                         _, node = np.unique(pair, return_inverse=True)
                 _, first, counts = np.unique(pair, return_index=True, return_counts=True)
                 grams = np.stack([ids[starts[first] + j] for j in range(length)], axis=1)
-            else:
-                continue
-            content = np.ascontiguousarray(grams.astype(">u4")).tobytes()
-            step = 4 * length
-            self.tries[length].add([content[at : at + step] for at in range(0, len(content), step)], counts.tolist())
+                content = np.ascontiguousarray(grams.astype(">u4")).tobytes()
+                step = 4 * length
+                self.tries[length].add([content[at : at + step] for at in range(0, len(content), step)], counts.tolist())
         if len(self.ids) > WORDS:
             yield from self._runs(0)
             self._forget()
@@ -218,10 +228,22 @@ class Counter:
 
     def _runs(self, keep: int) -> Iterator[pa.RecordBatch]:
         words = self.ids.words
+        if len(self.ones) and not keep:
+            order = sorted(range(len(self.ones)), key=words.__getitem__)
+            for lo in range(0, len(order), BATCH):
+                part = order[lo : lo + BATCH]
+                yield self._batch([words[i] for i in part], self.ones[part].tolist())
         for length, trie in self.tries.items():
-            for keys, counts in trie.spill(keep):
+            phrases, counts = [], []
+            for keys, numbers in trie.spill(keep):
                 ids = np.frombuffer(b"".join(keys), ">u4").reshape(-1, length).tolist()
-                yield self._batch([b" ".join([words[i] for i in row]) for row in ids], counts)
+                phrases += [b" ".join([words[i] for i in row]) for row in ids]
+                counts += numbers
+                if len(phrases) >= BATCH:
+                    yield self._batch(phrases, counts)
+                    phrases, counts = [], []
+            if phrases:
+                yield self._batch(phrases, counts)
 
     def _batch(self, phrases: list[bytes | None], counts: list[int]) -> pa.RecordBatch:
         columns = [pa.array([self.lang] * len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
