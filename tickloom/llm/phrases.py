@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,12 +32,13 @@ NOBODY = "und"
 FILTER_BITS = 1 << 27
 BUCKET_BITS = 1 << 15
 # Bytes of text looked at together, entries of a trie, entries of a container, words remembered by a task.
-CHUNK = 2 << 20
-ENTRIES = 400_000
+CHUNK = 4 << 20
+ENTRIES = 600_000
 BURST = 16_384
 WORDS = 1_000_000
-# Rows given out together.
+# Rows given out together, and partitions that the phrases with one first word are dealt to.
 BATCH = 20_000
+SHARDS = 16
 
 # Lower case, tabs as spaces, one mark for all that ends a piece; it stands apart then and is a word of its own.
 _PLAIN = bytes.maketrans(
@@ -46,7 +47,7 @@ _PLAIN = bytes.maketrans(
 _BREAK, _NOTHING = -1, -2
 _ODD1, _ODD2, _ALL = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
 
-RUNS = "lang string, phrase string, f long"
+RUNS = "part int, lang string, phrase string, f long"
 
 
 def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -90,58 +91,58 @@ class Seen:
 
 
 class HatTrie:
-    """Counts of sequences of ids, each id four bytes, in hash containers under a trie over the leading ids."""
+    """Counts of sequences of ids in hash containers under a trie over the first ids.
 
-    def __init__(self):
-        self.root: dict[bytes, dict] = {}
-        self.burst: set[bytes] = set()
+    A container is keyed by the second id of pairs, and by the bytes of all further ids (four each) of longer sequences; one of these
+    bursts into a container per second id when it grows too large.
+    """
+
+    def __init__(self, length: int):
+        self.length = length
+        self.root: dict[int, dict] = {}
+        self.burst: dict[int, dict[bytes, dict]] = {}
         self.entries = 0
 
-    def add(self, keys: list[bytes], counts: list[int]) -> None:
-        """Add counts of sequences that are sorted and distinct."""
-        lo = 0
-        while lo < len(keys):
-            head = keys[lo][:4]
-            depth = 4 * (1 + (head in self.burst))
-            head = keys[lo][:depth]
-            hi = lo
-            while hi < len(keys) and keys[hi][:depth] == head:
-                hi += 1
-            self._into(head, depth, keys[lo:hi], counts[lo:hi])
-            lo = hi
-
-    def _into(self, head: bytes, depth: int, keys: list[bytes], counts: list[int]) -> None:
-        held = self.root.setdefault(head, {})
-        before = len(held)
-        for key, n in zip(keys, counts):
-            rest = key[depth:]
-            held[rest] = held.get(rest, 0) + n
-        self.entries += len(held) - before
-        if depth == 4 and len(held) > BURST and len(keys[0]) > 8:
-            # one container per next id takes the place of this one
-            del self.root[head]
-            self.burst.add(head)
-            for rest, n in held.items():
-                self.root.setdefault(head + rest[:4], {})[rest[4:]] = n
-
-    def spill(self, keep: int) -> Iterator[tuple[list[bytes], list[int]]]:
-        """Take whole subtrees out, the largest first, until ``keep`` entries are left; each is a sorted run."""
-        subtrees: dict[bytes, list[bytes]] = {}
-        for head in self.root:
-            subtrees.setdefault(head[:4], []).append(head)
-        size = {first: sum(len(self.root[h]) for h in heads) for first, heads in subtrees.items()}
-        for first in sorted(subtrees, key=lambda first: (-size[first], first)):
+    def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        """Add counts of sequences (rows of ``grams``) that are sorted and distinct."""
+        numbers = counts.tolist()
+        if self.length == 2:
+            rests = grams[:, 1].tolist()
+        else:
+            content, step = np.ascontiguousarray(grams[:, 1:].astype(">u4")).tobytes(), 4 * (self.length - 1)
+            rests = [content[at : at + step] for at in range(0, len(content), step)]
+        borders = [0, *(np.flatnonzero(np.diff(grams[:, 0])) + 1).tolist(), len(grams)]
+        for first, lo, hi in zip(grams[borders[:-1], 0].tolist(), borders, borders[1:]):
+            if first in self.burst:
+                below = self.burst[first]
+                for rest, n in zip(rests[lo:hi], numbers[lo:hi]):
+                    held = below.setdefault(rest[:4], {})
+                    self.entries += rest not in held
+                    held[rest] = held.get(rest, 0) + n
+                continue
+            held = self.root.setdefault(first, {})
+            before, get = len(held), held.get
+            for rest, n in zip(rests[lo:hi], numbers[lo:hi]):
+                held[rest] = get(rest, 0) + n
+            self.entries += len(held) - before
+            if len(held) > BURST and self.length > 2:
+                below = self.burst[first] = {}
+                for rest, n in self.root.pop(first).items():
+                    below.setdefault(rest[:4], {})[rest] = n
+
+    def spill(self, keep: int) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """Take whole subtrees out, the largest first, until ``keep`` entries are left; each is a sorted run of sequences."""
+        size = {first: len(held) for first, held in self.root.items()}
+        size |= {first: sum(map(len, below.values())) for first, below in self.burst.items()}
+        for first in sorted(size, key=lambda first: (-size[first], first)):
             if self.entries <= keep:
                 return
-            keys, counts = [], []
-            for head in sorted(subtrees[first]):
-                held = self.root.pop(head)
-                for rest in sorted(held):
-                    keys.append(head + rest)
-                    counts.append(held[rest])
-            self.burst.discard(first)
-            self.entries -= len(keys)
-            yield keys, counts
+            subtree = [self.root.pop(first)] if first in self.root else [held for _, held in sorted(self.burst.pop(first).items())]
+            rests = [rest for held in subtree for rest in sorted(held)]
+            counts = [held[rest] for held in subtree for rest in sorted(held)]
+            more = np.array(rests)[:, None] if self.length == 2 else np.frombuffer(b"".join(rests), ">u4").reshape(-1, self.length - 1)
+            self.entries -= len(rests)
+            yield np.concatenate([np.full((len(rests), 1), first), more], axis=1).astype(np.int64), counts
 
 
 class Counter:
@@ -169,7 +170,7 @@ class Counter:
 
     def _forget(self) -> None:
         self.ids, self.keys = self.Ids(self.lang, self.seen), np.empty(0, np.uint64)
-        self.tries = {n: HatTrie() for n in self.lengths if n > 1}
+        self.tries = {n: HatTrie(n) for n in self.lengths if n > 1}
         self.ones = np.zeros(0, np.int64)  # single words need no trie
 
     def add(self, text: bytes) -> Iterator[pa.RecordBatch]:
@@ -200,9 +201,7 @@ class Counter:
                         _, node = np.unique(pair, return_inverse=True)
                 _, first, counts = np.unique(pair, return_index=True, return_counts=True)
                 grams = np.stack([ids[starts[first] + j] for j in range(length)], axis=1)
-                content = np.ascontiguousarray(grams.astype(">u4")).tobytes()
-                step = 4 * length
-                self.tries[length].add([content[at : at + step] for at in range(0, len(content), step)], counts.tolist())
+                self.tries[length].add(grams, counts)
         if len(self.ids) > WORDS:
             yield from self._runs(0)
             self._forget()
@@ -227,33 +226,35 @@ class Counter:
             fits = fits[:-1] & fits[1:]
 
     def _runs(self, keep: int) -> Iterator[pa.RecordBatch]:
-        words = self.ids.words
+        words, keys = np.array(self.ids.words, object), np.array(self.ids.keys, np.uint64)
         if len(self.ones) and not keep:
-            order = sorted(range(len(self.ones)), key=words.__getitem__)
-            for lo in range(0, len(order), BATCH):
-                part = order[lo : lo + BATCH]
-                yield self._batch([words[i] for i in part], self.ones[part].tolist())
-        for length, trie in self.tries.items():
-            phrases, counts = [], []
-            for keys, numbers in trie.spill(keep):
-                ids = np.frombuffer(b"".join(keys), ">u4").reshape(-1, length).tolist()
-                phrases += [b" ".join([words[i] for i in row]) for row in ids]
+            for lo in range(0, len(self.ones), BATCH):
+                part = slice(lo, lo + BATCH)
+                yield self._batch(keys[part], words[part].tolist(), self.ones[part].tolist())
+        for trie in self.tries.values():
+            parts, phrases, counts = [], [], []
+            for ids, numbers in trie.spill(keep):
+                parts.append((keys[ids[:, 0]] & ~np.uint64(SHARDS - 1)) | (keys[ids[:, 1]] & np.uint64(SHARDS - 1)))
+                phrases += [b" ".join(row) for row in words[ids].tolist()]
                 counts += numbers
                 if len(phrases) >= BATCH:
-                    yield self._batch(phrases, counts)
-                    phrases, counts = [], []
+                    yield self._batch(np.concatenate(parts), phrases, counts)
+                    parts, phrases, counts = [], [], []
             if phrases:
-                yield self._batch(phrases, counts)
+                yield self._batch(np.concatenate(parts), phrases, counts)
 
-    def _batch(self, phrases: list[bytes | None], counts: list[int]) -> pa.RecordBatch:
-        columns = [pa.array([self.lang] * len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
-        return pa.record_batch(columns, ["lang", "phrase", "f"])
+    def _batch(self, parts: np.ndarray, phrases: list[bytes | None], counts: list[int]) -> pa.RecordBatch:
+        columns = [
+            pa.array((parts & np.uint64(0x7FFFFFFF)).astype(np.int32)), pa.array([self.lang] * len(phrases)),
+            pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()),
+        ]
+        return pa.record_batch(columns, ["part", "lang", "phrase", "f"])
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         yield from self._count()
         yield from self._runs(0)
         if 1 in self.lengths and self.total:
-            yield self._batch([None], [self.total])  # all words of the language
+            yield self._batch(np.zeros(1, np.uint64), [None], [self.total])  # all words of the language
 
 
 def _counted(lengths: tuple[int, ...], seen_of) -> object:
@@ -275,17 +276,16 @@ def _counted(lengths: tuple[int, ...], seen_of) -> object:
     return run
 
 
-def _prefix(phrase: Column) -> Column:
-    return F.substring_index(phrase, " ", 2)
-
-
 def counts(texts: DataFrame, lengths: tuple[int, ...], seen: dict[int, bytes] | None) -> DataFrame:
-    """``lang, phrase, f`` of all phrases of ``lengths`` that the bitmap lets pass; runs are merged by their first two words."""
+    """``lang, phrase, f`` of all phrases of ``lengths`` that the bitmap lets pass.
+
+    Runs are merged by prefix: what begins with a word goes to ``SHARDS`` partitions by its second word, so that a frequent word is no
+    hot group and a subtree's phrases still lie together, which makes them small.
+    """
     context = texts.sparkSession.sparkContext
     shared = context.broadcast(seen) if seen is not None else None
-    runs = texts.mapInArrow(_counted(lengths, shared), RUNS)
-    merged = runs.withColumn("prefix", _prefix(F.col("phrase"))).repartition("lang", "prefix")
-    return merged.groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f")).drop("prefix")
+    runs = texts.mapInArrow(_counted(lengths, shared), RUNS).repartition("part")
+    return runs.groupBy("part", "lang", "phrase").agg(F.sum("f").alias("f")).drop("part")
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
