@@ -95,10 +95,19 @@ def serial_split(segments):
     return frames, sorted(errors)
 
 
-@pytest.mark.parametrize("segment,damage", [(1, 0), (7, 0), (100, 0), (1000, 2), (5000, 3), (70000, 2), (70000, 0)])
-def test_split_equals_serial_receiver(spark, segment, damage):
+def stored(root, segments):
+    """Segment files; ``segments`` is connection -> number -> bytes."""
+    for connection, parts in segments.items():
+        os.makedirs(root / f"connection_id={connection}")
+        for number, data in parts.items():
+            (root / f"connection_id={connection}" / f"part-{number:05d}.cap").write_bytes(data)
+    return str(root)
+
+
+def capture_of(root, segment, damage):
+    """A stored capture, and what a serial receiver makes of it."""
     rng = random.Random(segment + damage)
-    rows, want_frames, want_errors = [], {}, {}
+    segments, want_frames, want_errors = {}, {}, {}
     for connection in range(3):
         sizes = [rng.choice([0, 16, 88, 112, 128, 256, rng.randint(0, 3000), rng.randint(0, 65511)]) if segment > 100 else
                  rng.choice([0, 5, 16, 40]) for _ in range(60 if segment > 100 else 8)]
@@ -111,60 +120,86 @@ def test_split_equals_serial_receiver(spark, segment, damage):
         cuts = {i: bytes(stream[p:p + segment]) for i, p in enumerate(range(0, len(stream), segment))}
         if connection == 1 and segment >= 1000 and len(cuts) > 4:
             del cuts[2]
+        if connection == 2:
+            cuts[len(cuts)] = b""
         want_frames[connection], want_errors[connection] = serial_split(cuts)
-        rows += [(connection, i, bytearray(c)) for i, c in cuts.items()]
-    rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "connection_id bigint, segment_no bigint, content binary")
-    split = capture.split_segments(df, run=4).persist()
-    frames = capture.frames_of(split).orderBy("recv_order").collect()
-    for connection in range(3):
-        assert [bytes(r.frame) for r in frames if r.connection_id == connection] == want_frames[connection]
-    problems = capture.parse_errors(split).collect()
-    for connection in range(3):
-        assert sorted(r.problem for r in problems if r.connection_id == connection) == want_errors[connection]
-    split.unpersist()
+        segments[connection] = cuts
+    total = sum(len(d) for c in segments.values() for d in c.values())
+    return stored(root, segments), want_frames, want_errors, total
 
 
-def test_exits_cover_every_entry():
-    rng = random.Random(1)
-    data = b"".join(frame(i, rng.randbytes(rng.randint(0, 300))) for i in range(400)) + b"\x30"
-    array = np.frombuffer(data, dtype=np.uint8)
-    exits = capture.exits_of(array)
-    assert len(exits) == min(len(data), capture.HALF) + 256
-
-    def walk(at):
-        while 0 <= at < len(data) - 1:
-            n = data[at] | data[at + 1] << 8
-            if n < 24:
-                return 0
-            at += n
-        return capture.HALF + data[at] if at == len(data) - 1 else at - len(data)
-
-    inside = len(exits) - 256
-    for e in list(range(0, inside, 97)) + [0, 1, inside - 1]:
-        assert exits[e] == walk(e)
-    for low in range(256):
-        n = low | data[0] << 8
-        assert exits[inside + low] == (0 if n < 24 else walk(n - 1))
-
-
-def test_aligned_segments_from_files(spark, tmp_path):
-    for connection, count in ((0, 3), (1, 2)):
-        os.makedirs(tmp_path / f"connection_id={connection}")
-        for i in range(count):
-            data = b"".join(frame(i * 10 + k, b"abc") for k in range(5)) + (b"\x40\x00tail" if (connection, i) == (1, 1) else b"")
-            (tmp_path / f"connection_id={connection}" / f"part-{i:05d}.cap").write_bytes(data)
-    split = capture.split_segments(capture.read_segments(spark, str(tmp_path)), aligned=True)
-    assert capture.frames_of(split).count() == 25
-    assert [(r.connection_id, r.segment_no, r.problem, r.left_over) for r in capture.parse_errors(split).collect()] == [(1, 1, "incomplete", 6)]
-
-
-def test_arrival_order_that_does_not_fit_raises(spark):
-    rows = [(0, 63, 0), (1, 0, 0), (2**25 - 1, 63, 5)]
-    schema = "segment_no bigint, connection_id bigint, frame_offset int, problem string, frame binary"
-    split = spark.createDataFrame([(*r, None, b"x") for r in rows], schema)
-    orders = [r.recv_order for r in capture.frames_of(split).collect()]
-    assert len(set(orders)) == 3 and min(orders) > 0
-    for bad in ((0, 64, 0), (2**25, 0, 0), (-1, 0, 0)):
-        with pytest.raises(Exception, match="too large"):
-            capture.frames_of(spark.createDataFrame([(*bad, None, b"x")], schema)).collect()
+def check_split(rows, want_frames, want_errors, total):
+    frames = sorted((r for r in rows if r["problem"] is None), key=lambda r: r["recv_order"])
+    problems = [r for r in rows if r["problem"] is not None]
+    assert len({r["recv_order"] for r in frames}) == len(frames)
+    for connection in range(3):
+        assert [bytes(r["frame"]) for r in frames if r["connection_id"] == connection] == want_frames[connection]
+        assert sorted(r["problem"] for r in problems if r["connection_id"] == connection) == want_errors[connection]
+    # every byte is in a frame or left over
+    assert sum(len(r["frame"]) for r in frames) + sum(r["left_over"] for r in problems) == total
+
+
+@pytest.mark.parametrize("segment,damage,piece", [
+    (1, 0, 1), (1, 0, 7), (7, 0, 5), (100, 0, 64), (1000, 2, 40_000), (5000, 3, 30_001), (70000, 2, 40_000), (70000, 0, 200_000),
+    (300_000, 3, 50_000), (300_000, 3, 150_000), (300_000, 3, 1 << 20),
+])
+def test_ranges_equal_serial_receiver(tmp_path, segment, damage, piece):
+    path, *want = capture_of(tmp_path / "c", segment, damage)
+    rows, start = [], {}
+    for one in capture.ranges_of(path, piece):
+        one.start = 0 if one.fresh else start[one.connection_id]
+        starts, exits = capture.range_map(one)
+        start[one.connection_id] = exits[starts.index(one.start)]
+        rows += [r for batch in capture.range_frames(one) for r in batch.to_pylist()]
+    check_split(rows, *want)
+
+
+@pytest.mark.parametrize("segment,damage,piece", [(7, 0, 60), (70000, 2, 50_000), (300_000, 3, 150_000)])
+def test_capture_equals_serial_receiver(spark, tmp_path, segment, damage, piece):
+    path, *want = capture_of(tmp_path / "c", segment, damage)
+    split = capture.read_capture(spark, path, range_bytes=piece, run=4)
+    assert capture.frames_of(split).columns == ["connection_id", "recv_order", "frame"]
+    check_split(split.collect(), *want)
+    assert capture.parse_errors(split).count() == sum(map(len, want[1].values()))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_possible_starts_hold_every_walk(seed):
+    rng = random.Random(seed)
+    data = b"".join(frame(i, rng.randbytes(rng.choice([0, 30, 300, 3000]))) for i in range(300))
+    data = bytearray(data[: rng.randrange(len(data) // 2, len(data))])
+    for _ in range(seed):
+        at = rng.randrange(len(data) - 1)
+        data[at:at + 2] = b"\x01\x00"
+    ends = sorted(rng.sample(range(1, len(data)), seed % 3))
+    starts = capture.possible_starts(bytes(data), ends)
+    for start in [*range(0, min(len(data), S.MAX_FRAME), 53), capture.DEAD]:
+        assert capture.walk(bytes(data), ends, start, 0, len(data))[2] in starts
+
+
+def test_parts_of_files_are_read_and_files_above_two_gigabytes(tmp_path, monkeypatch):
+    body = b"".join(frame(i, bytes(200)) for i in range(2000))
+    stored(tmp_path / "c", {4: {1: body, 2: b"", 3: body[:100]}, 9: {7: body}})
+    ranges = capture.ranges_of(str(tmp_path / "c"), 100_000)
+    assert max(sum(p.length for p in r.pieces) for r in ranges) == 100_000
+    assert all(sum(p.length for p in r.before) <= capture.PEEK_BYTES for r in ranges)
+    files = {0: [(1, "a", 5 << 30), (2, "b", 1 << 20)]}
+    monkeypatch.setattr(capture, "segment_files", lambda path: files)
+    ranges = capture.ranges_of("", 1 << 28)
+    assert [r.pieces[0].offset for r in ranges][:20] == [i << 28 for i in range(20)] and len(ranges) == 21
+    places = np.array([0, 30])
+    segment, offset, order = capture._columns(places, [0], [ranges[19].pieces[0]])
+    assert segment.tolist() == [1, 1] and offset.tolist() == [19 << 28, (19 << 28) + 30] and order.tolist() == [(19 << 28) // 24, ((19 << 28) + 30) // 24]
+
+
+def test_missing_or_shrunk_files(spark, tmp_path):
+    assert capture.ranges_of(stored(tmp_path / "none", {})) == [] if os.makedirs(tmp_path / "none") is None else False
+    path = stored(tmp_path / "c", {0: {1: frame(1, b"abc") * 10}})
+    (one,) = capture.ranges_of(path)
+    (tmp_path / "c" / "connection_id=0" / "part-00001.cap").write_bytes(b"short")
+    with pytest.raises(OSError, match="shorter"):
+        list(capture.range_frames(one))
+    twice = stored(tmp_path / "t", {0: {1: b"x"}})
+    (tmp_path / "t" / "connection_id=0" / "other-1.cap").write_bytes(b"y")
+    with pytest.raises(ValueError, match="one segment number"):
+        capture.ranges_of(twice)

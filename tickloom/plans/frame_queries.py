@@ -42,7 +42,7 @@ def _whole(df, *names):
 
 
 def frame_decode(spark, sf_dir):
-    heads = decode.decode_heads(frames(spark, sf_dir)).drop("frame", "body")
+    heads = decode.decode_heads(frames(spark, sf_dir), contents=False)
     return _whole(heads, "resp_seq", "msg_seq_num")
 
 
@@ -55,7 +55,7 @@ def _typed(name, *wide):
 
 def frame_trade_metrics(spark, sf_dir):
     """From frames all the way to hourly trade metrics."""
-    messages = decode.decode_feed(frames(spark, sf_dir)).withColumn("bucket_ts", bucket(F.col("ts_ns"), HOUR_NS))
+    messages = decode.decode_feed(frames(spark, sf_dir), ["trades"]).withColumn("bucket_ts", bucket(F.col("ts_ns"), HOUR_NS))
     return trade_metrics(messages, exact_scale=2)
 
 
@@ -63,10 +63,39 @@ def frame_rejects(spark, sf_dir):
     return decode.frame_rejects(damaged(spark, sf_dir))
 
 
+SEGMENT = 70_000
+
+
+def stored_capture(spark, sf_dir):
+    """The feed as segment files in the shared folder, cut without regard to frames."""
+    path = session.scratch_path(spark, "capture")
+    wire.store_segments(wire.segment_pieces(frames(spark, sf_dir), SEGMENT), path)
+    return path
+
+
 def capture_split(spark, sf_dir):
-    segments = session.materialize(wire.pack_segments(frames(spark, sf_dir), 70_000))  # stands for stored files
-    heads = decode.decode_heads(capture.frames_of(capture.split_segments(segments)))
-    return _whole(heads.select("connection_id", "resp_seq", "resp_len", "msg_type"), "resp_seq")
+    found = capture.read_capture(spark, stored_capture(spark, sf_dir))
+    return _whole(decode.decode_heads(capture.frames_of(found), contents=False), "resp_seq", "msg_seq_num")
+
+
+def capture_feed(spark, sf_dir):
+    """All fields the metrics use, from segment files."""
+    found = capture.read_capture(spark, stored_capture(spark, sf_dir))
+    return _whole(decode.decode_feed(capture.frames_of(found)).drop("recv_order"), "msg_seq_num")
+
+
+def capture_errors(spark, sf_dir):
+    """Segments of 64 frames each, some frames with a bad length, and the last frame of each connection cut short."""
+    given = frames(spark, sf_dir)
+    last = given.agg(F.max("recv_order")).first()[0]
+    order, index = F.col("recv_order"), F.call_function("div", F.col("recv_order"), F.lit(5))
+    bad = F.concat(F.lit(b"\x05\x00"), F.substr("frame", F.lit(3)))
+    cut = F.substr("frame", F.lit(1), F.length("frame") - 7)
+    data = F.when(index % 97 == 41, bad).when(order > last - 5, cut).otherwise(F.col("frame"))
+    path = session.scratch_path(spark, "capture")
+    pieces = given.select("connection_id", F.call_function("div", index, F.lit(64)).alias("segment_no"), order.alias("at"), data.alias("data"))
+    wire.store_segments(pieces, path)
+    return capture.parse_errors(capture.read_capture(spark, path))
 
 
 def trade_labels(spark, sf_dir):
@@ -156,6 +185,8 @@ QUERIES = {
     "frame_trade_metrics": frame_trade_metrics,
     "frame_rejects": frame_rejects,
     "capture_split": capture_split,
+    "capture_feed": capture_feed,
+    "capture_errors": capture_errors,
     "type_labels": trade_labels,
     "msg_mix": msg_mix,
     "stats_global": stats_global,
@@ -179,6 +210,22 @@ select *, ts_ns // 1000000000 as hdr_ts, cast(recv_order % 7 as integer) as flag
 from feed
 """
 _DAMAGED = "select *, case when recv_order % 83 = 5 then 20 when recv_order % 89 = 3 then len - 1 else len end as cut from w"
+_PLACED = """
+select *, cast(sum(len) over (partition by connection_id order by recv_order rows unbounded preceding) - len as bigint) as start from w
+"""
+# Segments are in order of number and connection; every 24 bytes have a number.
+_SEGMENTS = """
+select connection, segment_no, cast(sum((size + 23) // 24) over (order by segment_no, connection rows unbounded preceding) - (size + 23) // 24 as bigint) as base
+from (select connection, segment_no, least(70000, total - 70000 * segment_no) as size
+  from (select connection_id as connection, cast(sum(len) as bigint) as total from w group by all), unnest(generate_series(0, (total - 1) // 70000)) as s(segment_no))
+"""
+_CUT = """
+select connection_id, segment_no, bad, last, cut,
+  cast(sum(cut) over (partition by connection_id, segment_no order by recv_order rows unbounded preceding) - cut as bigint) as start,
+  cast(sum(cut) over (partition by connection_id, segment_no) as bigint) as size
+from (select connection_id, recv_order // 5 // 64 as segment_no, recv_order // 5 % 97 = 41 as bad, recv_order, last, len - case when last and recv_order // 5 % 97 <> 41 then 7 else 0 end as cut
+  from (select *, recv_order > max(recv_order) over () - 5 as last from w))
+"""
 _COUNTERS = """
 count(*) as messages_received, count(*) filter (where cut >= 24) as messages_decoded,
 count(*) filter (where cut >= 24) as messages_processed, cast(sum(cut) as bigint) as bytes_received,
@@ -248,9 +295,21 @@ SQL = {
         w=_WIRE, d=_DAMAGED,
     ),
     "capture_split": sql.with_feed(
-        "select connection_id, msg_seq_num as resp_seq, cast(len as integer) as resp_len, "
-        "case when msg_type > 7 then 0 else msg_type end as msg_type from w",
-        w=_WIRE,
+        "select connection_id, o.base + start % 70000 // 24 as recv_order, cast(len as integer) as resp_len, msg_seq_num as resp_seq, msg_seq_num, "
+        "hdr_ts, flags, cast(len - 24 as integer) as body_len, case when msg_type > 7 then 0 else msg_type end as msg_type "
+        "from p join o on p.connection_id = o.connection and start // 70000 = o.segment_no",
+        w=_WIRE, p=_PLACED, o=_SEGMENTS,
+    ),
+    "capture_feed": sql.with_feed(
+        "select connection_id, msg_seq_num, ts_ns, msg_type, market, instrument, case when msg_type <= 3 then broker end as broker, "
+        "case when msg_type <> 3 then price end as price, quantity from feed where msg_type between 1 and 6"
+    ),
+    "capture_errors": sql.with_feed(
+        "select connection_id, segment_no, coalesce(bad_at, final) as frame_offset, "
+        "case when bad_at is null then 'incomplete' else 'bad length' end as problem, coalesce(size - bad_at, cut) as left_over from ("
+        "  select connection_id, segment_no, min(start) filter (bad) as bad_at, max(start) as final, arg_max(cut, start) as cut, max(size) as size, bool_or(last) as last"
+        "  from c group by all) where bad_at is not null or last",
+        w=_WIRE, c=_CUT,
     ),
     "type_labels": sql.with_feed(
         "select recv_order, case msg_type when 1 then 'ORDER_NEW' when 2 then 'ORDER_UPDATE' when 3 then 'ORDER_CANCEL' "

@@ -5,6 +5,7 @@ The layouts become numpy structured types, so a batch of rows of one message typ
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,27 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom import schema as S
+from tickloom.functions.layouts import HEAD, frame_dtype
 from tickloom.operators import prefix
+from tickloom.sources.capture import filesystem_of
 
-_NUMPY = {"u32": "<u4", "u64": "<u8", "f64": "<f8"}
-_HEAD = [
-    ("resp_len", "<u2", S.RESP_LEN_AT), ("resp_seq", "<u8", S.RESP_SEQ_AT), ("msg_seq_num", "<u8", S.MSG_SEQ_AT),
-    ("hdr_ts", "<u4", S.HDR_TS_AT), ("flags", "<u2", S.FLAGS_AT), ("msg_type", "u1", S.HEAD_BYTES + S.BODY_TYPE_AT),
-    ("body_seq", "<u4", S.HEAD_BYTES + S.BODY_SEQ_AT), ("ts_ns", "<u8", S.HEAD_BYTES + S.BODY_TS_AT),
-]
 _OTHER = S.Layout("other", (), S.BODY_HEAD_BYTES, ())
 
 
-def frame_dtype(layout: S.Layout) -> np.dtype:
-    fields = _HEAD + [
-        (f"b_{x.name}", _NUMPY.get(x.kind, f"S{x.width}"), S.HEAD_BYTES + x.offset) for x in layout.fields
-    ]
-    names, formats, offsets = zip(*fields)
-    return np.dtype({
-        "names": names, "formats": formats, "offsets": offsets, "itemsize": S.HEAD_BYTES + layout.size,
-    })
-
-
 def encode(messages: DataFrame) -> DataFrame:
     """``(connection_id, recv_order, frame)`` of messages that carry a column for each field of their type's layout.
 
@@ -52,7 +39,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             layout = S.LAYOUT_BY_CODE.get(int(code), _OTHER)
             out = np.zeros(len(rows), frame_dtype(layout))
             out["resp_len"] = out.dtype.itemsize
-            for name, _, _ in _HEAD[1:]:
+            for name, _, _ in HEAD[1:]:
                 source = "msg_seq_num" if name == "body_seq" else name
                 out[name] = cols[source].take(rows).to_numpy(zero_copy_only=False)
             for x in layout.fields:
@@ -91,11 +78,10 @@ def wire_fields(feed: DataFrame) -> DataFrame:
     })
 
 
-def pack_segments(frames: DataFrame, segment_bytes: int, chunk: int = prefix.CHUNK) -> DataFrame:
-    """Capture segments ``(connection_id, segment_no, content)`` of a fixed size, cut without regard to frame borders.
+def segment_pieces(frames: DataFrame, segment_bytes: int, chunk: int = prefix.CHUNK) -> DataFrame:
+    """``connection_id, segment_no, at, data``: the frames cut into segments of a fixed size, without regard to their borders.
 
-    The byte position of a frame is the running length of its connection; a frame across a border gives a piece to each
-    segment. One segment's pieces meet in one group, which is as large as the segment.
+    The byte position of a frame is the running length of its connection; a frame across a border gives a piece to each segment.
     """
     sized = frames.withColumn("_len", F.length("frame").cast("bigint"))
     placed = prefix.running(sized, ["connection_id"], "recv_order", {"_end": ("sum", "_len")}, chunk=chunk)
@@ -105,6 +91,36 @@ def pack_segments(frames: DataFrame, segment_bytes: int, chunk: int = prefix.CHU
     start = F.greatest(F.col("segment_no") * segment_bytes, F.col("_at"))
     stop = F.least((F.col("segment_no") + 1) * segment_bytes, F.col("_end"))
     piece = F.substr("frame", (start - F.col("_at") + 1).cast("int"), (stop - start).cast("int"))
-    pieces = cut.select("connection_id", "segment_no", F.struct(start.alias("at"), F.hex(piece).alias("hex")).alias("piece"))
-    content = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["hex"]), ""))
-    return pieces.groupBy("connection_id", "segment_no").agg(content.alias("content"))
+    return cut.select("connection_id", "segment_no", start.alias("at"), piece.alias("data"))
+
+
+def store_segments(pieces: DataFrame, path: str) -> int:
+    """Write ``connection_id, segment_no, at, data`` as segment files below ``path`` and give their number.
+
+    A task writes its segments one after another from sorted pieces, each under a name of its own that is then moved into place, so a
+    repeated task replaces what it wrote.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = filesystem_of(path)
+        key, out, name, written = None, None, None, 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                files.move(f"{name}.{os.getpid()}", name)
+
+        for batch in batches:
+            for connection, number, data in zip(*(batch.column(i) for i in (0, 1, 3))):
+                if (connection.as_py(), number.as_py()) != key:
+                    close()
+                    key = (connection.as_py(), number.as_py())
+                    files.create_dir(f"{root}/connection_id={key[0]}")
+                    name = f"{root}/connection_id={key[0]}/segment-{key[1]:08d}.cap"
+                    out = files.open_output_stream(f"{name}.{os.getpid()}")
+                    written += 1
+                out.write(data.as_buffer())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["written"])
+
+    dealt = pieces.repartition("connection_id", "segment_no").sortWithinPartitions("connection_id", "segment_no", "at")
+    return dealt.mapInArrow(write, "written bigint").agg(F.sum("written")).first()[0] or 0
