@@ -47,26 +47,20 @@ def _last(kind: int, column: str) -> Column:
     return F.max_by(F.when(of_kind, F.col(column)), F.when(of_kind, F.col("recv_order")))
 
 
-def order_metrics(feed: DataFrame, bucket: str = "bucket_ts") -> DataFrame:
-    """New, open, modified and cancelled orders with their quantities, per market, instrument, broker and bucket."""
-    return of_measurement(feed, "orders").groupBy(*ORDER_TAGS, F.col(bucket).alias("bucket_ts")).agg(
+def order_aggs() -> list[Column]:
+    return [
         _count(S.ORDER_NEW).alias("newOrders"),
         _count(S.ORDER_NEW).alias("openOrders"),
         _sum(S.ORDER_NEW, "quantity").alias("totalOrderQty"),
         _count(S.ORDER_UPDATE).alias("modifiedOrders"),
         _count(S.ORDER_CANCEL).alias("cancelledOrders"),
         _sum(S.ORDER_CANCEL, "quantity").alias("totalCancelQty"),
-    )
+    ]
 
 
-def trade_metrics(feed: DataFrame, bucket: str = "bucket_ts", exact_scale: int | None = None) -> DataFrame:
-    """Trades per market, instrument and bucket.
-
-    ``highPrice`` and ``lowPrice`` are last values (each trade overwrites them); the extremes are ``maxPrice`` and
-    ``minPrice``. ``exact_scale`` sums the value in decimals, so the sum does not depend on the order of the rows.
-    """
+def trade_aggs(exact_scale: int | None = None) -> list[Column]:
     value = trade_value(F.col("price"), F.col("quantity"), exact_scale)
-    return of_measurement(feed, "trades").groupBy(*PRICE_TAGS, F.col(bucket).alias("bucket_ts")).agg(
+    return [
         F.count("*").alias("numTrades"),
         F.sum(F.col("quantity").cast("bigint")).alias("totalVolume"),
         F.sum(value).cast("double").alias("totalValue"),
@@ -74,23 +68,57 @@ def trade_metrics(feed: DataFrame, bucket: str = "bucket_ts", exact_scale: int |
         F.max_by("price", "recv_order").alias("lowPrice"),
         F.max("price").alias("maxPrice"),
         F.min("price").alias("minPrice"),
-    )
+    ]
 
 
-def quote_metrics(feed: DataFrame, bucket: str = "bucket_ts") -> DataFrame:
-    """Bid and ask updates and the last price and quantity of either side, per market, instrument and bucket."""
-    return of_measurement(feed, "quotes").groupBy(*PRICE_TAGS, F.col(bucket).alias("bucket_ts")).agg(
+def quote_aggs() -> list[Column]:
+    return [
         _count(S.QUOTE_BID).alias("bidUpdates"),
         _last(S.QUOTE_BID, "price").alias("bestBid"),
         _last(S.QUOTE_BID, "quantity").alias("bestBidQty"),
         _count(S.QUOTE_ASK).alias("askUpdates"),
         _last(S.QUOTE_ASK, "price").alias("bestAsk"),
         _last(S.QUOTE_ASK, "quantity").alias("bestAskQty"),
-    )
+    ]
+
+
+def order_metrics(feed: DataFrame, bucket: str = "bucket_ts") -> DataFrame:
+    """New, open, modified and cancelled orders with their quantities, per market, instrument, broker and bucket."""
+    return of_measurement(feed, "orders").groupBy(*ORDER_TAGS, F.col(bucket).alias("bucket_ts")).agg(*order_aggs())
+
+
+def trade_metrics(feed: DataFrame, bucket: str = "bucket_ts", exact_scale: int | None = None) -> DataFrame:
+    """Trades per market, instrument and bucket.
+
+    ``highPrice`` and ``lowPrice`` are last values (each trade overwrites them); the extremes are ``maxPrice`` and
+    ``minPrice``. ``exact_scale`` sums the value in decimals, so the sum does not depend on the order of the rows.
+    """
+    return of_measurement(feed, "trades").groupBy(*PRICE_TAGS, F.col(bucket).alias("bucket_ts")).agg(*trade_aggs(exact_scale))
+
+
+def quote_metrics(feed: DataFrame, bucket: str = "bucket_ts") -> DataFrame:
+    """Bid and ask updates and the last price and quantity of either side, per market, instrument and bucket."""
+    return of_measurement(feed, "quotes").groupBy(*PRICE_TAGS, F.col(bucket).alias("bucket_ts")).agg(*quote_aggs())
+
+
+def all_metrics(rolled: DataFrame, exact_scale: int | None = None) -> DataFrame:
+    """All three measurements by one aggregate: ``measurement, market, instrument, broker, bucket_ts`` and the fields of all.
+
+    ``rolled`` has ``measurement``; fields of another measurement than the row's mean nothing, and ``broker`` is null where it is no tag.
+    """
+    broker = F.when(F.col("measurement") == "orders", F.col("broker"))
+    groups = rolled.groupBy("measurement", "market", "instrument", broker.alias("broker"), "bucket_ts")
+    return groups.agg(*order_aggs(), *trade_aggs(exact_scale), *quote_aggs())
 
 
 METRICS = {"orders": order_metrics, "trades": trade_metrics, "quotes": quote_metrics}
 TAGS = {"orders": ORDER_TAGS, "trades": PRICE_TAGS, "quotes": PRICE_TAGS}
+# The fields that are written, by measurement
+FIELDS = {
+    "orders": ("newOrders", "openOrders", "totalOrderQty", "modifiedOrders", "cancelledOrders", "totalCancelQty"),
+    "trades": ("numTrades", "totalVolume", "totalValue", "highPrice", "lowPrice"),
+    "quotes": ("bidUpdates", "bestBid", "bestBidQty", "askUpdates", "bestAsk", "bestAskQty"),
+}
 TAG_NAMES = {"market": "Market", "instrument": "Instrument", "broker": "Broker"}
 
 

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from tickloom import session
 from tickloom.functions import text
+from tickloom.functions.buckets import bucket
 from tickloom.functions.tags import tag_set
-from tickloom.operators import dump, market
+from tickloom.jobs import read_measurement, run_feed
+from tickloom.operators import dump, market, tagged
+from tickloom.options import AggregationOptions
 from tickloom.plans import metric_queries, sql
-from tickloom.plans.feed import table
-from tickloom.sinks import formats
+from tickloom.plans.feed import HOUR_NS, feed, table
+from tickloom.sinks import dynamic, formats
+from tickloom.sources import wire
+from tickloom.sources.frames import read_frames, union_connections
 
-ORDER_FIELDS = ("newOrders", "openOrders", "totalOrderQty", "modifiedOrders", "cancelledOrders", "totalCancelQty")
-TRADE_FIELDS = ("numTrades", "totalVolume", "totalValue", "highPrice", "lowPrice")
-QUOTE_FIELDS = ("bidUpdates", "bestBid", "bestBidQty", "askUpdates", "bestAsk", "bestAskQty")
+ORDER_FIELDS, TRADE_FIELDS, QUOTE_FIELDS = (market.FIELDS[name] for name in ("orders", "trades", "quotes"))
 
 
 def _tags(name):
@@ -95,7 +98,87 @@ def dump_events(spark, sf_dir):
     return dump.dump_text(events, keep=["event_id"], type_name="Event")
 
 
+def activity(spark, sf_dir):
+    """One measurement with tag sets of different keys and fields of all kinds, as long-form values."""
+    rows = feed(spark, sf_dir).filter("msg_type in (1, 4)")
+    new = F.col("msg_type") == 1
+    tags = F.when(new, tag_set({"Instrument": "instrument", "Broker": "broker"})).otherwise(tag_set({"Instrument": "instrument", "Market": "market"}))
+    update = lambda field, op, value, kind: F.struct(
+        F.lit(field).alias("field"), F.lit(op).alias("op"), *[(value if k == kind else F.lit(None)).cast(t).alias(f"v_{k}")
+        for k, t in (("long", "bigint"), ("double", "double"), ("string", "string"))],
+    )
+    updates = F.array(
+        update("quantity", "add", F.col("quantity"), "long"),
+        update("note", "set", F.when(new, F.concat(F.lit('to "'), "market", F.lit('", ok'))), "string"),
+        update("last price", "set", F.when(~new, F.col("price")), "double"),
+    )
+    long = rows.select(
+        F.when(F.col("recv_order") % 3 == 0, "activity").otherwise("other activity").alias("measurement"), tags.alias("tags"), "ts_ns", "recv_order",
+        bucket(F.col("ts_ns"), 24 * HOUR_NS).alias("bucket_ts"), F.inline(updates),
+    )
+    return tagged.aggregate_updates(long.filter("v_long is not null or v_double is not null or v_string is not null"))
+
+
+def metrics_lines(spark, sf_dir):
+    return dynamic.lines(activity(spark, sf_dir))
+
+
+def metrics_csv(spark, sf_dir):
+    return dynamic.csv_lines(session.materialize(activity(spark, sf_dir)))
+
+
+def tags_repeated(spark, sf_dir):
+    """Datapoints with a tag key that occurs twice, written in changing order; through both sinks."""
+    pair = lambda key, value: F.struct(F.lit(key).alias("key"), F.col(value).alias("value"))
+    there, back = F.array(pair("Venue", "market"), pair("Item", "instrument"), pair("Venue", "broker")), F.array(
+        pair("Venue", "broker"), pair("Venue", "market"), pair("Item", "instrument"))
+    rows = feed(spark, sf_dir).filter("msg_type = 4")
+    base = rows.select(
+        F.lit("venues").alias("measurement"), F.when(F.col("recv_order") % 2 == 0, there).otherwise(back).alias("tags"), "ts_ns", "recv_order",
+        bucket(F.col("ts_ns"), 24 * HOUR_NS).alias("bucket_ts"), "quantity", "price",
+    )
+    common = ["measurement", "tags", "ts_ns", "recv_order", "bucket_ts"]
+    none = lambda kind: F.lit(None).cast(kind)
+    adds = base.select(*common, F.lit("volume").alias("field"), F.lit("add").alias("op"), F.col("quantity").alias("v_long"), none("double").alias("v_double"), none("string").alias("v_string"))
+    sets = base.select(*common, F.lit("price").alias("field"), F.lit("set").alias("op"), none("bigint").alias("v_long"), F.col("price").alias("v_double"), none("string").alias("v_string"))
+    values = session.materialize(tagged.aggregate_updates(adds.unionByName(sets)))
+    lines, table_ = dynamic.lines(values), dynamic.csv_lines(values)
+    return lines.select(F.lit("line").alias("sink"), "line").unionByName(table_.select(F.lit("csv").alias("sink"), "line"))
+
+
+def _stored_frames(spark, sf_dir):
+    """Frames of all connections as a stored table per connection, united when read."""
+    root = session.scratch_path(spark, "frames")
+    given = wire.encode(wire.wire_fields(feed(spark, sf_dir)))
+    given.write.partitionBy("connection_id").parquet(root)
+    parts = {c: read_frames(spark, f"{root}/connection_id={c}").drop("connection_id") for c in range(5)}
+    return union_connections(parts)
+
+
+def _job(spark, sf_dir, kind):
+    options = AggregationOptions(window_ms=3_600_000, output_format=kind, output_dir=session.scratch_path(spark, "job"), filename_prefix="feed")
+    run_feed(spark, _stored_frames(spark, sf_dir), options, exact_scale=2)
+    return options
+
+
+def job_files_csv(spark, sf_dir):
+    """The whole job, its three CSV outputs read back as one table of text columns."""
+    options = _job(spark, sf_dir, "csv")
+    parts = [read_measurement(spark, options, name) for name in market.FIELDS]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def job_files_lines(spark, sf_dir):
+    options = _job(spark, sf_dir, "influxdb_line")
+    return reduce(DataFrame.unionByName, [read_measurement(spark, options, name) for name in market.FIELDS])
+
+
 QUERIES = {
+    "metrics_lines": metrics_lines,
+    "metrics_csv": metrics_csv,
+    "tags_repeated": tags_repeated,
+    "job_files_csv": job_files_csv,
+    "job_files_lines": job_files_lines,
     "line_protocol": line_protocol,
     "csv_rows": csv_rows,
     "csv_lines": csv_lines,
@@ -140,9 +223,63 @@ def _lines(*parts: str) -> str:
     return " || chr(10) || ".join(parts)
 
 
+_DAY = 24 * sql.HOUR
+_ACTIVITY = f"""
+select case when recv_order % 3 = 0 then 'activity' else 'other activity' end as measurement, instrument,
+  case when msg_type = 1 then broker end as broker, case when msg_type = 4 then market end as market, ts_ns // {_DAY} * {_DAY} as bucket_ts,
+  cast(sum(quantity) as bigint) as quantity, arg_max('to "' || f.market || '", ok', recv_order) filter (msg_type = 1) as note,
+  arg_max(price, recv_order) filter (msg_type = 4) as price
+from feed f where msg_type in (1, 4) group by all
+"""
+_VENUES = f"""
+select instrument, least(market, broker) as v1, greatest(market, broker) as v2, ts_ns // {_DAY} * {_DAY} as bucket_ts,
+  cast(sum(quantity) as bigint) as volume, arg_max(price, recv_order) as price
+from feed where msg_type = 4 group by all
+"""
+
+
+def _csv_sql(name: str, source: str, tags: list[str], fields: tuple[str, ...]) -> str:
+    shown = ", ".join(f'{c} as "tag_{label}"' for label, c in sorted((market.TAG_NAMES[t], t) for t in tags))
+    cells = ", ".join(f"{_fixed6(f) if f in _DOUBLES else f'cast({f} as varchar)'} as \"field_{f}\"" for f in sorted(fields))
+    return f"select '{name}' as measurement, {shown}, {cells}, cast(bucket_ts as varchar) as time from {source}"
+
+
+_ROLLED = {"measured": sql.MEASURED, "rolled": sql.rolled("measured")}
+_PARTS = {n[0]: metric_queries._per(*metric_queries._SHAPES[n], "rolled") for n in ("order", "trade", "quote")}
+_OUTPUTS = (
+    ("orders", "o", ["market", "instrument", "broker"], ORDER_FIELDS), ("trades", "t", ["market", "instrument"], TRADE_FIELDS),
+    ("quotes", "q", ["market", "instrument"], QUOTE_FIELDS),
+)
+
 _TRADE_B = "select market, instrument, bucket_ts, {agg} from b where msg_type = 4 group by all"
 
 SQL = {
+    "metrics_lines": sql.with_feed(
+        f"""
+select measurement, replace(measurement, ' ', '\\ ') || coalesce(',Broker=' || broker, '') || ',Instrument=' || instrument || coalesce(',Market=' || market, '')
+  || ' ' || concat_ws(',', 'last\\ price=' || {_fixed6('price')}, 'note="' || replace(note, '"', '\\"') || '"', 'quantity=' || quantity || 'i') || ' ' || bucket_ts as line
+from a
+""",
+        a=_ACTIVITY,
+    ),
+    "metrics_csv": sql.with_feed(
+        f"""
+select measurement, measurement || ',' || coalesce(broker, '') || ',' || instrument || ',' || coalesce(market, '') || ',' || coalesce({_fixed6('price')}, '')
+  || ',' || coalesce('"' || replace(note, '"', '""') || '"', '') || ',' || quantity || ',' || bucket_ts as line from a
+union all select measurement, 'measurement,tag_Broker,tag_Instrument,tag_Market,field_last price,field_note,field_quantity,time' from a group by measurement
+""",
+        a=_ACTIVITY,
+    ),
+    "tags_repeated": sql.with_feed(
+        f"""
+select 'line' as sink, 'venues,Item=' || instrument || ',Venue=' || v1 || ',Venue=' || v2 || ' price=' || {_fixed6('price')} || ',volume=' || volume || 'i ' || bucket_ts as line from v
+union all select 'csv', 'venues,' || instrument || ',' || v1 || ',' || {_fixed6('price')} || ',' || volume || ',' || bucket_ts from v
+union all select 'csv', 'measurement,tag_Item,tag_Venue,field_price,field_volume,time'
+""",
+        v=_VENUES,
+    ),
+    "job_files_csv": sql.with_feed(" union all by name ".join(_csv_sql(*o) for o in _OUTPUTS), **_ROLLED, **_PARTS),
+    "job_files_lines": sql.with_feed(" union all ".join(_line_sql(*o) for o in _OUTPUTS), **_ROLLED, **_PARTS),
     "line_protocol": sql.with_feed(
         " union all ".join([
             _line_sql("orders", "o", ["market", "instrument", "broker"], ORDER_FIELDS),

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,23 +79,33 @@ def csv_line(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(",", *parts).alias("line"))
 
 
-def batch_dir(options: AggregationOptions, measurement: str, batch_id: int | str) -> str:
-    """Folder of one flush: prefix, measurement and the batch id as sequence number."""
+def batch_dir(options: AggregationOptions, measurement: str, batch_id: int | str, stamp: datetime | None = None) -> str:
+    """Folder of one flush: prefix, measurement, time of the flush if given, and the batch id as sequence number."""
     kind = "csv" if options.csv else "lp"
-    return f"{options.output_dir.rstrip('/')}/{options.filename_prefix}_{measurement}.{kind}/batch_id={batch_id}"
+    root = f"{options.output_dir.rstrip('/')}/{options.filename_prefix}_{measurement}"
+    return f"{root}.{kind}/batch_id={batch_id}" if stamp is None else f"{root}_{stamp:%y%m%d_%H%M%S}_{batch_id}.{kind}"
 
 
 def write_metrics(
-    metrics: DataFrame, measurement: str, tags, fields, options: AggregationOptions, batch_id: int | str,
+    metrics: DataFrame, measurement: str, tags, fields, options: AggregationOptions, batch_id: int | str, stamp: datetime | None = None,
 ) -> str:
     """Write one flush into a folder of its own. A retried batch replaces its own folder and touches no other."""
-    path = batch_dir(options, measurement, batch_id)
+    path = batch_dir(options, measurement, batch_id, stamp)
     if options.csv:
-        rows = csv_rows(metrics, measurement, tags, fields)
-        rows.write.mode("overwrite").csv(
-            path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
-            ignoreTrailingWhiteSpace=False,
-        )
+        write_csv(csv_rows(metrics, measurement, tags, fields), path)
     else:
         line_protocol(metrics, measurement, tags, fields).write.mode("overwrite").text(path)
     return path
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").csv(
+        path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
+
+
+def read_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """What :func:`write_csv` wrote, as text columns."""
+    return spark.read.csv(
+        list(paths), header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
