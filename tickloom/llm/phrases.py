@@ -33,12 +33,13 @@ FILTER_BITS = 1 << 27
 BUCKET_BITS = 1 << 15
 # Bytes of text looked at together, entries of a trie, entries of a container, words remembered by a task.
 CHUNK = 4 << 20
-ENTRIES = 600_000
+ENTRIES = 800_000
 BURST = 16_384
 WORDS = 1_000_000
-# Rows given out together, and partitions that the phrases with one first word are dealt to.
+# Rows given out together, shards of the phrases with one first word, and of single words.
 BATCH = 20_000
-SHARDS = 16
+SHARDS = 4
+WORD_PARTS = 4096
 
 # Lower case, tabs as spaces, one mark for all that ends a piece; it stands apart then and is a word of its own.
 _PLAIN = bytes.maketrans(
@@ -228,9 +229,11 @@ class Counter:
     def _runs(self, keep: int) -> Iterator[pa.RecordBatch]:
         words, keys = np.array(self.ids.words, object), np.array(self.ids.keys, np.uint64)
         if len(self.ones) and not keep:
-            for lo in range(0, len(self.ones), BATCH):
-                part = slice(lo, lo + BATCH)
-                yield self._batch(keys[part], words[part].tolist(), self.ones[part].tolist())
+            shards = keys & np.uint64(WORD_PARTS - 1)
+            order = np.argsort(shards, kind="stable")
+            for lo in range(0, len(order), BATCH):
+                part = order[lo : lo + BATCH]
+                yield self._batch(shards[part], words[part].tolist(), self.ones[part].tolist())
         for trie in self.tries.values():
             parts, phrases, counts = [], [], []
             for ids, numbers in trie.spill(keep):
