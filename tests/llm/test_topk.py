@@ -45,3 +45,14 @@ def test_fewer_candidates_than_k_and_large_numbers(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, topk.top_k(df, "vec_id % 2 = 0", 20).collect()))
     assert got == brute(rows, lambda i: i % 2 == 0, 20)
+
+
+def test_one_id_with_several_vectors_does_not_depend_on_the_block(spark):
+    draw = random.Random(5)
+    rows = [(i, [draw.random(), draw.random()]) for i in range(1, 31)] + [(i, [draw.random()]) for i in range(31, 61)]
+    rows += [(100, [0.5, 0.25]), (100, [0.125, 1.0]), (100, [0.75]), (200, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, lambda i: i >= 100, 20)
+    assert len(want) == 80
+    for block in (4096, 2, 1):
+        assert sorted(map(tuple, topk.top_k(df, "vec_id >= 100", 20, query_block=block).collect())) == want

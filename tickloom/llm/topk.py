@@ -56,15 +56,17 @@ def top_k(
         F.max(F.aggregate("v", F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x * x).cast("decimal(38,0)"))).alias("norm"),
     ).first()
     blocks = -(-asked.count() // query_block)
-    out = None
+    out, searches = None, 0
     for block in range(blocks):
         queries = asked.filter(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == block) if blocks > 1 else asked
         for ids, matrix in _by_length(queries.toArrow()):
-            part = _search(rows, spark.sparkContext.broadcast((ids, matrix)), len(ids), k, shape)
+            # Places of queries count from 0 in each search, so a query is known by both.
+            part = _search(rows, spark.sparkContext.broadcast((ids, matrix)), len(ids), k, shape).withColumn("search", F.lit(searches))
+            searches += 1
             out = part if out is None else out.unionAll(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    by_query = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    by_query = W.partitionBy("query_id", "search", "query").orderBy(F.desc("score"), "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
