@@ -203,3 +203,24 @@ def test_missing_or_shrunk_files(spark, tmp_path):
     (tmp_path / "t" / "connection_id=0" / "other-1.cap").write_bytes(b"y")
     with pytest.raises(ValueError, match="one segment number"):
         capture.ranges_of(twice)
+
+
+def test_resume_opens_only_files_past_the_point(spark, tmp_path):
+    path = str(tmp_path / "f")
+    for at in range(4):
+        rows = [(c, 100 * at + i, bytearray(frame(100 * at + i))) for c in (1, 2) for i in range(10)]
+        part = spark.createDataFrame(rows, FRAME).coalesce(1)
+        part.write.mode("append").partitionBy("connection_id").parquet(path)
+    table = frame_tables.read_frames(spark, path)
+    index = frame_tables.file_index(table).persist()
+    assert index.count() == 8
+    points = spark.createDataFrame([(1, 205), (2, 399)], "connection_id long, last_seq long")
+    files = frame_tables.resume_files(index, points)
+    assert len(files) == 2 and all("connection_id=1" in f for f in files)
+    left = frame_tables.resume_frames(spark, path, index, points)
+    assert sorted(left.inputFiles()) == files
+    assert sorted((r.connection_id, int(r.resp_seq)) for r in left.collect()) == [(1, s) for s in [*range(206, 210), *range(300, 310)]]
+    none = spark.createDataFrame([(2, 10**6)], "connection_id long, last_seq long")
+    assert {f.split("connection_id=")[1][0] for f in frame_tables.resume_files(index, none)} == {"1"}
+    both = spark.createDataFrame([(1, 10**6), (2, 10**6)], "connection_id long, last_seq long")
+    assert frame_tables.resume_frames(spark, path, index, both).count() == 0

@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,7 +77,6 @@ def decode_heads(frames: DataFrame, contents: bool = True) -> DataFrame:
     fields = [
         T.StructField("resp_len", T.IntegerType()), T.StructField("resp_seq", T.DecimalType(20, 0)),
         T.StructField("msg_seq_num", T.DecimalType(20, 0)), T.StructField("hdr_ts", T.LongType()), T.StructField("flags", T.IntegerType()),
-        *([T.StructField("body", T.BinaryType())] if contents else []),
         T.StructField("body_len", T.IntegerType()), T.StructField("msg_type", T.IntegerType()),
     ]
     dtype = frame_dtype(S.Layout("head", (), 0, ()), HEAD[:5])
@@ -92,12 +90,14 @@ def decode_heads(frames: DataFrame, contents: bool = True) -> DataFrame:
         kinds[kinds > S.INSTRUMENT_REF] = S.UNKNOWN
         return [
             pa.array(view["resp_len"].astype(np.int32)), u64(view["resp_seq"]), u64(view["msg_seq_num"]), pa.array(view["hdr_ts"].astype(np.int64)),
-            pa.array(view["flags"].astype(np.int32)), *([pc.binary_slice(array, S.HEAD_BYTES)] if contents else []),
-            pa.array(bodies.astype(np.int32)), pa.array(kinds),
+            pa.array(view["flags"].astype(np.int32)), pa.array(bodies.astype(np.int32)), pa.array(kinds),
         ]
 
-    keep = frames.columns if contents else [c for c in frames.columns if c != "frame"]
-    return _mapped(frames.filter(frame_length_ok(F.col("frame"))), fields, decode, keep)
+    legal, f = frames.filter(frame_length_ok(F.col("frame"))), F.col("frame")
+    if not contents:
+        return _mapped(legal, fields, decode, [c for c in frames.columns if c != "frame"])
+    heads = _mapped(legal, fields, decode, frames.columns)
+    return heads.withColumn("body", F.substring(f, S.HEAD_BYTES + 1, S.MAX_FRAME))
 
 
 def typed(frames: DataFrame, layout_name: str, columns: Sequence[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from tickloom.plans import sql
 from tickloom.plans.feed import HOUR_NS, feed, from_events, resent, table
 from tickloom.sources import capture, wire
 from tickloom.sources.connections import with_attributes
+from tickloom.sources.frames import file_index, read_frames, resume_frames, union_connections
 
 MINUTE = 60
 
@@ -170,6 +171,36 @@ def resume_scan(spark, sf_dir):
     return quality.resume_scan(messages, half)
 
 
+def stored_frames(spark, sf_dir):
+    """The frame table as it is stored: by connection, in files of neighbouring frames."""
+    path = session.scratch_path(spark, "frames")
+    given = frames(spark, sf_dir).repartitionByRange(16, "recv_order").sortWithinPartitions("recv_order")
+    given.write.partitionBy("connection_id").parquet(path)
+    return path
+
+
+def half_way(messages, seq):
+    points = quality.resume_points(messages, seq)
+    return points.withColumn("last_seq", F.call_function("div", F.col("last_seq").cast("bigint"), F.lit(2)))
+
+
+def resume_files(spark, sf_dir):
+    """From a stored frame table, what a reader that stopped half way still has to read; earlier files are not opened."""
+    path = stored_frames(spark, sf_dir)
+    table_ = read_frames(spark, path)
+    points = half_way(decode.decode_heads(table_, contents=False), "resp_seq")
+    left = resume_frames(spark, path, session.materialize(file_index(table_)), points)
+    return _whole(left.drop("frame"), "resp_seq")
+
+
+def stored_feed(spark, sf_dir):
+    """Every typed message of a stored, partitioned frame table, and of a union of its connections read one by one."""
+    path = stored_frames(spark, sf_dir)
+    parts = {c: read_frames(spark, f"{path}/connection_id={c}").drop("connection_id") for c in range(5)}
+    rows = decode.decode_feed(read_frames(spark, path)).withColumn("read", F.lit("table"))
+    return _whole(rows.unionByName(decode.decode_feed(union_connections(parts)).withColumn("read", F.lit("union"))), "msg_seq_num")
+
+
 def connection_attributes(spark, sf_dir):
     rows = with_attributes(feed(spark, sf_dir), connections(spark, sf_dir))
     return rows.groupBy("endpoint", "item", "msg_type").agg(F.count("*").alias("messages"))
@@ -199,6 +230,8 @@ QUERIES = {
     "seq_dedup": seq_dedup,
     "resume_points": resume_points,
     "resume_scan": resume_scan,
+    "resume_files": resume_files,
+    "stored_feed": stored_feed,
     "connection_attributes": connection_attributes,
 }
 
@@ -360,6 +393,15 @@ from (select connection_id, interval_start,
         "group by all) p using (connection_id) where msg_seq_num > last_seq",
         resent=sql.RESENT_SQL,
     ),
+    "resume_files": sql.with_feed(
+        "select w.connection_id, recv_order, msg_seq_num as resp_seq from w join (select connection_id, arg_max(msg_seq_num, recv_order) // 2 as last_seq "
+        "from w group by all) p using (connection_id) where msg_seq_num > last_seq",
+        w=_WIRE,
+    ),
+    "stored_feed": sql.with_feed(
+        "select recv_order, connection_id, msg_seq_num, ts_ns, msg_type, market, instrument, case when msg_type <= 3 then broker end as broker, "
+        "case when msg_type <> 3 then price end as price, quantity, read from feed, (values ('table'), ('union')) as r(read) where msg_type between 1 and 6"
+    ),
     "connection_attributes": sql.with_feed(
         "select endpoint, item, msg_type, count(*) as messages from feed left join c using (connection_id) group by all", c=_CONNECTIONS
     ),

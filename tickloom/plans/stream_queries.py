@@ -9,7 +9,7 @@ from tickloom.operators.tagged import Metrics
 from tickloom.plans import metric_queries, sql
 from tickloom.plans.feed import feed, resent
 from tickloom.schema import FEED_SCHEMA
-from tickloom.streaming import handler, roll, windows
+from tickloom.streaming import handler, roll, sequences, windows
 
 SLICES = 4
 FILES = 4
@@ -30,8 +30,9 @@ def replay(spark, rows):
 
 
 def _finished(query):
+    """Number of the last micro-batch; None if a stream had nothing to read."""
     query.awaitTermination()
-    return query.lastProgress["batchId"]
+    return query.lastProgress["batchId"] if query.lastProgress else None
 
 
 def _trades(spec_rows):
@@ -86,6 +87,31 @@ def stream_dedup(spark, sf_dir):
     return _to_table(spark, stream.drop("event_time", "recv_order"), "dedup")
 
 
+def delayed(spark, sf_dir):
+    """The feed with some messages left out, some received out of order, and copies that come in the last slice, days of event time late."""
+    rows = feed(spark, sf_dir)
+    last = rows.agg(F.max("recv_order")).first()[0]
+    order = F.col("recv_order")
+    rows = rows.filter(order % 71 != 3).withColumn("recv_order", order + F.when(order % 53 == 4, last).otherwise(0))
+    late = rows.filter(order % 37 == 1).withColumn("recv_order", order + 2 * last + 1)
+    return rows.unionByName(late)
+
+
+def stream_dedup_exact(spark, sf_dir):
+    stream = sequences.deduplicated_exactly(replay(spark, delayed(spark, sf_dir)))
+    return _to_table(spark, stream.drop("recv_order"), "dedup-exact")
+
+
+def stream_seq_gaps(spark, sf_dir):
+    """Gaps left when all slices are read; those that a late message fills are gone again."""
+    base = session.scratch_path(spark, "gaps")
+    stream = sequences.tracked(replay(spark, delayed(spark, sf_dir)))
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{base}/checkpoint").trigger(**NOW).start()
+    query.awaitTermination()
+    gaps = sequences.gaps_of(sequences.received(spark, f"{base}/checkpoint"))
+    return gaps.select("connection_id", *[F.col(c).cast("bigint").alias(c) for c in ("after_seq", "before_seq", "missing")])
+
+
 def _notional(messages, worker):
     out = messages[["recv_order", "connection_id"]].copy()
     out["notional"] = messages["price"] * messages["quantity"]
@@ -114,6 +140,8 @@ QUERIES = {
     "stream_roll_report": stream_roll_report,
     "stream_drop_late": stream_drop_late,
     "stream_dedup": stream_dedup,
+    "stream_dedup_exact": stream_dedup_exact,
+    "stream_seq_gaps": stream_seq_gaps,
     "handler_batch": handler_batch,
     "stream_handler": stream_handler,
 }
@@ -154,6 +182,13 @@ from feed where msg_type = 4
     "stream_dedup": sql.with_feed(
         "select connection_id, msg_seq_num, ts_ns, msg_type, market, instrument, broker, price, quantity from feed"
     ),
+    "stream_dedup_exact": sql.with_feed(
+        "select connection_id, msg_seq_num, ts_ns, msg_type, market, instrument, broker, price, quantity from feed where recv_order % 71 <> 3"
+    ),
+    "stream_seq_gaps": sql.with_feed(
+        "select connection_id, msg_seq_num as after_seq, n as before_seq, n - msg_seq_num - 1 as missing from (select *, "
+        "lead(msg_seq_num) over (partition by connection_id order by msg_seq_num) as n from feed where recv_order % 71 <> 3) where n > msg_seq_num + 1"
+    ),
     "handler_batch": sql.with_feed("select recv_order, connection_id, price * quantity as notional from feed"),
     "stream_handler": sql.with_feed("select connection_id, msg_type, count(*) as messages from feed group by all"),
 }

@@ -84,8 +84,10 @@ class RollingMetrics:
         if batch_id > 1:
             session.remove_path(spark, f"{self.state_dir}/open/batch_id={batch_id - 2}")
 
-    def finish(self, spark: SparkSession, last_batch: int) -> None:
-        """Write the bucket still open after the last batch, under the name ``final``."""
+    def finish(self, spark: SparkSession, last_batch: int | None) -> None:
+        """Write the bucket still open after the last batch, under the name ``final``; nothing without a batch."""
+        if last_batch is None:
+            return
         spec = replace(self.spec, adds={**self.spec.adds, LATE: F.lit(0).cast("bigint")})
         rest = spec.finish(self._state(spark, last_batch))
         self.write(rest.drop(LATE), "final")
