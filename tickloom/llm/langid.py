@@ -14,7 +14,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import groupby
 
 import ahocorasick
@@ -24,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.held import held
 from tickloom.llm.piecemodel import BYTE, NORMAL, SPACE, read_model
 from tickloom.session import materialize
 
@@ -38,8 +38,8 @@ PRIOR = 0.1
 CACHE_WORDS = 400_000
 CACHE_CHARS = 40
 STRETCH = 1 << 12
-# Words worked out together; characters of texts read together; words of a very long text read together.
-BATCH = 2000
+# Cells (words by their longest) worked out together; characters of texts read together; words of a very long text read together.
+CELLS = 1 << 14
 PART = 1 << 20
 WORDS = 1 << 16
 
@@ -126,9 +126,8 @@ def expected(lattice: Lattice, logp: np.ndarray, words: list[str], counts: np.nd
     return out
 
 
-@lru_cache(maxsize=4)
 def lattice_of(model: bytes) -> Lattice:
-    return Lattice(model)
+    return held(("lattice", hash(model)), lambda: Lattice(model))
 
 
 def words_of(text: str) -> Iterator[list[str]]:
@@ -163,7 +162,7 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.lattice = model, lattice_of(model.vocabulary)
+        self.model, self.lattice = model, Lattice(model.vocabulary)
         self.table = np.zeros((1024, len(model.languages)))
 
     def scores(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
@@ -171,17 +170,19 @@ class Scorer(dict):
         if not self.model.languages:
             yield from [None] * len(texts)
             return
-        short = [words for text in texts if text and len(text) <= PART for words in words_of(text)]
-        self.learn([w for words in short for w in words])
-        for text in texts:
+        short = [list(words_of(text)) if text and len(text) <= PART else None for text in texts]
+        self.learn([w for parts in short if parts for words in parts for w in words])
+        for text, parts in zip(texts, short):
             total, any_ = self.model.prior.copy(), False
-            for words in words_of(text) if text else ():
+            for words in parts or (words_of(text) if text else ()):
                 any_ |= bool(words)
-                self.learn(words)
-                for word in words:
-                    if len(word) > CACHE_CHARS:
-                        total += likelihoods(self.lattice, self.model.logp, [word])[0]
-                known = [self[w] for w in words if len(w) <= CACHE_CHARS]
+                known = list(map(self.get, words))
+                if None in known:  # of a long text, too long to keep, or let go for others
+                    self.learn(words)
+                    for word in words:
+                        if len(word) > CACHE_CHARS:
+                            total += likelihoods(self.lattice, self.model.logp, [word])[0]
+                    known = [self[w] for w in words if len(w) <= CACHE_CHARS]
                 total += self.table[np.array(known, np.int64)].sum(axis=0)
             yield total if any_ else None
 
@@ -189,23 +190,29 @@ class Scorer(dict):
         if len(self) > CACHE_WORDS:
             self.clear()
         new = sorted({w for w in words if w not in self and len(w) <= CACHE_CHARS}, key=lambda w: (len(w), w))
-        for at in range(0, len(new), BATCH):
-            part, size = new[at : at + BATCH], len(self)
+        for places in parts_of(new, list(range(len(new)))):
+            part, size = [new[i] for i in places], len(self)
             while size + len(part) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[size : size + len(part)] = likelihoods(self.lattice, self.model.logp, part)
             self.update(zip(part, range(size, size + len(part))))
 
 
-_scorers: dict[str, Scorer] = {}
+def scorer_of(model: Model) -> Scorer:
+    """A worker's scorer, kept between tasks."""
+    return held(("scorer", model.name), lambda: Scorer(model))
 
 
-def scorer_of(model: Model) -> Scorer:
-    """A worker's one scorer, kept between tasks."""
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
+def parts_of(words: list[str], order: list[int]) -> Iterator[list[int]]:
+    """``order`` of words, sorted by length, in parts whose tables are of bounded size whatever the words' lengths."""
+    part: list[int] = []
+    for i in order:
+        if part and (len(part) + 1) * (len(words[i]) + 1) > CELLS:
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
 
 
 def train(
@@ -257,8 +264,7 @@ def train(
                 order = sorted(range(len(texts)), key=lambda i: (names[i], len(texts[i])))
                 for name, own in groupby(order, key=names.__getitem__):
                     one, own = languages.index(name), list(own)
-                    for at in range(0, len(own), BATCH):
-                        part = own[at : at + BATCH]
+                    for part in parts_of(texts, own):
                         many = batch.column("n").to_numpy()[part]
                         total[:, one] += expected(lattice, logp[:, one], [texts[i] for i in part], many)
             piece, language = np.nonzero(total)

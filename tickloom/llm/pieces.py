@@ -7,24 +7,42 @@ gives. Work is per row; nothing is shuffled, and a worker's memory of units it h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.held import held
 from tickloom.llm.piecemodel import Decoder, Encoder, read_model
 
 
-@lru_cache(maxsize=4)
-def encoder_of(model: bytes) -> Encoder:
-    return Encoder(read_model(model))
+# Letters of texts, or bytes of ids, whose results a worker gathers before it gives them out.
+PART = 1 << 20
 
 
-@lru_cache(maxsize=4)
-def decoder_of(model: bytes) -> Decoder:
-    return Decoder(read_model(model))
+def coders_of(model: bytes) -> tuple[Encoder, Decoder]:
+    def make() -> tuple[Encoder, Decoder]:
+        read = read_model(model)
+        return Encoder(read), Decoder(read)
+
+    return held(("pieces", hash(model)), make)
+
+
+def in_parts(batches: Iterator[pa.Array], one: Callable[[Any], Any], made: Callable[[list], pa.Array]) -> Iterator[pa.Array]:
+    """``made`` of the results of ``one``, row by row, some at a time whatever the number of rows in a batch."""
+    for batch in batches:
+        results, size = [], 0
+        for i, row in enumerate(batch):
+            row = row.as_py()
+            results.append(one(row))
+            size += len(row or "")
+            if size >= PART or i + 1 == len(batch):
+                yield made(results)
+                results, size = [], 0
+        if not len(batch):
+            yield made([])
 
 
 class Pieces:
@@ -37,17 +55,28 @@ class Pieces:
         model = spark.sparkContext.broadcast(content)
 
         def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            one = encoder_of(model.value).encode
-            for batch in texts:
-                yield pa.array([one(text.as_py()) for text in batch], pa.binary())
+            yield from in_parts(texts, coders_of(model.value)[0].encode, lambda rows: pa.array(rows, pa.binary()))
 
         def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            one = decoder_of(model.value).decode
-            for batch in ids:
-                yield pa.array([None if row.as_py() is None else one(row.as_py()) for row in batch], pa.string())
+            one = coders_of(model.value)[1].decode
+            yield from in_parts(ids, lambda row: None if row is None else one(row), lambda rows: pa.array(rows, pa.string()))
+
+        def there_and_back(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encoder, decoder = coders_of(model.value)
+
+            def both(text: str | None) -> tuple[bytes, str]:
+                ids = encoder.encode(text)
+                return ids, decoder.decode(ids)
+
+            def made(rows: list[tuple[bytes, str]]) -> pa.Array:
+                columns = [pa.array([ids for ids, _ in rows], pa.binary()), pa.array([text for _, text in rows], pa.string())]
+                return pa.StructArray.from_arrays(columns, ["ids", "decoded"])
+
+            yield from in_parts(texts, both, made)
 
         self._encode = F.arrow_udf("binary")(encode)
         self._decode = F.arrow_udf("string")(decode)
+        self._both = F.arrow_udf("ids binary, decoded string")(there_and_back)
 
     def ids(self, text: Column) -> Column:
         """Ids with begin and end, as little-endian unsigned 32-bit integers; a null text is taken as empty."""
@@ -58,6 +87,11 @@ class Pieces:
         return self._decode(ids)
 
 
+    def both(self, text: Column) -> Column:
+        """STRUCT of the ids and of the text decoded from them, by one worker."""
+        return self._both(text)
+
+
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids BINARY, decoded STRING`` of every row of ``docs``, repeated rows included.
 
@@ -65,5 +99,5 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     encoded in one piece; an empty table gives an empty one. Other columns of ``docs`` are not read, whatever their names.
     """
     pieces = Pieces(docs.sparkSession, path)
-    ids = docs.select(F.col(key).alias(key), pieces.ids(F.col(text).cast("string")).alias("ids"))
-    return ids.select(key, "ids", pieces.text(F.col("ids")).alias("decoded"))
+    rows = docs.select(F.col(key).alias(key), pieces.both(F.col(text).cast("string")).alias("_both"))
+    return rows.select(key, "_both.ids", "_both.decoded")
