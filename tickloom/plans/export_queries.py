@@ -81,6 +81,7 @@ def nested_orders(spark, sf_dir):
         ).alias("header", metadata={"type_name": "Header"}),
         F.col("o_orderpriority").alias("priority", metadata={"char_width": 16}),
         price.alias("price"),
+        F.col("o_orderdate").alias("date"),
         (price > 100000).alias("large"),
         F.array(price, price / 8, price * 1000).alias("parts"),
         tag_set({"prio": "o_orderpriority", "cust": F.col("o_custkey")}).alias("tags"),
@@ -94,7 +95,7 @@ def dump_text(spark, sf_dir):
 
 
 def dump_events(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     return dump.dump_text(events, keep=["event_id"], type_name="Event")
 
 
@@ -321,6 +322,7 @@ from pages where html is not null
         "'  }'",
         "'  priority = \"' || o_orderpriority || '\" (' || length(o_orderpriority) || '/16)'",
         "'  price = ' || printf('%g', o_totalprice)",
+        "'  date = ' || cast(o_orderdate as varchar)",
         "'  large = ' || case when o_totalprice > 100000 then 'true' else 'false' end",
         "'  parts = [3] {'",
         "'    [0] = ' || printf('%g', o_totalprice)",
@@ -342,7 +344,7 @@ from pages where html is not null
         "'}'",
     ) + " as text from orders",
     "dump_events": "select event_id, " + _lines(
-        "'Event {'", "'  user_id = ' || user_id", "'  event_type = \"' || event_type || '\"'", "'  value = ' || printf('%g', value)",
+        "'Event {'", "'  ts = ' || cast(ts as varchar)", "'  user_id = ' || user_id", "'  event_type = \"' || event_type || '\"'", "'  value = ' || printf('%g', value)",
         "'  props = \"' || replace(props, '\"', '\\\"') || '\"'", "'}'",
     ) + " as text from events",
 }

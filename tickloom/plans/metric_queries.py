@@ -96,12 +96,17 @@ def shipment_spec():
     )
 
 
+# Order keys and line numbers repeat; with part, supplier and quantity a line has a number of its own.
+LINE_KEY = """(l_orderkey * 8 + l_linenumber) * 1000000000
+  + (l_partkey * 7919 + l_suppkey * 104729 + cast(l_quantity as bigint) * 15485863) % 1000000000"""
+
+
 def user_metrics(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumns({
         "ship_ns": F.expr(micros("l_shipdate")) * 1000,
-        "line_key": F.col("l_orderkey") * 1000 + F.col("l_linenumber"),
+        "line_key": F.expr(LINE_KEY),
     })
-    return shipment_spec().aggregate(lines, HOUR_MS, roll=False)
+    return shipment_spec().aggregate(lines, HOUR_MS)
 
 
 def _long(spark, sf_dir):
@@ -164,7 +169,7 @@ def metric_keys(spark, sf_dir):
 
 
 def metrics_pivot(spark, sf_dir):
-    wide = tagged.pivot_fields(tagged.aggregate_updates(_long(spark, sf_dir).filter("field <> 'value'")))
+    wide = tagged.pivot_fields(tagged.aggregate_updates(_long(spark, sf_dir)))
     tags = F.concat_ws(",", F.transform(F.map_entries(canonical(F.col("tags"))), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return wide.withColumn("tags", tags)
 
@@ -251,11 +256,12 @@ from b where msg_type = 4 group by all
     ),
     "user_metrics": f"""
 select 'shipments' as measurement, l_returnflag as "Flag", l_linestatus as "Status",
-  epoch_us(l_shipdate) * 1000 // {sql.HOUR} * {sql.HOUR} as bucket_ts, count(*) as lines,
+  open_ns // {sql.HOUR} * {sql.HOUR} as bucket_ts, count(*) as lines,
   cast(sum(cast(l_quantity as bigint)) as bigint) as quantity,
-  arg_max(l_extendedprice, l_orderkey * 1000 + l_linenumber) as lastPrice,
-  arg_max('part ' || l_partkey, l_orderkey * 1000 + l_linenumber) as lastPart
-from lineitem group by all
+  arg_max(l_extendedprice, {LINE_KEY}) as lastPrice,
+  arg_max('part ' || l_partkey, {LINE_KEY}) as lastPart
+from (select *, max(epoch_us(l_shipdate) * 1000) over (order by {LINE_KEY} rows unbounded preceding) as open_ns from lineitem)
+group by all
 """,
     "metrics_long_add": sql.with_feed(
         f"""
@@ -323,7 +329,8 @@ where msg_type between 1 and 6
 select 'feed' as measurement, 'Instrument=' || instrument || ',Market=' || market as tags, bucket_ts,
   arg_max(broker, recv_order) as lastBroker,
   regexp_replace(printf('%.6f', arg_max(price, recv_order)), '\\.?0+$', '') as lastPrice,
-  cast(arg_max(quantity, recv_order) as varchar) as lastQty, cast(sum(quantity) as varchar) as volume
+  cast(arg_max(quantity, recv_order) as varchar) as lastQty, cast(sum(quantity) as varchar) as volume,
+  regexp_replace(printf('%.6f', cast(sum(cast(price as decimal(18, 2))) as double)), '\\.?0+$', '') as value
 from t group by market, instrument, bucket_ts
 """,
         t=_TRADES_LONG,

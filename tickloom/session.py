@@ -34,8 +34,7 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def prepare(spark: SparkSession) -> None:
-    """What the jobs need of a session that was not made by :func:`tuned`."""
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED_METHOD_BYTES)
+    """What the jobs need of a session that was not made by :func:`tuned`; its settings are left alone."""
     ship_package(spark)
 
 
