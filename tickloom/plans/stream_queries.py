@@ -10,6 +10,7 @@ from tickloom.plans import metric_queries, sql
 from tickloom.plans.feed import feed, resent
 from tickloom.schema import FEED_SCHEMA
 from tickloom.streaming import handler, roll, sequences, windows
+from tickloom.streaming.keep import END, kept_series
 
 SLICES = 4
 FILES = 4
@@ -65,6 +66,18 @@ def stream_roll_report(spark, sf_dir):
     return job.report(spark)
 
 
+def stream_keep_series(spark, sf_dir):
+    """Every known tag set at every flush of the rolled stream, the rolled buckets being the input of a second one."""
+    base, job = _roll(spark, sf_dir)
+    written = spark.read.parquet(f"{base}/out").drop("batch_id")
+    end = spark.createDataFrame([(END,)], "bucket_ts long").select(
+        *[F.col(c) if c == "bucket_ts" else F.lit(None).cast(t).alias(c) for c, t in written.dtypes]
+    )
+    end.write.mode("append").parquet(f"{base}/out/batch_id=zz-end")
+    metrics = spark.readStream.schema(written.schema).parquet(f"{base}/out").drop("measurement", "batch_id")
+    return _to_table(spark, kept_series(metrics, ["Market", "Instrument"]), "keep")
+
+
 def _to_table(spark, stream, name, mode="append"):
     base = session.scratch_path(spark, name)
     query = (
@@ -140,6 +153,7 @@ QUERIES = {
     "stream_roll_report": stream_roll_report,
     "stream_drop_late": stream_drop_late,
     "stream_dedup": stream_dedup,
+    "stream_keep_series": stream_keep_series,
     "stream_dedup_exact": stream_dedup_exact,
     "stream_seq_gaps": stream_seq_gaps,
     "handler_batch": handler_batch,
@@ -182,6 +196,17 @@ from feed where msg_type = 4
     "stream_dedup": sql.with_feed(
         "select connection_id, msg_seq_num, ts_ns, msg_type, market, instrument, broker, price, quantity from feed"
     ),
+    "stream_keep_series": sql.with_feed(
+        """
+select s.market as "Market", s.instrument as "Instrument", s.series_start, b.bucket_ts, a.numTrades, a.totalVolume, a.lastPrice
+from (select market, instrument, min(bucket_ts) as series_start from a group by all) s
+join (select distinct bucket_ts from a) b on b.bucket_ts >= s.series_start
+left join a on a.market = s.market and a.instrument = s.instrument and a.bucket_ts = b.bucket_ts
+""",
+        measured=sql.MEASURED, rolled=sql.rolled("measured"),
+        a="""select market, instrument, bucket_ts, count(*) as numTrades, cast(sum(quantity) as bigint) as totalVolume, arg_max(price, recv_order) as lastPrice
+from rolled where msg_type = 4 group by all""",
+    ),
     "stream_dedup_exact": sql.with_feed(
         "select connection_id, msg_seq_num, ts_ns, msg_type, market, instrument, broker, price, quantity from feed where recv_order % 71 <> 3"
     ),
