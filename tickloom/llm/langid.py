@@ -35,12 +35,12 @@ ROUNDS = 2
 # Added to each expected count.
 PRIOR = 0.1
 # Words a worker remembers, and the longest word it remembers; longer stretches are read this many letters at a time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 CACHE_CHARS = 40
 STRETCH = 1 << 12
 # Cells (words by their longest) worked out together; characters of texts read together; words of a very long text read together.
 CELLS = 1 << 14
-PART = 1 << 20
+PART = 1 << 19
 WORDS = 1 << 16
 
 LETTERS = regex.compile(r"\p{L}+")
