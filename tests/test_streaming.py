@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.tagged import Metrics
 from tickloom.options import AggregationOptions
 from tickloom.streaming import roll
+from tickloom.streaming.keep import END, kept_series
 
 SCHEMA = "recv_order bigint, ts_ns bigint, sym string, v bigint"
 
@@ -70,3 +71,35 @@ def test_events_without_a_time_are_counted(spark, tmp_path):
     job.finish(spark, 1)
     assert {(r.sym, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 9)}
     assert job.untimed(spark).first()[0] == 2
+
+
+def test_keep_series_waits_for_whole_buckets_and_fills_idle_sets(spark, tmp_path):
+    schema = "sym string, note string, bucket_ts bigint, v bigint"
+    batches = [
+        [("a", None, 100, 1)], [("b", "x", 100, 2), ("a", None, 300, 3)], [(None, None, 700, 4), ("c", "y, z", 700, 5)], [(None, None, END, None)],
+    ]
+    rows = [r for b in batches for r in b if r[2] < END]
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    writer = kept_series(stream, ["sym", "note"], shards=3).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(repr, map(tuple, spark.read.parquet(str(tmp_path / "out")).select("sym", "note", "series_start", "bucket_ts", "v").collect())))
+    starts = {}
+    for sym, note, bucket, _ in rows:
+        starts.setdefault((sym, note), bucket)
+    want = [
+        repr((*one, start, bucket, next((r[3] for r in rows if r[:3] == (*one, bucket)), None)))
+        for one, start in starts.items() for bucket in (100, 300, 700) if bucket >= start
+    ]
+    assert got == sorted(want)
+
+
+def test_a_stream_with_nothing_to_read(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    job = roll.RollingMetrics(Metrics("m", {"sym": "sym"}, adds={"total": "v"}), 100, str(tmp_path / "state"), roll.parquet_writer(str(tmp_path / "out")))
+    query = job.start(stream, str(tmp_path / "c"), availableNow=True)
+    query.awaitTermination()
+    job.finish(spark, query.lastProgress["batchId"] if query.lastProgress else None)
+    assert not (tmp_path / "out").exists()

@@ -75,6 +75,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Remove a folder of this library's own, on whatever storage it is; nothing happens if it is not there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

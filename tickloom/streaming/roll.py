@@ -85,8 +85,8 @@ class RollingMetrics:
             session.remove_path(spark, f"{self.state_dir}/open/batch_id={batch_id - 2}")
 
     def finish(self, spark: SparkSession, last_batch: int | None) -> None:
-        """Write the bucket still open after the last batch, under the name ``final``; nothing without a batch."""
-        if last_batch is None:
+        """Write the bucket still open after the last batch, under the name ``final``; nothing if the stream had no batch."""
+        if last_batch is None or not session.path_exists(spark, f"{self.state_dir}/open/batch_id={last_batch}"):
             return
         spec = replace(self.spec, adds={**self.spec.adds, LATE: F.lit(0).cast("bigint")})
         rest = spec.finish(self._state(spark, last_batch))
