@@ -5,9 +5,12 @@ Workers are used again by later stages, so a model that each stage left behind w
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _held: dict[Any, Any] = {}
 
 
@@ -17,3 +20,12 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
         _held.clear()
         _held[key] = make()
     return _held[key]
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task; allocators keep it otherwise, in every worker that waits for work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass

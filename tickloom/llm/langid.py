@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.held import held
+from tickloom.llm.held import give_back, held
 from tickloom.llm.piecemodel import BYTE, NORMAL, SPACE, read_model
 from tickloom.session import materialize
 
@@ -305,6 +305,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                         shares.append(float(1.0 / np.exp(scores - scores[best]).sum()))
                 part, size = [], 0
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["lang", "score"])
+        give_back()
 
     found = docs.withColumn("_found", F.arrow_udf("lang string, score double")(choose)(F.col(text).cast("string")))
     return found.withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")

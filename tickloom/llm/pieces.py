@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.held import held
+from tickloom.llm.held import give_back, held
 from tickloom.llm.piecemodel import Decoder, Encoder, read_model
 
 
@@ -43,6 +43,7 @@ def in_parts(batches: Iterator[pa.Array], one: Callable[[Any], Any], made: Calla
                 results, size = [], 0
         if not len(batch):
             yield made([])
+    give_back()
 
 
 class Pieces:
