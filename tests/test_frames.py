@@ -224,3 +224,10 @@ def test_resume_opens_only_files_past_the_point(spark, tmp_path):
     assert {f.split("connection_id=")[1][0] for f in frame_tables.resume_files(index, none)} == {"1"}
     both = spark.createDataFrame([(1, 10**6), (2, 10**6)], "connection_id long, last_seq long")
     assert frame_tables.resume_frames(spark, path, index, both).count() == 0
+
+
+def test_listed_files_keep_their_store():
+    assert capture.full_path("/data/c", "/data/c/connection_id=1/a1.cap") == "/data/c/connection_id=1/a1.cap"
+    assert capture.full_path("file:///data/c", "/data/c/x") == "/data/c/x"
+    assert capture.full_path("hdfs://host:9000/c", "/c/x") == "hdfs://host:9000/c/x"
+    assert capture.full_path("s3a://bucket/c", "bucket/c/x") == "s3a://bucket/c/x"

@@ -88,16 +88,22 @@ def filesystem_of(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
+def full_path(root: str, listed: str) -> str:
+    """A listed file's path with the scheme it was listed by; object stores list the bucket as the first folder."""
+    scheme = re.match(r"^([a-z0-9]+)://[^/]*", root)
+    if not scheme or scheme.group(1) == "file":
+        return listed
+    return scheme.group() + listed if listed.startswith("/") else f"{scheme.group(1)}://{listed}"
+
+
 def segment_files(path: str) -> dict[int, list[tuple[int, str, int]]]:
     """``connection -> [(segment number, file, size)]`` in order. Only names and sizes are listed, as for any table of files."""
     files, root = filesystem_of(path)
-    scheme = re.match(r"^[a-z0-9]+://[^/]*", path)
     found: dict[int, list] = {}
     for info in files.get_file_info(pyarrow.fs.FileSelector(root, recursive=True)):
         named = re.search(r"connection_id=(\d+)/(?:[^/]*?)(\d+)\.[^./]*$", info.path)
         if info.type == pyarrow.fs.FileType.File and named:
-            whole = info.path if not scheme or scheme.group().startswith("file") else info.path
-            found.setdefault(int(named.group(1)), []).append((int(named.group(2)), whole, info.size))
+            found.setdefault(int(named.group(1)), []).append((int(named.group(2)), full_path(path, info.path), info.size))
     for connection, segments in found.items():
         segments.sort()
         if len({n for n, _, _ in segments}) < len(segments):
