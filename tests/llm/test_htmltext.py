@@ -99,6 +99,17 @@ def test_header_of_an_article_keeps_its_headings():
     assert htmltext.main_text(page, PLAIN) == f"Title\n{WORDS}"
 
 
+@pytest.mark.parametrize("many", [3, 70, 200])
+def test_any_number_of_articles(many):
+    part = f"<article><header><h2>Title</h2><p>By somebody</p></header><p>{WORDS}</p></article>"
+    assert htmltext.main_text(part * many, PLAIN) == "\n".join(["Title", WORDS] * many)
+    whole = htmltext.Page(f"<main><h1>All</h1>{part * many}</main>")
+    assert whole.outer == [whole.article]
+    plain = htmltext.Page(f"<p>{WORDS}</p>" + f"<article>{part * 2}</article>{part}" * many)
+    inside = [a for a in plain.articles if any(b[0] < a[0] and a[1] <= b[1] for b in plain.articles)]
+    assert plain.outer == sorted(set(plain.articles) - set(inside)) and len(plain.outer) == 2 * many
+
+
 def test_odd_rows(spark):
     page = f"<nav>Menu</nav><article>{BODY}</article>"
     rows = [(1, "u", page, "mine"), (1, "u", page, "mine"), (None, None, None, None), (3, None, "", "t"), (4, "v", page, None)]

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
@@ -220,14 +221,19 @@ class Page:
 
     def _judge(self) -> None:
         """Which units are inside of elements that are no text."""
-        self.outer = [a for a in self.articles if not any(b != a and b[0] <= a[0] and a[1] <= b[1] for b in self.articles[:64])]
+        self.outer: list[tuple[int, int]] = []
+        for first, last in sorted(self.articles):  # elements lie in one another or apart
+            if not self.outer or last > self.outer[-1][1]:
+                self.outer.append((first, last))
+        begins = [first for first, _ in self.outer]
         hidden, heads = [0] * (len(self.units) + 1), [0] * (len(self.units) + 1)
         texts = [0, *accumulate(block >= 0 for _, block, _ in self.units)]
         for first, last, kind, letters, holds in self._spans:
             if holds or kind == "named" and 2 * letters > self.total:
                 continue
             # The header an article begins with has its headings.
-            heading = kind == "headed" and any(a <= first and last <= b and texts[a] == texts[first] for a, b in self.outer[:64])
+            at = bisect(begins, first) - 1
+            heading = kind == "headed" and at >= 0 and last <= self.outer[at][1] and texts[begins[at]] == texts[first]
             marks = heads if heading else hidden
             marks[first] += 1
             marks[last] -= 1
