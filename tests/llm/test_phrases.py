@@ -64,6 +64,15 @@ def test_counts(spark, monkeypatch, entries, burst, words, bits):
     assert {(*k, n) for k, n in found.items()} == plain_counts(rows, 1)
 
 
+def test_runs_are_shuffled_in_few_rows():
+    rows = [(i * 7 % 5, "en", f"a w{i}", i) for i in range(10_000)]
+    batch = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.string(), pa.string(), pa.int64()))], ["part", "lang", "phrase", "f"])
+    total = pa.record_batch([pa.array([0], pa.int32()), pa.array(["en"]), pa.array([None], pa.string()), pa.array([9])], ["part", "lang", "phrase", "f"])
+    packed, last = [b.to_pylist() for b in phrases._packed(iter([batch, total]))]
+    assert len(packed) == 5 and last == [{"part": 0, "lang": "en", "phrases": None, "counts": [9]}]
+    assert {(r["part"], r["lang"], p, f) for r in packed for p, f in zip(r["phrases"].split("\n"), r["counts"], strict=True)} == set(rows)
+
+
 @pytest.mark.parametrize("least", [2, 8])
 def test_frequencies(spark, least):
     rows = texts(least, 80)

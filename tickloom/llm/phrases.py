@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -36,8 +37,9 @@ CHUNK = 4 << 20
 ENTRIES = 800_000
 BURST = 16_384
 WORDS = 1_000_000
-# Rows given out together, shards of the phrases with one first word, and of single words.
+# Rows given out together, phrases in a row of them at most, shards of the phrases with one first word, and of single words.
 BATCH = 20_000
+PACKED = 4096
 SHARDS = 4
 WORD_PARTS = 4096
 
@@ -48,7 +50,7 @@ _PLAIN = bytes.maketrans(
 _BREAK, _NOTHING = -1, -2
 _ODD1, _ODD2, _ALL = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
 
-RUNS = "part int, lang string, phrase string, f long"
+RUNS = "part int, lang string, phrases string, counts array<long>"
 
 
 def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -279,15 +281,33 @@ def _counted(lengths: tuple[int, ...], seen_of) -> object:
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases of one partition as one row, joined by line feeds, which no word has, and their counts; a language's total has no phrases."""
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        part, at = part[order], np.arange(len(order))
+        begin = np.maximum.accumulate(np.where(np.diff(part, prepend=part[:1] - 1) != 0, at, 0))
+        starts = np.flatnonzero((at - begin) % PACKED == 0)
+        offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
+        phrases = pa.ListArray.from_arrays(offsets, batch.column("phrase").take(pa.array(order)))
+        found = pa.ListArray.from_arrays(offsets, batch.column("f").take(pa.array(order)))
+        columns = [pa.array(part[starts]), batch.column("lang").take(pa.array(order[starts])), pc.binary_join(phrases, "\n"), found]
+        yield pa.record_batch(columns, ["part", "lang", "phrases", "counts"])
+
+
 def counts(texts: DataFrame, lengths: tuple[int, ...], seen: dict[int, bytes] | None) -> DataFrame:
     """``lang, phrase, f`` of all phrases of ``lengths`` that the bitmap lets pass.
 
     Runs are merged by prefix: what begins with a word goes to ``SHARDS`` partitions by its second word, so that a frequent word is no
-    hot group and a subtree's phrases still lie together, which makes them small.
+    hot group and a subtree's phrases still lie together; these are shuffled as one row, which makes them small.
     """
     context = texts.sparkSession.sparkContext
     shared = context.broadcast(seen) if seen is not None else None
-    runs = texts.mapInArrow(_counted(lengths, shared), RUNS).repartition("part")
+    counted = _counted(lengths, shared)
+    runs = texts.mapInArrow(lambda batches: _packed(counted(batches)), RUNS).repartition("part")
+    single = F.expr(r"inline(arrays_zip(coalesce(split(phrases, '\n'), array(cast(null as string))), counts))").alias("phrase", "f")
+    runs = runs.select("part", "lang", single)
     return runs.groupBy("part", "lang", "phrase").agg(F.sum("f").alias("f")).drop("part")
 
 
