@@ -2,12 +2,29 @@
 
 import random
 
+import pyarrow as pa
 from oracle import compare, database
 
-from tickloom.llm import lines
+from tickloom.llm import lines, shingles
+from tickloom.llm.held import _held, held
 from tickloom.llm.queries import SQL, op6_lines
 
 
+def test_tasks_drop_models_of_earlier_stages_and_take_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(lines, "PART", 20)
+    texts = [None, "", "a b\nc", "x" * 50 + "\ny", "a\n\nb"] * 3
+    gone = [None, [], [0], [1], None] * 3
+    assert held("a model", lambda: 1) == 1
+    kept = lines._keep(pa.array(texts), pa.array(gone, pa.list_(pa.int32())))
+    assert not _held
+    assert kept.to_pylist() == [
+        {"text": t, "n_lines": n, "n_kept": k} for t, n, k in ((None, 0, 0), ("", 0, 0), ("c", 2, 1), ("x" * 50, 2, 1), ("a\n\nb", 2, 2))
+    ] * 3
+    assert lines._keep(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))).to_pylist() == []
+    parts = [p.column(0).to_pylist() for p in shingles.in_parts([pa.record_batch([pa.array(texts)], ["t"])], "t", 20)]
+    assert sum(parts, []) == texts and all(len(p) == 1 or sum(len(t or "") for t in p) <= 20 for p in parts)
+
+
 def apart(a, b):
     """Whether two word lists are at most one edit apart, by the table of distances."""
     row = list(range(len(b) + 1))

@@ -6,6 +6,7 @@ Workers are used again by later stages, so a model that each stage left behind w
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable
 from typing import Any
 
@@ -22,6 +23,14 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     return _held[key]
 
 
+def let_go() -> None:
+    """Drop what is held for an earlier stage; for tasks that hold nothing themselves."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system at the end of a task; allocators keep it otherwise, in every worker that waits for work."""
     pa.default_memory_pool().release_unused()

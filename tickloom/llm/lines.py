@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import shingles
+from tickloom.llm.held import give_back, let_go
 from tickloom.session import materialize, small_side
 
 MIN_WORDS = 8
+# Bytes of text a worker takes lines from or out of at a time.
+PART = 4 << 20
 
 _STEP = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -82,16 +85,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """From ``doc, text``: ``doc, line, h, halves`` of every line with words; short ones have no ``halves``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        let_go()
+        for batch in shingles.in_parts(batches, "text", PART):
             found = [keys_of(text) for text in shingles.texts(batch.column("text"))]
-            if not found:
-                continue
             number, h, n, keys = (np.concatenate(part) for part in zip(*found))
             docs = np.repeat(batch.column("doc").to_numpy(), [len(one[0]) for one in found])
             long = n >= MIN_WORDS
             offsets = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
             halves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[long].ravel()))
             yield pa.record_batch([pa.array(docs), pa.array(number.astype(np.int32)), pa.array(h), halves], ["doc", "line", "h", "halves"])
+        give_back()
 
     return docs.mapInArrow(run, "doc long, line int, h long, halves array<long>")
 
@@ -101,7 +104,8 @@ def _cut(rows: DataFrame) -> DataFrame:
     fields = {"h": pa.int64(), "doc": pa.int64(), "line": pa.int32(), "words": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        let_go()
+        for batch in shingles.in_parts(batches, "text", PART):
             out = {name: [] for name in fields}
             for doc, text, wanted in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
                 parts = (text.as_py() or "").split("\n")
@@ -110,6 +114,7 @@ def _cut(rows: DataFrame) -> DataFrame:
                         for name, value in zip(fields, (one["h"], doc, one["line"], parts[one["line"]])):
                             out[name].append(value)
             yield pa.record_batch([pa.array(out[n], kind) for n, kind in fields.items()], list(fields))
+        give_back()
 
     return rows.mapInArrow(run, "h long, doc long, line int, words string")
 
@@ -119,6 +124,7 @@ def _neighbourhoods(lines: DataFrame) -> DataFrame:
     fields = {"h": pa.int64(), "doc": pa.int64(), "line": pa.int32(), "key": pa.int64(), "place": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             parts, held = [], 0
             for i, line in enumerate(shingles.texts(batch.column("words"))):
@@ -130,6 +136,7 @@ def _neighbourhoods(lines: DataFrame) -> DataFrame:
                     yield _rows(fields, batch, parts)
                     parts, held = [], 0
             yield _rows(fields, batch, parts)
+        give_back()
 
     return lines.mapInArrow(run, "h long, doc long, line int, key long, place int")
 
@@ -211,6 +218,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def _keep(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    let_go()
+    rows = pa.record_batch([texts, gone], ["text", "gone"])
+    done = [_kept(part.column("text"), part.column("gone")) for part in shingles.in_parts([rows], "text", PART)]
+    give_back()
+    return pa.concat_arrays(done or [_kept(texts, gone)])
+
+
+def _kept(texts: pa.Array, gone: pa.Array) -> pa.Array:
     out, counts, left = [], [], []
     for text, lines in zip(texts, gone):
         text, lines = text.as_py(), set(lines.as_py() or ())

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Bytes that separate words
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -83,6 +84,18 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield row.as_py() or b""
 
 
+def in_parts(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the batches in parts of about ``size`` bytes of a column, or one longer row; the number of rows in a batch says little."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the ``width``-word shingles; of all words as one if there are fewer; empty without words."""
     words = word_hashes(text)
