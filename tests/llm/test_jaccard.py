@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -80,6 +81,21 @@ def test_families_and_odd_rows(spark, short):
     assert result(jaccard.groups(docs, short=short)) == brute(rows)
 
 
+def test_pairs_of_lists_are_given_out_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS", 100)
+    draw = random.Random(5)
+    lists = [sorted(draw.sample(range(60), draw.choice([1, 2, 2, 3, 30, 40]))) for _ in range(80)]
+    rank, sizes = np.array([i for one in lists for i in one]), np.array([len(one) for one in lists])
+    starts = np.cumsum(sizes) - sizes
+    ids = np.array([i * 3 - 70 for i in range(60)])
+    parts = [(rank[a], rank[b]) for a, b in jaccard._places(starts, sizes)]
+    assert max(len(a) for a, _ in parts) <= 40 * 39 // 2  # one list, or about PAIRS
+    given = [part.to_pylist() for part in jaccard._distinct(0, ids, iter(parts))]
+    assert len(given) > 1 and max(map(len, given)) <= 2 * 100 + 40 * 39 // 2
+    want = {(ids[x], ids[y]) for one in lists for i, y in enumerate(one) for x in one[:i]}
+    assert {(r["a"], r["b"]) for part in given for r in part} == want
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.groups(docs).count() == 0

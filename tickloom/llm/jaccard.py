@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import shingles
 from tickloom.llm.components import components
+from tickloom.llm.held import give_back, let_go
 from tickloom.session import materialize, small_side
 
 # Similar: PART * overlap >= SHARE * union.
@@ -50,6 +51,8 @@ COMMON, COMMON_PART, COMMON_MOST = 32, 1 / 5000, 200_000
 # Tokens a task counts or keeps at a time, and index entries per bucket, about.
 TOKENS = 1 << 20
 BUCKET = 1 << 20
+# Pairs a task holds at a time, and bytes of text, about.
+PAIRS, PART_BYTES = 1 << 20, 4 << 20
 
 # A key of the index, the set, and its size and the key's place in single tokens, 0 in pairs.
 ENTRY = np.dtype([("token", "u8"), ("id", "i8"), ("size", "u4"), ("place", "u1")])
@@ -128,8 +131,9 @@ def sets_of(docs: DataFrame) -> DataFrame:
         return _arrow(fields, {"doc_id": none, "n": counts, "d1": tokens, "d2": none, "sketch": none})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         part, held = [], 0
-        for batch in batches:
+        for batch in shingles.in_parts(batches, "text", PART_BYTES):
             rows = {name: [] for name in fields}
             rows["doc_id"] = batch.column("doc_id")
             for text in shingles.texts(batch.column("text")):
@@ -145,6 +149,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             yield _arrow(fields, rows)
         if part:
             yield common(part)
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary")
 
@@ -177,13 +182,14 @@ def index(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
     fields = {"bucket": pa.int32(), "id": pa.int64(), "entries": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         often, seen, parts, held = shared.value, set(), [], 0
 
         def flush() -> pa.RecordBatch:
             rows = list(_packed(parts, buckets))
             return _arrow(fields, {"bucket": [b for b, _ in rows], "id": [None] * len(rows), "entries": [e for _, e in rows]})
 
-        for batch in batches:
+        for batch in shingles.in_parts(batches, "text", PART_BYTES):
             late = []
             for text in shingles.texts(batch.column("text")):
                 tokens = shingles.shingle_set(text, WIDTH)
@@ -207,29 +213,60 @@ def index(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
             yield _arrow(fields, {"bucket": away, "id": [i for i, _ in late], "entries": [e for _, e in late]})
         if parts:
             yield flush()
+        give_back()
 
     return docs.mapInArrow(run, "bucket int, id long, entries binary")
 
 
-def _lists(entries: np.ndarray) -> Iterator[np.ndarray]:
-    """Lists of at least two sets, in order of size."""
-    entries = entries[np.lexsort((entries["id"], entries["size"], entries["token"]))]
+def _gathered(batches: Iterator[pa.RecordBatch], kind: np.dtype, *order: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's entries in order, and where the list of each token starts and ends."""
+    entries = np.concatenate([np.frombuffer(e.as_buffer(), kind) for batch in batches for e in batch.column("entries")])
+    entries = entries[np.lexsort([entries[name] for name in order])]
     same = (entries["token"][1:] == entries["token"][:-1]) & (entries["id"][1:] == entries["id"][:-1])
-    entries = entries[np.concatenate([[True], ~same])] if len(entries) else entries
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(entries["token"])) + 1, [len(entries)]])
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        if b - a > 1:
-            yield entries[a:b]
+    if same.any():
+        entries = entries[np.concatenate([[True], ~same])]
+    cuts = np.flatnonzero(entries["token"][1:] != entries["token"][:-1]) + 1
+    return entries, np.concatenate([[0], cuts]), np.concatenate([cuts, [len(entries)]])
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of all lists, the first before the second; lists of one size together, in parts of about PAIRS."""
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        a, b = np.triu_indices(size, 1)
+        own = starts[sizes == size]
+        step = max(1, PAIRS // len(a))
+        for at in range(0, len(own), step):
+            first = own[at : at + step, None]
+            yield (first + a).ravel(), (first + b).ravel()
 
 
-def _short(one: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pairs of a list, without the blocks of sizes and places that rule a pair out."""
-    size, place = one["size"].astype(np.int64), one["place"].astype(np.int64)
-    a, b = np.triu_indices(len(one), 1)
+def _distinct(kind: int, ids: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """``kind, a, b`` of pairs of places in the sorted ``ids``, given out when too many; repeated ones go, but for those given out before."""
+    fields = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "entries": pa.binary()}
+    waiting, size = [], 0
+
+    def out(keys: np.ndarray) -> pa.RecordBatch:
+        a, b = ids[(keys >> np.uint64(32)).astype(np.int64)], ids[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        return _arrow(fields, {"kind": np.full(len(a), kind), "a": a, "b": b, "entries": pa.nulls(len(a), pa.binary())})
+
+    for a, b in parts:
+        waiting.append((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
+        size += len(a)
+        if size > 2 * PAIRS:
+            waiting = [np.unique(np.concatenate(waiting))]
+            size = len(waiting[0])
+            if size > PAIRS:
+                yield out(waiting[0])
+                waiting, size = [], 0
+    if size:
+        yield out(np.unique(np.concatenate(waiting)))
+
+
+def _short(entries: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of places are not of sizes and places that rule a pair out."""
+    size, place = entries["size"].astype(np.int64), entries["place"].astype(np.int64)
     left = np.minimum(size[a] - place[a], size[b] - place[b])
-    good = (SHARE * size[b] <= PART * size[a]) & (left >= needed(size[a], size[b]))
-    x, y = one["id"][a[good]], one["id"][b[good]]
-    return np.minimum(x, y), np.maximum(x, y)
+    return (SHARE * size[b] <= PART * size[a]) & (left >= needed(size[a], size[b]))
 
 
 def scan(entries: DataFrame, short: int = SHORT) -> DataFrame:
@@ -243,17 +280,27 @@ def scan(entries: DataFrame, short: int = SHORT) -> DataFrame:
                 n = batch.num_rows
                 yield _arrow(fields, {"kind": [2] * n, "a": batch.column("id"), "b": [None] * n, "entries": batch.column("entries")})
             return
-        every = [np.frombuffer(e.as_buffer(), ENTRY) for batch in batches for e in batch.column("entries")]
-        pairs, members = [], []
-        for one in _lists(np.concatenate(every)):
-            if len(one) <= short:
-                pairs.append(np.stack(_short(one)))
-            else:
-                members.append(np.stack([np.full(len(one), _leader(one["id"])), one["id"]]))
-        for kind, found in ((0, pairs), (1, members)):
-            if found:
-                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield _arrow(fields, {"kind": np.full(len(a), kind), "a": a, "b": b, "entries": [None] * len(a)})
+        let_go()
+        every, starts, ends = _gathered(batches, ENTRY, "id", "size", "token")
+        ids, rank = np.unique(every["id"], return_inverse=True)
+        sizes = ends - starts
+
+        def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            listed = sizes <= short
+            for a, b in _places(starts[listed], sizes[listed]):
+                good = _short(every, a, b)
+                x, y = rank[a[good]], rank[b[good]]
+                yield np.minimum(x, y), np.maximum(x, y)
+
+        def led() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for lo, hi in zip(starts[sizes > short].tolist(), ends[sizes > short].tolist()):
+                leader = np.searchsorted(ids, _leader(every["id"][lo:hi]))
+                yield np.full(hi - lo, leader), rank[lo:hi]
+
+        yield from _distinct(0, ids, near())
+        yield from _distinct(1, ids, led())
+        del every, ids, rank
+        give_back()
 
     return entries.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, entries binary")
 
@@ -374,7 +421,8 @@ class Families:
         }
 
         def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            let_go()
+            for batch in shingles.in_parts(shingles.in_parts(batches, "text", PART_BYTES), "whole", PART_BYTES):
                 out = {name: [] for name in fields}
                 for i, (text, whole) in enumerate(zip(shingles.texts(batch.column("text")), batch.column("whole"))):
                     tokens, own = shingles.shingle_set(text, WIDTH), batch.column("id")[i].as_py()
@@ -388,6 +436,7 @@ class Families:
                     for name, value in zip(fields, values):
                         out[name].append(value)
                 yield _arrow(fields, out)
+            give_back()
 
         return rows.select("family", "id", "rep", "text", "whole").mapInArrow(
             differ, "family long, id long, rep long, whole long, minus binary, plus binary"
@@ -416,20 +465,19 @@ class Families:
             parts, held = [], 0
 
             def flush() -> pa.RecordBatch:
-                entries = np.concatenate(parts)
-                bucket = (entries["token"] % np.uint64(buckets)).astype(np.int64)
-                found = [(int(b), entries[bucket == b].tobytes()) for b in np.unique(bucket)]
+                found = list(_packed(parts, buckets))
                 return _arrow(fields, {"bucket": [b for b, _ in found], "entries": [e for _, e in found]})
 
-            for batch in batches:
+            let_go()
+            for batch in shingles.in_parts(shingles.in_parts(batches, "minus", PART_BYTES), "plus", PART_BYTES):
                 for row in batch.to_pylist():
                     tokens = np.frombuffer(row["minus"] + row["plus"], np.uint64)
                     lack = row["cost"] + row["least"] - row["reach"]  # what sharing has to make up for, at least
                     need = max(1, -(-lack // (PART + SHARE)))
                     tokens = np.sort(shingles._mixed(tokens ^ np.uint64(row["family"] & (1 << 64) - 1)))[: max(0, len(tokens) - need + 1)]
                     one = np.empty(len(tokens), DIFFERENCE)
-                    one["token"], one["id"], one["cost"], one["inner"] = tokens, row["id"], row["cost"], lack <= 0
-                    one["minus"], one["plus"], one["reach"] = len(row["minus"]) // 8, len(row["plus"]) // 8, row["reach"]
+                    one["token"], one["id"], one["inner"] = tokens, row["id"], lack <= 0
+                    one["minus"], one["plus"], one["whole"] = len(row["minus"]) // 8, len(row["plus"]) // 8, row["whole"]
                     parts.append(one)
                     held += len(one)
                     if held > TOKENS:
@@ -437,33 +485,35 @@ class Families:
                         parts, held = [], 0
             if parts:
                 yield flush()
+            give_back()
 
         entries = rows.mapInArrow(spread, "bucket int, entries binary")
 
         def pair(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            every = np.concatenate([np.frombuffer(e.as_buffer(), DIFFERENCE) for batch in batches for e in batch.column("entries")])
-            every = every[np.lexsort((every["id"], every["token"]))]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(every["token"])) + 1, [len(every)]])
-            pairs, inside = [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                one = every[lo:hi]
-                if hi - lo < 2 or one["inner"].all():
-                    continue
-                if hi - lo > short:
-                    inside.append(np.stack([np.full(len(one), one["token"][0].astype(np.int64)), one["id"]]))
-                    continue
-                a, b = np.triu_indices(len(one), 1)
-                shared = np.minimum(one["minus"][a], one["minus"][b]) + np.minimum(one["plus"][a], one["plus"][b])
-                good = ~(one["inner"][a] & one["inner"][b])
-                good &= (PART + SHARE) * shared >= one["cost"][a] + one["cost"][b] - one["reach"][a]
-                pairs.append(np.stack([one["id"][a[good]], one["id"][b[good]]]))
-            for kind, found in ((0, pairs), (1, inside)):
-                if found:
-                    found = np.concatenate(found, axis=1)
-                    if not kind:
-                        found.sort(axis=0)
-                    a, b = np.unique(found, axis=1)
-                    yield _arrow({"kind": pa.int32(), "a": pa.int64(), "b": pa.int64()}, {"kind": np.full(len(a), kind), "a": a, "b": b})
+            let_go()
+            every, starts, ends = _gathered(batches, DIFFERENCE, "id", "token")
+            ids, rank = np.unique(every["id"], return_inverse=True)
+            sizes, wanted = ends - starts, ~np.logical_and.reduceat(every["inner"], starts)
+            minus, plus = every["minus"].astype(np.int64), every["plus"].astype(np.int64)
+
+            def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                listed = wanted & (sizes <= short)
+                for a, b in _places(starts[listed], sizes[listed]):
+                    shared = np.minimum(minus[a], minus[b]) + np.minimum(plus[a], plus[b])
+                    costs = PART * (minus[a] + minus[b]) + SHARE * (plus[a] + plus[b])
+                    good = ~(every["inner"][a] & every["inner"][b])
+                    good &= (PART + SHARE) * shared >= costs - (PART - SHARE) * every["whole"][a].astype(np.int64)
+                    yield rank[a[good]], rank[b[good]]  # lists are in order of ids
+
+            out = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64()}
+            for part in _distinct(0, ids, near()):
+                yield part.select(list(out))
+            long = np.flatnonzero(np.repeat(wanted & (sizes > short), sizes))
+            for at in range(0, len(long), PAIRS):
+                part = every[long[at : at + PAIRS]]
+                yield _arrow(out, {"kind": np.full(len(part), 1), "a": part["token"].astype(np.int64), "b": part["id"]})
+            del every, ids, rank, minus, plus
+            give_back()
 
         found = materialize(entries.groupBy("bucket").applyInArrow(pair, "kind int, a long, b long"))
         inside = found.filter("kind = 1").select(F.col("a").alias("family"), F.col("b").alias("id"))
@@ -514,7 +564,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 DIFFERENCE = np.dtype([
-    ("token", "u8"), ("id", "i8"), ("cost", "i8"), ("reach", "i8"), ("minus", "i8"), ("plus", "i8"), ("inner", "?"),
+    ("token", "u8"), ("id", "i8"), ("minus", "u4"), ("plus", "u4"), ("whole", "u4"), ("inner", "?"),
 ])
 
 
