@@ -73,6 +73,21 @@ def test_runs_are_shuffled_in_few_rows():
     assert {(r["part"], r["lang"], p, f) for r in packed for p, f in zip(r["phrases"].split("\n"), r["counts"], strict=True)} == set(rows)
 
 
+def test_parts_of_given_out_phrases_lie_together():
+    draw = random.Random(4)
+    text = " ".join(f"w{draw.randrange(3000)}" for _ in range(60_000))
+    batch = pa.record_batch([pa.array(["en"]), pa.array([text])], ["lang", "text"])
+    rows = [r for b in phrases._packed(phrases._counted((2,), None)(iter([batch]))) for r in b.to_pylist()]
+    pairs = Counter()
+    for r in rows:
+        for phrase, n in zip(r["phrases"].split("\n"), r["counts"], strict=True):
+            pairs[phrase] += n
+    words = text.split(" ")
+    assert pairs == Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
+    assert len(rows) < 1.05 * phrases.PARTS and len(pairs) > 50_000
+    assert all(0 <= r["part"] < phrases.PARTS for r in rows)
+
+
 @pytest.mark.parametrize("least", [2, 8])
 def test_frequencies(spark, least):
     rows = texts(least, 80)

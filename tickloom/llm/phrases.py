@@ -37,11 +37,11 @@ CHUNK = 4 << 20
 ENTRIES = 800_000
 BURST = 16_384
 WORDS = 1_000_000
-# Rows given out together, phrases in a row of them at most, shards of the phrases with one first word, and of single words.
+# Rows given out together, phrases in a row of them at most, shards of the phrases with one first word, and parts of all phrases.
 BATCH = 20_000
 PACKED = 4096
 SHARDS = 4
-WORD_PARTS = 4096
+PARTS = 4096
 
 # Lower case, tabs as spaces, one mark for all that ends a piece; it stands apart then and is a word of its own.
 _PLAIN = bytes.maketrans(
@@ -133,13 +133,18 @@ class HatTrie:
                 for rest, n in self.root.pop(first).items():
                     below.setdefault(rest[:4], {})[rest] = n
 
-    def spill(self, keep: int) -> Iterator[tuple[np.ndarray, list[int]]]:
-        """Take whole subtrees out, the largest first, until ``keep`` entries are left; each is a sorted run of sequences."""
+    def spill(self, keep: int, place: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """Take whole subtrees out until ``keep`` entries are left, the largest ones, in order of ``place`` of their first ids; each is a
+        sorted run of sequences."""
         size = {first: len(held) for first, held in self.root.items()}
         size |= {first: sum(map(len, below.values())) for first, below in self.burst.items()}
+        chosen, left = [], self.entries
         for first in sorted(size, key=lambda first: (-size[first], first)):
-            if self.entries <= keep:
-                return
+            if left <= keep:
+                break
+            chosen.append(first)
+            left -= size[first]
+        for first in sorted(chosen, key=lambda first: (place[first], first)):
             subtree = [self.root.pop(first)] if first in self.root else [held for _, held in sorted(self.burst.pop(first).items())]
             rests = [rest for held in subtree for rest in sorted(held)]
             counts = [held[rest] for held in subtree for rest in sorted(held)]
@@ -231,15 +236,16 @@ class Counter:
     def _runs(self, keep: int) -> Iterator[pa.RecordBatch]:
         words, keys = np.array(self.ids.words, object), np.array(self.ids.keys, np.uint64)
         if len(self.ones) and not keep:
-            shards = keys & np.uint64(WORD_PARTS - 1)
+            shards = keys & np.uint64(PARTS - 1)
             order = np.argsort(shards, kind="stable")
             for lo in range(0, len(order), BATCH):
                 part = order[lo : lo + BATCH]
                 yield self._batch(shards[part], words[part].tolist(), self.ones[part].tolist())
+        place = keys & np.uint64(PARTS - SHARDS)
         for trie in self.tries.values():
             parts, phrases, counts = [], [], []
-            for ids, numbers in trie.spill(keep):
-                parts.append((keys[ids[:, 0]] & ~np.uint64(SHARDS - 1)) | (keys[ids[:, 1]] & np.uint64(SHARDS - 1)))
+            for ids, numbers in trie.spill(keep, place):
+                parts.append(place[ids[:, 0]] | (keys[ids[:, 1]] & np.uint64(SHARDS - 1)))
                 phrases += [b" ".join(row) for row in words[ids].tolist()]
                 counts += numbers
                 if len(phrases) >= BATCH:
@@ -299,8 +305,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counts(texts: DataFrame, lengths: tuple[int, ...], seen: dict[int, bytes] | None) -> DataFrame:
     """``lang, phrase, f`` of all phrases of ``lengths`` that the bitmap lets pass.
 
-    Runs are merged by prefix: what begins with a word goes to ``SHARDS`` partitions by its second word, so that a frequent word is no
-    hot group and a subtree's phrases still lie together; these are shuffled as one row, which makes them small.
+    Runs are merged by prefix: what begins with a word goes to ``SHARDS`` of the ``PARTS`` parts by its second word, so that a frequent
+    word is no hot group and a subtree's phrases still lie together. Subtrees are given out in order of their parts, and the phrases of
+    a part are shuffled as one row, which makes them small.
     """
     context = texts.sparkSession.sparkContext
     shared = context.broadcast(seen) if seen is not None else None
