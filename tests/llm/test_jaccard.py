@@ -96,6 +96,52 @@ def test_pairs_of_lists_are_given_out_in_bounded_parts(monkeypatch):
     assert {(r["a"], r["b"]) for part in given for r in part} == want
 
 
+def test_similar_sets_are_found_in_few_buckets(spark):
+    draw = random.Random(8)
+    texts = []
+    for copies in (2, 2, 2, 2, 30):
+        base = [f"w{draw.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(base + [f"end{k}"]) for k in range(copies)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = jaccard.scan(jaccard.index(docs, np.zeros(0, np.uint64), 50)).groupBy("kind").count().collect()
+    found = {r["kind"]: r["count"] for r in rows}
+    assert found[0] <= 3 * 4 and found[1] <= 3 * 30  # a pair or member was given by each of 50 buckets before
+
+
+def test_large_groups_list_no_pairs(spark):
+    draw = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(w if draw.random() < 0.97 else f"x{draw.randrange(10**6)}" for w in base) for _ in range(60)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = jaccard.scan(jaccard.index(docs, np.zeros(0, np.uint64), 8)).filter("kind = 0").count()
+    assert scanned < 60 * 59 // 4  # nearly all pairs before
+    assert result(jaccard.groups(docs)) == brute(rows)
+    _, near = similar_sets(rows)
+    assert jaccard.pairs(docs).count() == len(near)
+
+
+def test_overlaps_and_forests(monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    draw = random.Random(1)
+    sets = [set(draw.sample(range(50), draw.randrange(0, 30))) for _ in range(25)]
+    shared = jaccard._overlaps([np.array(sorted(s), np.uint64) for s in sets])
+    assert all(shared[i, j] == len(s & t) for i, s in enumerate(sets) for j, t in enumerate(sets) if i < j)
+    assert (shared[np.triu_indices(25, 1)] == shared.T[np.triu_indices(25, 1)]).all()
+    good = np.array([[len(s & t) > 11 for t in sets] for s in sets])
+    a, b = jaccard._forest(good)
+    assert 0 < len(a) < 25 and good[a, b].all()
+
+    def reached(links):
+        of = list(range(25))
+        for x, y in links:
+            of = [of[x] if o == of[y] else o for o in of]
+        return {frozenset(i for i in range(25) if of[i] == o) for o in of}
+
+    assert reached(zip(a.tolist(), b.tolist())) == reached(zip(*map(list, np.nonzero(good))))
+    assert jaccard._overlaps([np.zeros(0, np.uint64)] * 2).tolist() == [[0, 0], [0, 0]]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.groups(docs).count() == 0

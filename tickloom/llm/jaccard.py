@@ -7,16 +7,16 @@ order of the pairs. A passage that many documents share hardly ever gives them a
 sets, where a half is little, are indexed by single tokens, a quarter of them.
 
 * **Short lists.** Entries lie in order of size; sizes too far apart are skipped as a block, and so are places too late in the order
-  for enough keys to follow. What is left are candidates, which are first bounded by small count sketches of the whole sets,
-  then verified on the texts.
-* **Long lists.** Their sets are mostly copies of one text with edits. Pairs are not listed. A reference set is made for them (tokens
-  that most of a few members have), and each member is kept as its difference from it, which gives its overlap with every other
-  member: what both differ by adds to it, the rest is known. Members close to the reference are linked through the closest one.
-  The others can only be similar to a member that shares some of their differences, so the differences are indexed in turn, by the
-  same two kinds of lists. A token of a difference is in at most about half of the members, so this ends soon.
+  for enough keys to follow. What is left are candidates, a few for each entry at most, which are first bounded by small count sketches
+  of the whole sets, then verified on the texts.
+* **Longer lists.** Their sets are mostly copies of one text with edits. Pairs are not listed. Lists that lie together are a family. A
+  reference set is made for it (tokens that most of a few members have), and each member is kept as its difference from it, which gives
+  its overlap with every other member: what both differ by adds to it, the rest is known. Members close to the reference are linked
+  through the closest one. The others are compared with all members, in blocks by their differences; a block gives out links, which
+  are no more than its members where groups are all that is asked for.
 
 For groups a link to the closest member is enough. Where all links are asked for, the members close to the reference are compared in
-blocks by their differences.
+blocks as well. Candidates of one family are not verified, as the family has compared them.
 
 All lists are exact: no list, group or candidate is cut off.
 """
@@ -38,12 +38,12 @@ from tickloom.session import materialize, small_side
 # Similar: PART * overlap >= SHARE * union.
 SHARE, PART = 75, 100
 WIDTH = 5
-# Lists up to this length are paired; longer ones go by differences from a reference set.
-SHORT = 64
+# Lists up to this length are paired, which makes a few pairs an entry; longer ones go by differences from a reference set.
+SHORT = 8
 # Sets up to this size are indexed by tokens, sets from SHARE / PART of it on by pairs of tokens, so those in between by both.
 SMALL = 32
-# Members of a block, about, when all links in a family are asked for.
-BLOCK = 256
+# Members of a block of a family, about, if they have no more than TOKENS differences; tokens of more members go by matrices.
+BLOCK, FEW = 256, 32
 # Members a reference set is made of.
 SAMPLE = 33
 # A token is taken as common if it is in more documents than this, and than this part of them. At most so many are sent to tasks.
@@ -54,8 +54,8 @@ BUCKET = 1 << 20
 # Pairs a task holds at a time, and bytes of text, about.
 PAIRS, PART_BYTES = 1 << 20, 4 << 20
 
-# A key of the index, the set, and its size and the key's place in single tokens, 0 in pairs.
-ENTRY = np.dtype([("token", "u8"), ("id", "i8"), ("size", "u4"), ("place", "u1")])
+# A key of the index, the set, its least key, and its size and the key's place in single tokens, 0 in pairs.
+ENTRY = np.dtype([("token", "u8"), ("id", "i8"), ("first", "u8"), ("size", "u4"), ("place", "u1")])
 
 
 def needed(a, b):
@@ -204,7 +204,9 @@ def index(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                     late.append((own, keys[is_common].tobytes()))
                 entries = np.empty(len(keys), ENTRY)
                 entries["token"], entries["id"], entries["size"], entries["place"] = keys, own, len(tokens), places
-                parts.append(entries[~is_common])
+                entries = entries[~is_common]
+                entries["first"] = entries["token"].min(initial=(1 << 64) - 1)
+                parts.append(entries)
                 held += len(keys)
                 if held > TOKENS:
                     yield flush()
@@ -271,7 +273,10 @@ def _short(entries: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def scan(entries: DataFrame, short: int = SHORT) -> DataFrame:
     """``kind, a, b``: candidates (kind 0), and members ``b`` of the long list led by ``a`` (kind 1); kind 2 passes sets with common
-    keys on: ``a`` and ``entries``."""
+    keys on: ``a`` and ``entries``.
+
+    Sets with the same least key are together in its list, so other lists leave them out: most similar sets are found in one bucket.
+    """
     fields = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "entries": pa.binary()}
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,23 +288,25 @@ def scan(entries: DataFrame, short: int = SHORT) -> DataFrame:
         let_go()
         every, starts, ends = _gathered(batches, ENTRY, "id", "size", "token")
         ids, rank = np.unique(every["id"], return_inverse=True)
-        sizes = ends - starts
+        sizes, first = ends - starts, every["first"]
+        long = sizes > short
+        long &= (np.minimum.reduceat(first, starts) != np.maximum.reduceat(first, starts)) | (every["token"][starts] == first[starts])
 
         def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             listed = sizes <= short
             for a, b in _places(starts[listed], sizes[listed]):
-                good = _short(every, a, b)
+                good = _short(every, a, b) & ((first[a] != first[b]) | (every["token"][a] == first[a]))
                 x, y = rank[a[good]], rank[b[good]]
                 yield np.minimum(x, y), np.maximum(x, y)
 
         def led() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for lo, hi in zip(starts[sizes > short].tolist(), ends[sizes > short].tolist()):
+            for lo, hi in zip(starts[long].tolist(), ends[long].tolist()):
                 leader = np.searchsorted(ids, _leader(every["id"][lo:hi]))
                 yield np.full(hi - lo, leader), rank[lo:hi]
 
         yield from _distinct(0, ids, near())
         yield from _distinct(1, ids, led())
-        del every, ids, rank
+        del every, ids, rank, first
         give_back()
 
     return entries.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, entries binary")
@@ -394,13 +401,12 @@ class Families:
         """``family, id, rep, whole`` (size of the reference), ``minus, plus`` (tokens missing and added)."""
         known = self.classes.select(F.col("d1").alias("id"), "rep")
         members = materialize(self.members.join(known, "id"))
-        texts = with_texts(members.select(F.col("rep").alias("doc_id")).distinct(), self.docs)
-        rows = members.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+        rows = self.docs.join(small_side(members)[0], F.col("doc_id") == F.col("rep"))
         place = F.pmod(F.xxhash64("family", "id"), F.lit(1 << 40))
         # About SAMPLE members of each family make its reference; which ones changes costs, not results.
         sizes = members.groupBy("family").agg(F.count("*").alias("_n"))
         drawn = members.join(sizes, "family").filter(drawn_of(place, F.col("_n"))).select("family", "rep", "id")
-        drawn = drawn.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+        drawn = self.docs.join(small_side(drawn)[0], F.col("doc_id") == F.col("rep"))
 
         def refer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = []
@@ -442,9 +448,8 @@ class Families:
             differ, "family long, id long, rep long, whole long, minus binary, plus binary"
         )
 
-    def solve(self, short: int = SHORT, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Links through the closest members, or with ``every`` all links between members close to the reference; candidates ``a, b``;
-        and members of the families inside, ``family, id``.
+    def solve(self, every: bool = False) -> DataFrame:
+        """Links ``a, b``, enough of them that what is similar within a family is connected; with ``every`` all links within families.
 
         With ``cost = PART * |minus| + SHARE * |plus|`` and ``reach = (PART - SHARE) * whole``, two members are similar when
         ``PART + SHARE`` times what their differences share is at least the sum of their costs less the reach.
@@ -453,81 +458,37 @@ class Families:
         minus, plus = F.octet_length("minus") / 8, F.octet_length("plus") / 8
         rows = rows.withColumn("cost", ((PART * minus) + SHARE * plus).cast("long")).withColumn("reach", F.col("whole") * (PART - SHARE))
         closest = rows.groupBy("family").agg(F.min("cost").alias("least"), F.min_by("rep", F.struct("cost", "id")).alias("hub"))
-        rows = rows.join(small_side(closest)[0], "family")
+        rows = rows.join(small_side(closest)[0], "family").withColumn("inner", F.expr("cost + least <= reach"))
         if every:
-            links = _inner_links(rows.filter("cost + least <= reach"))
-        else:
-            links = rows.filter("cost + least <= reach and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        buckets = max(1, rows.agg(F.sum(F.octet_length("minus") + F.octet_length("plus"))).first()[0] or 0) // (8 * BUCKET) + 1
-        fields = {"bucket": pa.int32(), "entries": pa.binary()}
-
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts, held = [], 0
-
-            def flush() -> pa.RecordBatch:
-                found = list(_packed(parts, buckets))
-                return _arrow(fields, {"bucket": [b for b, _ in found], "entries": [e for _, e in found]})
-
-            let_go()
-            for batch in shingles.in_parts(shingles.in_parts(batches, "minus", PART_BYTES), "plus", PART_BYTES):
-                for row in batch.to_pylist():
-                    tokens = np.frombuffer(row["minus"] + row["plus"], np.uint64)
-                    lack = row["cost"] + row["least"] - row["reach"]  # what sharing has to make up for, at least
-                    need = max(1, -(-lack // (PART + SHARE)))
-                    tokens = np.sort(shingles._mixed(tokens ^ np.uint64(row["family"] & (1 << 64) - 1)))[: max(0, len(tokens) - need + 1)]
-                    one = np.empty(len(tokens), DIFFERENCE)
-                    one["token"], one["id"], one["inner"] = tokens, row["id"], lack <= 0
-                    one["minus"], one["plus"], one["whole"] = len(row["minus"]) // 8, len(row["plus"]) // 8, row["whole"]
-                    parts.append(one)
-                    held += len(one)
-                    if held > TOKENS:
-                        yield flush()
-                        parts, held = [], 0
-            if parts:
-                yield flush()
-            give_back()
-
-        entries = rows.mapInArrow(spread, "bucket int, entries binary")
-
-        def pair(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            let_go()
-            every, starts, ends = _gathered(batches, DIFFERENCE, "id", "token")
-            ids, rank = np.unique(every["id"], return_inverse=True)
-            sizes, wanted = ends - starts, ~np.logical_and.reduceat(every["inner"], starts)
-            minus, plus = every["minus"].astype(np.int64), every["plus"].astype(np.int64)
-
-            def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                listed = wanted & (sizes <= short)
-                for a, b in _places(starts[listed], sizes[listed]):
-                    shared = np.minimum(minus[a], minus[b]) + np.minimum(plus[a], plus[b])
-                    costs = PART * (minus[a] + minus[b]) + SHARE * (plus[a] + plus[b])
-                    good = ~(every["inner"][a] & every["inner"][b])
-                    good &= (PART + SHARE) * shared >= costs - (PART - SHARE) * every["whole"][a].astype(np.int64)
-                    yield rank[a[good]], rank[b[good]]  # lists are in order of ids
-
-            out = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64()}
-            for part in _distinct(0, ids, near()):
-                yield part.select(list(out))
-            long = np.flatnonzero(np.repeat(wanted & (sizes > short), sizes))
-            for at in range(0, len(long), PAIRS):
-                part = every[long[at : at + PAIRS]]
-                yield _arrow(out, {"kind": np.full(len(part), 1), "a": part["token"].astype(np.int64), "b": part["id"]})
-            del every, ids, rank, minus, plus
-            give_back()
+            return _block_links(rows.withColumn("inner", F.lit(False)), every)
+        close = rows.filter("inner and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        return close.unionAll(_block_links(rows, every))
 
-        found = materialize(entries.groupBy("bucket").applyInArrow(pair, "kind int, a long, b long"))
-        inside = found.filter("kind = 1").select(F.col("a").alias("family"), F.col("b").alias("id"))
-        return links, found.filter("kind = 0").select("a", "b"), inside
 
+def _block_links(rows: DataFrame, every: bool) -> DataFrame:
+    """``a, b``: links between members of families that are not both ``inner``, by blocks of members; each pair of blocks is a task's group.
 
-def _inner_links(inner: DataFrame) -> DataFrame:
-    """``a, b``: all links between the given members of families, by blocks of members; each pair of blocks is a task's group."""
-    sizes, _ = small_side(inner.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    rows = inner.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    Without ``every``, a pair of blocks gives no more links than connect what is connected in it.
+    """
+    tokens = (F.octet_length("minus") + F.octet_length("plus")) / 8
+
+    def blocks(part: Column) -> Column:
+        return F.ceil(F.greatest(F.count_if(part) / BLOCK, F.coalesce(F.sum(F.when(part, tokens)), F.lit(0.0)) / TOKENS)).cast("int")
+
+    sizes = rows.groupBy("family").agg(
+        blocks(F.lit(True)).alias("all"), blocks(~F.col("inner")).alias("outs"), blocks(F.col("inner")).alias("ins"),
+    )
+    one = F.col("all") <= 1
+    sizes = sizes.filter("outs > 0").select("family", F.when(one, 0).otherwise(F.col("ins")).alias("ins"), "outs")
+    rows = rows.join(small_side(sizes)[0], "family")
+    apart, place = F.col("inner") & (F.col("ins") > 0), F.xxhash64("id")
+    own = F.when(apart, F.col("outs") + F.pmod(place, F.greatest("ins", F.lit(1)))).otherwise(F.pmod(place, F.col("outs"))).cast("int")
+    last = F.col("outs") - 1 + F.when(apart, 0).otherwise(F.col("ins"))
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "cost", "reach", "minus", "plus")
 
     def check(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         reps, costs, blocks, sets, reach = [], [], [], [], 0
         for batch in batches:
             for row in batch.to_pylist():
@@ -538,39 +499,57 @@ def _inner_links(inner: DataFrame) -> DataFrame:
                 reach = row["reach"]
         shared = _overlaps(sets)
         reps, costs, blocks = np.array(reps, np.int64), np.array(costs, np.int64), np.array(blocks)
-        a, b = np.triu_indices(len(reps), 1)
-        good = (PART + SHARE) * shared[a, b] >= costs[a] + costs[b] - reach
-        good &= (blocks[a] != blocks[b]) | (key[1].as_py() == key[2].as_py())
-        yield _arrow({"a": pa.int64(), "b": pa.int64()}, {"a": reps[a[good]], "b": reps[b[good]]})
+        good = (PART + SHARE) * shared >= costs[:, None] + costs - reach
+        good &= (blocks[:, None] != blocks) | (key[1].as_py() == key[2].as_py())
+        a, b = np.nonzero(np.triu(good, 1)) if every else _forest(good)
+        del sets, shared, good
+        yield _arrow({"a": pa.int64(), "b": pa.int64()}, {"a": reps[a], "b": reps[b]})
+        give_back()
 
     return rows.groupBy("family", "lo", "hi").applyInArrow(check, "a long, b long")
 
 
+def _forest(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a symmetric matrix of links, some that connect what all connect, fewer than it has rows."""
+    above, new = np.full(len(good), -1), np.ones(len(good), bool)
+    for start in range(len(good)):
+        if not new[start]:
+            continue
+        new[start], waiting = False, [start]
+        while waiting:
+            at = waiting.pop()
+            found = np.flatnonzero(good[at] & new)
+            above[found], new[found] = at, False
+            waiting += found.tolist()
+    below = np.flatnonzero(above >= 0)
+    return above[below], below
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many tokens each two of the sets share; tokens of one set only are not looked at, others some thousand at a time."""
-    tokens, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[places]
+    """How many tokens each two of the sets share. Pairs are counted for tokens of FEW sets; others go by matrices of some thousand tokens."""
+    tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    owner, place = owner[place >= 0], place[place >= 0]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    shared, width = np.zeros((len(sets), len(sets)), np.int64), 4096
-    for at in range(0, int(place[-1]) + 1 if len(place) else 0, width):
-        lo, hi = np.searchsorted(place, [at, at + width])
-        has = np.zeros((len(sets), width), np.float32)
-        has[owner[lo:hi], place[lo:hi] - at] = 1
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner, n = tokens[order], owner[order], len(sets)
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])[: len(tokens)])
+    sizes = np.diff(np.append(starts, len(tokens)))
+    shared, few, width = np.zeros(n * n, np.int64), sizes <= FEW, 4096
+    for a, b in _places(starts[few], sizes[few]):
+        shared += np.bincount(owner[a] * n + owner[b], minlength=n * n)
+    shared = shared.reshape(n, n)
+    shared += shared.T
+    starts, sizes = starts[~few], sizes[~few]
+    for at in range(0, len(starts), width):
+        part = sizes[at : at + width]
+        listed = np.concatenate([owner[a : a + m] for a, m in zip(starts[at : at + width].tolist(), part.tolist())])
+        has = np.zeros((n, len(part)), np.float32)
+        has[listed, np.repeat(np.arange(len(part)), part)] = 1
         shared += (has @ has.T).astype(np.int64)
     return shared
 
 
-DIFFERENCE = np.dtype([
-    ("token", "u8"), ("id", "i8"), ("minus", "u4"), ("plus", "u4"), ("whole", "u4"), ("inner", "?"),
-])
-
-
 def links_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, short: int = SHORT, every: bool = False) -> DataFrame:
     """``a, b``: links between the first documents of classes, enough of them that groups are whole; with ``every`` all links."""
-    spark = docs.sparkSession
     own = sets.filter("sketch is not null and n > 0")
     total = own.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     often = sets.filter("sketch is null").groupBy("d1").agg(F.sum("n").alias("n"))
@@ -580,14 +559,16 @@ def links_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, short: int =
     late = common_members(scanned.filter("kind = 2").select(F.col("a").alias("id"), "entries"))
     pairs = scanned.filter("kind = 0").select("a", "b")
     inside = scanned.filter("kind = 1").select("kind", "a", "b").unionAll(late).select(F.col("a").alias("family"), F.col("b").alias("id"))
-    links = spark.createDataFrame([], "a long, b long")
-    while True:
-        families = materialize(_merged(inside.distinct()).distinct())
-        if families.isEmpty():
-            break
-        close, candidates, inside = Families(families, classes, docs).solve(short, every)
-        links, pairs = links.unionAll(close), pairs.unionAll(candidates)
-    return links.unionAll(verified(pairs.distinct(), classes, docs))
+    families = materialize(_merged(inside.distinct()).distinct())
+    links = Families(families, classes, docs).solve(every)
+    return links.unionAll(verified(_outside(pairs.distinct(), families), classes, docs))
+
+
+def _outside(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that no family has both of."""
+    rows = pairs.join(members.select(F.col("id").alias("a"), F.col("family").alias("of")), "a")
+    both = rows.join(members.select(F.col("id").alias("b"), F.col("family").alias("of")), ["b", "of"]).select("a", "b").distinct()
+    return pairs.join(both, ["a", "b"], "left_anti")
 
 
 def _merged(members: DataFrame) -> DataFrame:
