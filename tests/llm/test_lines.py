@@ -25,6 +25,14 @@ def test_tasks_drop_models_of_earlier_stages_and_take_texts_in_parts(monkeypatch
     assert sum(parts, []) == texts and all(len(p) == 1 or sum(len(t or "") for t in p) <= 20 for p in parts)
 
 
+def test_lines_are_taken_out_once_if_counts_are_filtered(spark):
+    docs = spark.createDataFrame([(i, f"line {i % 3}\nown line {i}") for i in range(9)], "doc_id long, text string")
+    rows = lines.dedup(docs).filter("n_kept > 0 or n_lines = 0").select("doc_id", "text")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_keep(") == 1, plan
+    assert rows.count() == 9
+
+
 def apart(a, b):
     """Whether two word lists are at most one edit apart, by the table of distances."""
     row = list(range(len(b) + 1))

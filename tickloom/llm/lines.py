@@ -211,7 +211,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     gone = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_gone"))
     gone, _ = small_side(gone)
     joined = docs.join(gone, F.col(key).cast("long") == F.col("_doc"), "left")
-    keep = F.arrow_udf("text string, n_lines int, n_kept int")(_keep)
+    # Else a filter on the counts would take the lines out twice, in two workers of a task.
+    keep = F.arrow_udf("text string, n_lines int, n_kept int")(_keep).asNondeterministic()
     kept = joined.withColumn("_kept", keep(F.col(text).cast("string"), F.col("_gone")))
     fields = {text: F.col("_kept.text"), "n_lines": F.col("_kept.n_lines"), "n_kept": F.col("_kept.n_kept")}
     return kept.withColumns(fields).drop("_doc", "_gone", "_kept")
