@@ -19,6 +19,17 @@ PARTS = [
 ]
 
 
+def test_memory_of_units_is_bounded(library):
+    encoder, draw = Encoder(read_model(open(PATH, "rb").read())), random.Random(6)
+    for _ in range(260):
+        words = [f"{draw.randrange(10**9)}" for _ in range(1000)]
+        encoder.encode(" ".join(words))
+        assert len(encoder) <= 201_100  # as many units of 500 000 had been kept
+    text = " ".join(words[:50])
+    ids = library.encode(text, add_bos=True, add_eos=True)
+    assert encoder.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=PATH)

@@ -21,7 +21,7 @@ BPE = 2
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 
 # Units whose ids one worker remembers; above this the memory starts afresh.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 200_000
 # Longer units are not remembered.
 CACHE_CHARS = 64
 
