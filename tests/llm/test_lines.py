@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from oracle import compare, database
 
@@ -33,6 +34,36 @@ def test_lines_are_taken_out_once_if_counts_are_filtered(spark):
     assert rows.count() == 9
 
 
+def test_texts_and_lines_are_hashed_together(monkeypatch):
+    draw, calls, words = random.Random(9), [], shingles.words
+    monkeypatch.setattr(shingles, "words", lambda *a, **k: calls.append(a) or words(*a, **k))
+    texts = [b"", b" ", b"\n", b"\n\na b\n", b"x" * 70_000 + b" y"] + [
+        "".join(draw.choice(["a", "b", " ", "\t", "\n", "é", "\u2003"]) for _ in range(draw.randrange(60))).encode() for _ in range(200)
+    ]
+    place, *found = lines.keys_of_all(texts)
+    assert len(calls) == 1
+    for k, text in enumerate(texts):
+        assert all(np.array_equal(a[place == k], b) for a, b in zip(found, lines.keys_of(text)))
+    assert [len(run) for run in lines._joined([b"a" * lines.JOINED, b"b", b"", b"c" * lines.JOINED])] == [1, 2, 1]
+
+    every = [line for text in texts for line in text.split(b"\n")]
+    own = [shingles._mixed(lines._sums(words(line, fold=False)[0])[-1:]).astype(np.int64)[0] for line in every]
+    own[-1] += 1  # a line that is not the one its hash is of
+    ids = pa.array(range(len(every)))
+    batch = pa.record_batch([pa.array(own), ids, ids.cast(pa.int32())], ["h", "doc", "line"])
+    calls.clear()
+    rows = [row for part in lines._rows(batch, every) for row in part.to_pylist()]
+    assert len(calls) == 1
+    want = []
+    for i, line in enumerate(every[:-1]):
+        parts = line.split()
+        for at in range(-1, len(parts)):
+            kept = b" ".join(parts[:at] + parts[at + 1 :] if at >= 0 else parts)
+            key = int(shingles._mixed(lines._sums(words(kept, fold=False)[0])[-1:]).astype(np.int64)[0])
+            want.append({"h": own[i], "doc": i, "line": i, "key": key, "place": at})
+    assert rows == want
+
+
 def apart(a, b):
     """Whether two word lists are at most one edit apart, by the table of distances."""
     row = list(range(len(b) + 1))

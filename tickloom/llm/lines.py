@@ -11,10 +11,11 @@ neighbour without listing pairs. It is then verified by the edit distance of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,10 @@ from tickloom.session import materialize, small_side
 MIN_WORDS = 8
 # Bytes of text a worker takes lines from or out of at a time.
 PART = 4 << 20
+# Bytes of texts or lines that are hashed together.
+JOINED = 1 << 18
+# Rows given out together.
+ROWS = 1 << 16
 
 _STEP = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -36,14 +41,9 @@ def _sums(words: np.ndarray) -> np.ndarray:
     powers = np.full(len(words), _STEP, np.uint64)
     if len(words):
         powers[0] = 1
-    terms = words * np.multiply.accumulate(powers)
-    return np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(terms)])
-
-
-def _variants(sums: np.ndarray) -> np.ndarray:
-    """Hashes of the line, and of it without each of its words."""
-    without = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(_BACK)
-    return shingles._mixed(np.concatenate([sums[-1:], without])).astype(np.int64)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.add.accumulate(words * np.multiply.accumulate(powers), out=sums[1:])
+    return sums
 
 
 _BACKS = np.ones(1, np.uint64)
@@ -65,9 +65,9 @@ def keys_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     The keys are of the first and last half of the line as the shorter or equal one of a pair, and as the longer one.
     """
     words, starts = shingles.words(text, fold=False)
-    number = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts)
-    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])[: len(number)])
-    last = np.concatenate([first[1:], [len(number)]])[: len(first)]
+    edges = _edges(text, starts)
+    number = np.flatnonzero(edges[1:] > edges[:-1])
+    first, last = edges[number], edges[number + 1]
     sums, backs = _sums(words), _backs(len(words) + 1)
 
     def stretch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,7 +78,34 @@ def keys_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         mark = m.astype(np.uint64) * np.uint64(4)
         halves += [stretch(first, first + m // 2) + mark, stretch(last - (m - m // 2), last) + mark + np.uint64(1)]
     keys = shingles._mixed(np.stack(halves, axis=1)).astype(np.int64)
-    return number[first], shingles._mixed(stretch(first, last)).astype(np.int64), n, keys
+    return number, shingles._mixed(stretch(first, last)).astype(np.int64), n, keys
+
+
+def _edges(text: bytes, starts: np.ndarray) -> np.ndarray:
+    """How many words begin before each line of a text, and before its end."""
+    ends = np.searchsorted(starts, np.flatnonzero(np.frombuffer(text, np.uint8) == 10))
+    return np.concatenate([[0], ends, [len(starts)]]).astype(np.int64)
+
+
+def _joined(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """The texts in runs of about ``JOINED`` bytes, or of one longer text."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > JOINED:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text) + 1
+    if run:
+        yield run
+
+
+def keys_of_all(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`keys_of` of several texts, after the places of the lines' texts in the list."""
+    before = np.cumsum([0] + [text.count(10) + 1 for text in texts])
+    number, h, n, keys = keys_of(b"\n".join(texts))
+    place = np.searchsorted(before, number, "right") - 1
+    return place, number - before[place], h, n, keys
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -87,13 +114,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in shingles.in_parts(batches, "text", PART):
-            found = [keys_of(text) for text in shingles.texts(batch.column("text"))]
-            number, h, n, keys = (np.concatenate(part) for part in zip(*found))
-            docs = np.repeat(batch.column("doc").to_numpy(), [len(one[0]) for one in found])
-            long = n >= MIN_WORDS
-            offsets = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
-            halves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[long].ravel()))
-            yield pa.record_batch([pa.array(docs), pa.array(number.astype(np.int32)), pa.array(h), halves], ["doc", "line", "h", "halves"])
+            ids, at = batch.column("doc").to_numpy(), 0
+            for run in _joined(shingles.texts(batch.column("text"))):
+                place, number, h, n, keys = keys_of_all(run)
+                docs = ids[at + place]
+                at += len(run)
+                long = n >= MIN_WORDS
+                offsets = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
+                halves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[long].ravel()))
+                columns = [pa.array(docs), pa.array(number.astype(np.int32)), pa.array(h), halves]
+                yield pa.record_batch(columns, ["doc", "line", "h", "halves"])
         give_back()
 
     return docs.mapInArrow(run, "doc long, line int, h long, halves array<long>")
@@ -106,14 +136,20 @@ def _cut(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in shingles.in_parts(batches, "text", PART):
-            out = {name: [] for name in fields}
-            for doc, text, wanted in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
-                parts = (text.as_py() or "").split("\n")
-                for one in wanted:
-                    if one["line"] < len(parts):
-                        for name, value in zip(fields, (one["h"], doc, one["line"], parts[one["line"]])):
-                            out[name].append(value)
-            yield pa.record_batch([pa.array(out[n], kind) for n, kind in fields.items()], list(fields))
+            wanted = batch.column("wanted")
+            h, line = (wanted.flatten().field(name).to_numpy(zero_copy_only=False) for name in ("h", "line"))
+            ends = np.cumsum(pc.list_value_length(wanted).fill_null(0).to_numpy(zero_copy_only=False))
+            there, words, at = np.zeros(len(line), bool), [], 0
+            for text, end in zip(shingles.texts(batch.column("text")), ends.tolist()):
+                parts = text.split(b"\n")
+                for i, number in enumerate(line[at:end].tolist(), at):
+                    if number < len(parts):
+                        there[i] = True
+                        words.append(parts[number])
+                at = end
+            docs = np.repeat(batch.column("doc").to_numpy(), np.diff(ends, prepend=0))
+            out = (h[there], docs[there], line[there], pa.array(words, pa.binary()).cast(pa.string()))
+            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(out, fields.values())], list(fields))
         give_back()
 
     return rows.mapInArrow(run, "h long, doc long, line int, words string")
@@ -121,32 +157,40 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 def _neighbourhoods(lines: DataFrame) -> DataFrame:
     """``h, doc, line, key, place`` of each line: itself at place -1, and without each of its words."""
-    fields = {"h": pa.int64(), "doc": pa.int64(), "line": pa.int32(), "key": pa.int64(), "place": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
-            parts, held = [], 0
-            for i, line in enumerate(shingles.texts(batch.column("words"))):
-                keys = _variants(_sums(shingles.word_hashes(line, fold=False)))
-                if keys[0] == batch.column("h")[i].as_py():  # else another row of a repeated id
-                    parts.append((i, keys))
-                    held += len(keys)
-                if held > 1 << 18:
-                    yield _rows(fields, batch, parts)
-                    parts, held = [], 0
-            yield _rows(fields, batch, parts)
+            at = 0
+            for run in _joined(shingles.texts(batch.column("words"))):
+                yield from _rows(batch.slice(at, len(run)), run)
+                at += len(run)
         give_back()
 
     return lines.mapInArrow(run, "h long, doc long, line int, key long, place int")
 
 
-def _rows(fields, batch: pa.RecordBatch, parts: list) -> pa.RecordBatch:
-    rows = np.repeat(np.array([i for i, _ in parts], np.int64), [len(k) for _, k in parts])
-    taken = [batch.column(name).take(pa.array(rows)) for name in ("h", "doc", "line")]
-    keys = np.concatenate([k for _, k in parts] or [np.zeros(0, np.int64)])
-    places = np.concatenate([np.arange(-1, len(k) - 1, dtype=np.int32) for _, k in parts] or [np.zeros(0, np.int32)])
-    return pa.record_batch([*taken, pa.array(keys), pa.array(places)], list(fields))
+def _rows(batch: pa.RecordBatch, lines: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`_neighbourhoods` of the lines of a batch; none of those that are not the line their hash is of."""
+    text = b"\n".join(lines)
+    words, starts = shingles.words(text, fold=False)
+    edges = _edges(text, starts)
+    first, last = edges[:-1], edges[1:]
+    sums, backs = _sums(words), _backs(len(words) + 1)
+    whole = shingles._mixed((sums[last] - sums[first]) * backs[first]).astype(np.int64)
+    same = np.flatnonzero(whole == batch.column("h").to_numpy())  # else another row of a repeated id
+    n = (last - first)[same]
+    which = np.repeat(same, n + 1)
+    places = np.arange(len(which)) - np.repeat(np.cumsum(n + 1) - n, n + 1)
+    a, b = first[which], last[which]
+    gap = a + np.maximum(places, 0)  # at place -1 no word is left out
+    without = sums[gap] - sums[a] + (sums[b] - sums[np.minimum(gap + 1, b)]) * np.uint64(_BACK)
+    keys = np.where(places < 0, whole[which], shingles._mixed(without * backs[a]).astype(np.int64))
+    for at in range(0, len(which), ROWS):
+        part = which[at : at + ROWS]
+        taken = [batch.column(name).take(pa.array(part)) for name in ("h", "doc", "line")]
+        columns = [*taken, pa.array(keys[at : at + ROWS]), pa.array(places[at : at + ROWS].astype(np.int32))]
+        yield pa.record_batch(columns, ["h", "doc", "line", "key", "place"])
 
 
 def within_one(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -228,15 +272,16 @@ def _keep(texts: pa.Array, gone: pa.Array) -> pa.Array:
 
 def _kept(texts: pa.Array, gone: pa.Array) -> pa.Array:
     out, counts, left = [], [], []
-    for text, lines in zip(texts, gone):
+    for text, lines in zip(texts.cast(pa.large_binary()), gone):
         text, lines = text.as_py(), set(lines.as_py() or ())
-        parts = text.split("\n") if text is not None else []
-        filled = sum(1 for part in parts if part.encode().split())
-        out.append(text if not lines else "\n".join(p for i, p in enumerate(parts) if i not in lines))
+        parts = text.split(b"\n") if text is not None else []
+        filled = sum(1 for part in parts if part and not part.isspace())  # bytes are blank by just the six separators
+        out.append(text if not lines else b"\n".join(p for i, p in enumerate(parts) if i not in lines))
         counts.append(filled)
         left.append(filled - len(lines))
     return pa.StructArray.from_arrays(
-        [pa.array(out, pa.string()), pa.array(counts, pa.int32()), pa.array(left, pa.int32())], ["text", "n_lines", "n_kept"]
+        [pa.array(out, pa.binary()).cast(pa.string()), pa.array(counts, pa.int32()), pa.array(left, pa.int32())],
+        ["text", "n_lines", "n_kept"],
     )
 
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 # Bytes hashed at a time.
-PART = 1 << 20
+PART = 1 << 16
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
@@ -27,17 +27,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1 << 10, dtype=np.uint64)
-_POWERS[1:] = _BASE
-_POWERS = np.multiply.accumulate(_POWERS)
+_BASE = 0x9E3779B97F4A7C15
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    while len(_POWERS) < n:
-        _POWERS = np.concatenate([_POWERS, _POWERS * (_POWERS[-1] * _BASE)])
-    return _POWERS
+def _powers(base: int, n: int) -> np.ndarray:
+    powers = np.full(n, base, np.uint64)
+    powers[0] = 1
+    return np.multiply.accumulate(powers)
+
+
+# Powers of the base for each place, and of its inverse, for parts and some more; longer ones are made when needed.
+_POWERS = _powers(_BASE, PART + 1024)
+_BACKS = _powers(pow(_BASE, -1, 1 << 64), PART + 1024)
+# What a byte adds to a word's sum; separators add nothing.
+_VALUES = np.where(_IS_SPACE, 0, np.arange(1, 257)).astype(np.uint64)
+_FOLDED = np.where(_IS_SPACE, 0, _FOLD.astype(np.int64) + 1).astype(np.uint64)
 
 
 def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
@@ -62,20 +66,18 @@ def words(text: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashed(raw: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     space = _IS_SPACE[raw]
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    edges = np.concatenate([[0], edges, [len(raw)]])
-    if space[0]:
-        edges = edges[1:]
-    starts, ends = edges[0:-1:2], edges[1::2]
+    begins = space[:-1] > space[1:]
+    starts = np.flatnonzero(begins) + 1
+    if not space[0]:
+        starts = np.concatenate([[0], starts])
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    lengths = ends - starts
-    keep = np.flatnonzero(~space)
-    offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(len(keep)) - np.repeat(offsets, lengths)
-    values = (_FOLD[raw[keep]] if fold else raw[keep]).astype(np.uint64) + np.uint64(1)
-    values *= _powers(int(lengths.max()))[place]
-    return _mixed(np.add.reduceat(values, offsets)), starts
+    powers, backs = _POWERS, _BACKS
+    if len(raw) > len(powers):
+        powers, backs = _powers(_BASE, len(raw)), _powers(pow(_BASE, -1, 1 << 64), len(raw))
+    values = (_FOLDED if fold else _VALUES)[raw]
+    values *= powers[: len(raw)]
+    return _mixed(np.add.reduceat(values, starts) * backs[starts]), starts
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:
