@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from tickloom.llm import pieces
+from tickloom.llm import piecemodel, pieces
 from tickloom.llm.piecemodel import Decoder, Encoder, read_model
 from tickloom.llm.queries import PIECES, op7_pieces
 
@@ -30,6 +30,18 @@ def test_memory_of_units_is_bounded(library):
     assert encoder.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_units_met_again_stay_remembered(monkeypatch):
+    monkeypatch.setattr(piecemodel, "CACHE_UNITS", 200)
+    encoder, draw, asked = Encoder(read_model(open(PATH, "rb").read())), random.Random(7), []
+    split = encoder.split
+    monkeypatch.setattr(encoder, "split", lambda text: asked.append(text.strip(" ▁")) or split(text))
+    common = ["some", "common", "words"]
+    for _ in range(200):
+        encoder.encode(" ".join([*common, *(chr(97 + draw.randrange(26)) * draw.randint(9, 60) for _ in range(30))]))
+    assert len(encoder) + len(encoder.older) < 300
+    assert [asked.count(word) for word in common] == [1, 1, 1]  # all units were forgotten at once
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=PATH)

@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import ahocorasick
 import regex
 
 SPACE = "▁"
@@ -20,8 +19,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 
-# Units whose ids one worker remembers; above this the memory starts afresh.
-CACHE_UNITS = 200_000
+# Units whose ids one worker remembers: at half of this they become the older ones, and older ones not met again since go.
+CACHE_UNITS = 300_000
+# Pairs of pieces whose fit one worker remembers; above this the memory starts afresh.
+CACHE_PAIRS = 200_000
 # Longer units are not remembered.
 CACHE_CHARS = 64
 
@@ -86,99 +87,115 @@ def read_model(data: bytes) -> PieceModel:
 
 
 class Encoder(dict):
-    """Ids of a text. As a dictionary it maps units to their ids (little-endian unsigned 32-bit), encoding unseen ones."""
+    """Ids of a text. As a dictionary it maps units to their ids (little-endian unsigned 32-bit), encoding unseen ones.
+
+    Pieces are held with plain spaces, so that most texts stay strings of one byte a letter: smaller, and faster to cut and look up.
+    """
 
     # No piece goes on after a word with a space, nor from a letter to something else: texts are cut there, exactly.
-    UNITS = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+")
+    UNITS = regex.compile(r" *\p{L}+| *[^\p{L} ]+| +")
 
     def __init__(self, model: PieceModel):
         super().__init__()
         self.model = model
-        self.ids = {p: i for i, p in enumerate(model.pieces) if model.kinds[i] == NORMAL}
-        self.bytes = {int(p[3:5], 16): i for i, p in enumerate(model.pieces) if model.kinds[i] == BYTE}
+        # Pieces with spaces of their own are never met: spaces of a text stand for the other kind.
+        used = {p.replace(SPACE, " "): i for i, p in enumerate(model.pieces) if model.kinds[i] == NORMAL and " " not in p}
+        self.ids = {p: struct.pack("<I", i) for p, i in used.items()}
+        self.bytes = {int(p[3:5], 16): struct.pack("<I", i) for i, p in enumerate(model.pieces) if model.kinds[i] == BYTE}
+        self.known = {p for p in self.ids if len(p) == 1}
         for p in self.ids:
             if len(self.UNITS.findall(p)) != 1:
                 raise ValueError(f"piece {p!r} lies across a place where texts are cut")
-        by_score = sorted({model.scores[i] for i in self.ids.values()}, reverse=True)
-        place = {score: rank for rank, score in enumerate(by_score)}
-        self.ranks = {p: place[model.scores[i]] for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        scores = {p: model.scores[i] for p, i in used.items()}
+        place = {score: rank for rank, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.ranks = {p: place[score] for p, score in scores.items()}
+        # The length of the longest piece that begins with the two characters.
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
         # The longest piece that is a proper prefix of a piece, "" for single characters.
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), "") for p in self.ids}
-        self.matcher = ahocorasick.Automaton()
-        for p in self.ids:
-            self.matcher.add_word(p, p)
-        self.matcher.make_automaton()
         self.fits: dict[str, dict[str, bool]] = {}
+        self.judged = 0  # pairs in it
+        self.older: dict[str, bytes] = {}
         self.ends = struct.pack("<I", model.bos), struct.pack("<I", model.eos)
 
     def encode(self, text: str | None) -> bytes:
         """All ids with begin and end; None is taken as empty."""
         if not text:
             return self.ends[0] + self.ends[1]
-        if len(self) > CACHE_UNITS:
+        if len(self) > CACHE_UNITS // 2:
+            self.older = dict(self)
             self.clear()
-        if len(self.fits) * 64 > CACHE_UNITS and sum(map(len, self.fits.values())) > CACHE_UNITS:
+        if self.judged > CACHE_PAIRS:
             self.fits.clear()
-        units = self.UNITS.findall(SPACE + text.replace(" ", SPACE))
+            self.judged = 0
+        units = self.UNITS.findall(" " + text.replace(SPACE, " "))
         return b"".join((self.ends[0], *map(self.__getitem__, units), self.ends[1]))
 
     def __missing__(self, unit: str) -> bytes:
-        out: list[int] = []
+        packed = self.older.get(unit)
+        if packed is None:
+            if self.known.issuperset(unit):
+                packed = b"".join(map(self.ids.__getitem__, self.split(unit)))
+            else:
+                packed = self._with_bytes(unit)
+            if len(unit) > CACHE_CHARS:
+                return packed
+        self[unit] = packed
+        return packed
+
+    def _with_bytes(self, unit: str) -> bytes:
+        """Ids of a unit with unknown characters, which become ids of their bytes."""
+        out: list[bytes] = []
         ids, start = self.ids, 0
         for at, char in enumerate(unit):
             if char not in ids:
                 out += [ids[p] for p in self.split(unit[start:at])]
                 out += [self.bytes[b] for b in char.encode()]
                 start = at + 1
-        out += [ids[p] for p in self.split(unit[start:] if start else unit)]
-        packed = struct.pack(f"<{len(out)}I", *out)
-        if len(unit) <= CACHE_CHARS:
-            self[unit] = packed
-        return packed
+        out += [ids[p] for p in self.split(unit[start:])]
+        return b"".join(out)
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text of known characters.
 
-        The leftmost longest pieces are right if each stays apart from the next when the two are merged anew, as they mostly
-        do. From the first pair that does not, pieces are tried longest first, and places that led nowhere are marked.
+        At each place the longest piece is tried first; it may follow the piece before if merging the two anew gives the two again.
+        Places that led nowhere are marked.
         """
+        ids, reach, shorter, fits, size = self.ids, self.reach, self.shorter, self.fits, len(text)
         taken: list[str] = []
-        before, at, fits = "", 0, self._fits
-        for _, piece in self.matcher.iter_long(text):
-            if not fits(before, piece):
-                return self._backtrack(text, taken, at, self.shorter[piece])
+        before, at, dead, row = "", 0, 0, fits.get("") or {}
+        while at < size:
+            piece = text[at : at + reach.get(text[at : at + 2], 1)]
+            while piece not in ids:
+                piece = piece[:-1]
+            while True:
+                while piece:
+                    if not dead >> (at + len(piece)) & 1:
+                        known = row.get(piece)
+                        if known is None:
+                            known = self._fits(before, piece)
+                            row = fits[before]
+                        if known:
+                            break
+                    piece = shorter[piece]
+                if piece:
+                    break
+                dead |= 1 << at
+                if not taken:
+                    raise ValueError(f"no encoding of {text[:40]!r}")
+                last = taken.pop()
+                at -= len(last)
+                piece = shorter[last]
+                before = taken[-1] if taken else ""
+                row = fits.get(before) or {}
             taken.append(piece)
             at += len(piece)
             before = piece
+            row = fits.get(before) or {}
         return taken
 
-    def _backtrack(self, text: str, taken: list[str], at: int, piece: str) -> list[str]:
-        ids, shorter, fits, size = self.ids, self.shorter, self._fits, len(text)
-        before = taken[-1] if taken else ""
-        dead = 0
-        while True:
-            while piece and (dead >> (at + len(piece)) & 1 or not fits(before, piece)):
-                piece = shorter[piece]
-            if piece:
-                taken.append(piece)
-                before = piece
-                at += len(piece)
-                if at == size:
-                    return taken
-                end = at + self.longest
-                piece = text[at:end]
-                while piece not in ids:
-                    piece = piece[:-1]
-                continue
-            dead |= 1 << at
-            if not taken:
-                raise ValueError(f"no encoding of {text[:40]!r}")
-            last = taken.pop()
-            at -= len(last)
-            piece = shorter[last]
-            before = taken[-1] if taken else ""
-
     def _fits(self, before: str, piece: str) -> bool:
         """Whether merging the two from characters gives the two again."""
         row = self.fits.get(before)
@@ -187,6 +204,7 @@ class Encoder(dict):
         known = row.get(piece)
         if known is None:
             known = row[piece] = self.merge(before + piece) == ([before, piece] if before else [piece])
+            self.judged += 1
         return known
 
     def merge(self, text: str) -> list[str]:
@@ -214,6 +232,11 @@ class Decoder:
             bytes([int(p[3:5], 16)]) if kind == BYTE else surface[kind](p).encode()
             for p, kind in zip(model.pieces, model.kinds)
         ]
+        # None, which cannot be joined, for begin and end ids: texts with one inside are decoded by runs.
+        self.joined = list(self.table)
+        for i in (model.bos, model.eos):
+            if model.kinds[i] == CONTROL:
+                self.joined[i] = None
 
     def decode(self, packed: bytes) -> str:
         """Ids as little-endian unsigned 32-bit. Begin and end ids give nothing; the space before the text is taken off."""
@@ -224,12 +247,9 @@ class Decoder:
             ids = ids[:-1]
         kinds = self.model.kinds
         first = next((i for i in ids if kinds[i] != CONTROL), None)
-        inside = any(kinds[i] == CONTROL for i in (self.model.bos, self.model.eos) if i in ids)
         try:
-            text = None if inside else b"".join(map(self.table.__getitem__, ids)).decode()
-        except UnicodeDecodeError:
-            text = None
-        if text is None:
+            text = b"".join(map(self.joined.__getitem__, ids)).decode()
+        except (TypeError, UnicodeDecodeError):
             text = self._by_runs(ids)
         return text[1:] if first is not None and self.model.pieces[first].startswith(SPACE) else text
 

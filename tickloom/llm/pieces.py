@@ -1,6 +1,6 @@
 """Piece encoding and decoding of whole texts with a public merge-type vocabulary.
 
-Encoding is by backtracking: the longest piece at each place (Aho-Corasick), two neighbours checked by merging them anew, and
+Encoding is by backtracking: the longest piece at each place (by dictionary), two neighbours checked by merging them anew, and
 a bitfield of places from which no encoding goes on (:mod:`tickloom.llm.piecemodel`). It gives what merging the whole text
 gives. Work is per row; nothing is shuffled, and a worker's memory of units it has seen is bounded.
 """
