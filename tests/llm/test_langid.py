@@ -55,6 +55,26 @@ def test_sum_over_segmentations(lattice, word):
         assert counts == pytest.approx(want)
 
 
+def test_words_of_a_part_are_read_in_one_pass(lattice, monkeypatch):
+    """A pass over the pieces for each word took most of the time."""
+    words = ["a", "the", "thea", "athe", "schöner", "ħello", "漢字日", "thethethe"] * 3
+    single = [lattice.edges([word]) for word in words]
+    passes = []
+
+    class Counted:
+        def __init__(self, matcher):
+            self.iter = lambda text: passes.append(text) or matcher.iter(text)
+
+    monkeypatch.setattr(lattice, "matcher", Counted(lattice.matcher))
+    edges, spelled = lattice.edges(words)
+    assert len(passes) == 1
+    for k in range(3):
+        assert edges[k + 1].tolist() == [x for one, _ in single for x in one[k + 1]]
+    assert edges[0].tolist() == [w for w, (one, _) in enumerate(single) for _ in one[0]]
+    assert spelled.T.tolist() == [[w, at, b] for w, (_, one) in enumerate(single) for _, at, b in one.T.tolist()]
+    assert lattice.edges([])[0].shape == (4, 0)
+
+
 def test_held_out_accuracy(spark, sf_dir):
     rows = {r.doc_id: r for r in op1_langid(spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()

@@ -14,7 +14,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby
 
 import ahocorasick
 import numpy as np
@@ -53,23 +53,32 @@ class Lattice:
         read = read_model(model)
         self.size = len(read.pieces)
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(read.pieces) if read.kinds[i] == BYTE}
+        self.lengths = np.array([len(p) for p in read.pieces], np.int64)
         self.matcher = ahocorasick.Automaton()
         for i, p in enumerate(read.pieces):
-            if read.kinds[i] == NORMAL and p.strip(SPACE):
-                self.matcher.add_word(p, (i, len(p)))
+            # A space stands before a word only, so other pieces with one are in no word.
+            if read.kinds[i] == NORMAL and p.strip(SPACE) and SPACE not in p[1:]:
+                self.matcher.add_word(p, i)
         self.single = {p for i, p in enumerate(read.pieces) if read.kinds[i] == NORMAL and len(p) == 1}
         self.matcher.make_automaton()
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """``word, start, end, piece`` of all pieces, and ``word, start, byte piece`` for characters that are no piece."""
-        rows, spelled = [], []
-        for w, word in enumerate(words):
-            for last, (piece, length) in self.matcher.iter(SPACE + word):
-                rows.append((w, max(0, last - length), last, piece))
-            for at, char in enumerate(word):
-                if char not in self.single:
-                    spelled += [(w, at, self.bytes[b]) for b in char.encode()]
-        return np.array(rows, np.int64).reshape(-1, 4).T, np.array(spelled, np.int64).reshape(-1, 3).T
+        """``word, start, end, piece`` of all pieces, and ``word, start, byte piece`` for characters that are no piece.
+
+        The words, which have no spaces, are read as one text, a space before each; no piece matches across one.
+        """
+        text = SPACE + SPACE.join(words)
+        found = np.fromiter(chain.from_iterable(self.matcher.iter(text)), np.int64).reshape(-1, 2)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        word = np.repeat(np.arange(len(words)), sizes)[found[:, 0]]
+        piece, end = found[:, 1], found[:, 0] - (np.cumsum(sizes) - sizes)[word]
+        start = np.maximum(0, end - self.lengths[piece])
+        spelled = []
+        if not self.single.issuperset(set(text) - {SPACE}):
+            for w, one in enumerate(words):
+                if not self.single.issuperset(one):
+                    spelled += [(w, at, self.bytes[b]) for at, char in enumerate(one) if char not in self.single for b in char.encode()]
+        return np.stack([word, start, end, piece]), np.array(spelled, np.int64).reshape(-1, 3).T
 
 
 def likelihoods(lattice: Lattice, logp: np.ndarray, words: list[str]) -> np.ndarray:
@@ -135,7 +144,8 @@ def words_of(text: str) -> Iterator[list[str]]:
     text = text.lower()
     if len(text) <= PART:
         found = LETTERS.findall(text)
-        yield [w[i : i + STRETCH] for w in found for i in range(0, len(w), STRETCH)] if len(text) > STRETCH else found
+        long = len(text) > STRETCH and max(map(len, found), default=0) > STRETCH
+        yield [w[i : i + STRETCH] for w in found for i in range(0, len(w), STRETCH)] if long else found
         return
     part = []
     for match in LETTERS.finditer(text):
@@ -189,7 +199,8 @@ class Scorer(dict):
     def learn(self, words: list[str]) -> None:
         if len(self) > CACHE_WORDS:
             self.clear()
-        new = sorted({w for w in words if w not in self and len(w) <= CACHE_CHARS}, key=lambda w: (len(w), w))
+        new = sorted(w for w in set(words) if w not in self and len(w) <= CACHE_CHARS)
+        new.sort(key=len)
         for places in parts_of(new, list(range(len(new)))):
             part, size = [new[i] for i in places], len(self)
             while size + len(part) > len(self.table):
