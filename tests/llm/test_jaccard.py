@@ -188,3 +188,18 @@ def test_all_links(spark, monkeypatch):
             counts[i] += 1
     found = sorted((r.doc_id is None, r.doc_id or 0, r.n_links) for r in jaccard.link_counts(docs, short=short).collect())
     assert found == sorted((i is None, i or 0, None if i is None else counts[i]) for i, _ in rows)
+
+
+def test_index_rows_are_given_out_some_at_a_time():
+    """All rows of a task at once are some copies of all its entries."""
+    draw = np.random.default_rng(1)
+    entries = np.zeros(400_000, jaccard.ENTRY)
+    entries["token"] = draw.integers(0, 1 << 63, len(entries))
+    entries["id"] = np.arange(len(entries)) // 100
+    parts = np.array_split(entries, 7)
+    batches = list(jaccard._index_rows(parts, 50))
+    assert not parts and len(batches) > 1
+    rows = [(r["bucket"], np.frombuffer(r["entries"], jaccard.ENTRY)) for batch in batches for r in batch.to_pylist()]
+    assert max(batch.nbytes for batch in batches) < 2 * jaccard.PART_BYTES
+    assert [b for b, _ in rows] == list(range(50)) and all((own["token"] % 50 == b).all() for b, own in rows)
+    assert np.array_equal(np.sort(np.concatenate([own for _, own in rows])), np.sort(entries))

@@ -1,11 +1,16 @@
 """The pipeline, stage by stage, against plain versions of the operators."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 import sentencepiece
 from test_jaccard import brute as jaccard_brute
 from test_lines import brute as lines_brute
 
 import corpus_pipeline as pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
+from tickloom import session
 
 
 def table(df):
@@ -51,3 +56,29 @@ def test_run_and_empty_table(spark, sf_dir):
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
     assert pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_stages_send_workers_few_bytes_at_a_time(spark):
+    """10 000 long texts at a time took some hundred MB of a worker and of its JVM."""
+    docs = spark.range(3000, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 500).alias("text"), F.lit("en").alias("lang"),
+        F.lit("web").alias("source"), F.lit(5500).cast("long").alias("n_chars"),
+    )
+
+    @F.arrow_udf("long")
+    def sizes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([batch.nbytes] * len(batch))
+
+    def most():
+        return docs.select(sizes("text").alias("n")).agg(F.max("n")).first()[0]
+
+    for _, stage in pipeline.STAGES:
+        spark.conf.unset(session._BATCH_SETTING)
+        assert most() > 2 * session.BATCH_BYTES
+        stage(spark, docs.limit(0), "")
+        assert most() < 2 * session.BATCH_BYTES
+    spark.conf.set(session._BATCH_SETTING, 1 << 20)  # a bound of the session's own stays
+    pipeline.encoded(spark, docs, "")
+    assert most() < 2 << 20
+    spark.conf.unset(session._BATCH_SETTING)

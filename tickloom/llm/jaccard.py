@@ -56,6 +56,8 @@ PAIRS, PART_BYTES = 1 << 20, 4 << 20
 
 # A key of the index, the set, its least key, and its size and the key's place in single tokens, 0 in pairs.
 ENTRY = np.dtype([("token", "u8"), ("id", "i8"), ("first", "u8"), ("size", "u4"), ("place", "u1")])
+# Columns of packed entries.
+INDEX = {"bucket": pa.int32(), "id": pa.int64(), "entries": pa.binary()}
 
 
 def needed(a, b):
@@ -162,8 +164,9 @@ def _among(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _packed(parts: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Entries by bucket of their token, for packed rows."""
+    """Entries by bucket of their token, for packed rows; empties ``parts``."""
     entries = np.concatenate(parts)
+    parts.clear()
     bucket = (entries["token"] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     entries, bucket = entries[order], bucket[order]
@@ -173,22 +176,33 @@ def _packed(parts: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]
             yield int(bucket[a]), entries[a:b].tobytes()
 
 
+def _index_rows(parts: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of the index, some at a time; empties ``parts``."""
+    def out(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return _arrow(INDEX, {"bucket": [b for b, _ in rows], "id": [None] * len(rows), "entries": [e for _, e in rows]})
+
+    rows, size = [], 0
+    for row in _packed(parts, buckets):
+        rows.append(row)
+        size += len(row[1])
+        if size >= PART_BYTES:
+            yield out(rows)
+            rows, size = [], 0
+    if rows:
+        yield out(rows)
+
+
 def index(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
     """From ``doc_id, text``: packed index entries by ``bucket``; common keys stay out of it and come with their sets.
 
     Rows with a negative ``bucket``: the set ``id`` has the common keys ``entries`` among its first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    fields = {"bucket": pa.int32(), "id": pa.int64(), "entries": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         often, seen, parts, held = shared.value, set(), [], 0
 
-        def flush() -> pa.RecordBatch:
-            rows = list(_packed(parts, buckets))
-            return _arrow(fields, {"bucket": [b for b, _ in rows], "id": [None] * len(rows), "entries": [e for _, e in rows]})
-
         for batch in shingles.in_parts(batches, "text", PART_BYTES):
             late = []
             for text in shingles.texts(batch.column("text")):
@@ -209,12 +223,12 @@ def index(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                 parts.append(entries)
                 held += len(keys)
                 if held > TOKENS:
-                    yield flush()
-                    parts, held = [], 0
+                    yield from _index_rows(parts, buckets)
+                    held = 0
             away = [-1 - i % buckets for i, _ in late]
-            yield _arrow(fields, {"bucket": away, "id": [i for i, _ in late], "entries": [e for _, e in late]})
+            yield _arrow(INDEX, {"bucket": away, "id": [i for i, _ in late], "entries": [e for _, e in late]})
         if parts:
-            yield flush()
+            yield from _index_rows(parts, buckets)
         give_back()
 
     return docs.mapInArrow(run, "bucket int, id long, entries binary")

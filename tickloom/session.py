@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
+# Bytes of rows that go to a Python worker at a time, about. Spark bounds their number only, and 10 000 long texts, with what they become
+# on the way, take some hundred MB on both sides.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # Generated methods above this size are not compiled by the JVM; Spark then runs the operators one by one, which is faster.
 COMPILED_METHOD_BYTES = 8000
 
@@ -28,6 +33,7 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.files.maxPartitionBytes", "256m")
         .config("spark.sql.codegen.hugeMethodLimit", COMPILED_METHOD_BYTES)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config(_BATCH_SETTING, BATCH_BYTES)
         # Expressions here are built from many small columns; recording the Python call site of each costs milliseconds.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -51,6 +57,12 @@ def ship_package(spark: SparkSession) -> None:
     context._tickloom_shipped = True
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers by bytes too, from now on in this session; a bound that is set already stays."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only for a local master without it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
